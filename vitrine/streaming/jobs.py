@@ -1,0 +1,91 @@
+"""Job lifecycle as keyed state: failures counted, retries delayed, silence detected.
+
+State per job is order-free (counts and the newest outcome), so events of a batch may arrive in
+any order and in any number of chunks. A timer fires when a job stays silent past the limit.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
+
+from vitrine.config import DEFAULTS, JobConfig
+
+STATE_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "attempts long, failures long, last_ms long, last_id long, last_outcome string"
+OUTPUT = ("job_id long, attempts long, retry_count long, status string, delay_seconds double, "
+          "updated_ms long, stale boolean")
+
+
+class JobLifecycle(StatefulProcessor):
+    """Input rows: job_id, event_id, outcome (running, success or error), ts."""
+
+    def __init__(self, cfg: JobConfig = DEFAULTS.jobs):
+        self.cfg = cfg
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("job", STATE)
+
+    def _row(self, job_id: int, values: tuple, stale: bool) -> pd.DataFrame:
+        attempts, failures, last_ms, _last_id, outcome = values
+        if outcome == "success":
+            status = "completed"
+        elif outcome == "running":
+            status = "running"
+        else:
+            status = "failed" if failures > self.cfg.max_retries else "retrying"
+        delay = self.cfg.retry_delay_seconds * 2.0 ** (failures - 1) if status == "retrying" else None
+        return pd.DataFrame({
+            "job_id": [job_id], "attempts": [attempts], "retry_count": [failures],
+            "status": [status], "delay_seconds": pd.Series([delay], dtype="float64"),
+            "updated_ms": [last_ms], "stale": [stale]})
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        values = self.state.get() if self.state.exists() else (0, 0, -1, -1, "running")
+        attempts, failures, last_ms, last_id, outcome = values
+        for chunk in rows:
+            done = chunk["outcome"] != "running"
+            attempts += int(done.sum())
+            failures += int((chunk["outcome"] == "error").sum())
+            ms = chunk["ts"].astype("datetime64[ms]").astype("int64")
+            newest = pd.DataFrame({"ms": ms, "id": chunk["event_id"], "o": chunk["outcome"]})
+            top = newest.sort_values(["ms", "id"]).iloc[-1]
+            if (int(top["ms"]), int(top["id"])) > (last_ms, last_id):
+                last_ms, last_id, outcome = int(top["ms"]), int(top["id"]), top["o"]
+        values = (attempts, failures, last_ms, last_id, outcome)
+        self.state.update(values)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if outcome == "running":
+            self.handle.registerTimer(last_ms + self.cfg.timeout_seconds * 1000)
+        yield self._row(key[0], values, False)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """A running job stayed silent: it counts as one more failure."""
+        attempts, failures, last_ms, last_id, outcome = self.state.get()
+        if outcome != "running":
+            return
+        values = (attempts + 1, failures + 1, last_ms, last_id, "error")
+        self.state.update(values)
+        yield self._row(key[0], values, True)
+
+    def close(self) -> None:
+        pass
+
+
+def use_state_store(spark: SparkSession) -> None:
+    """Keyed state needs the RocksDB provider unless the session already names one."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    if "RocksDB" not in (spark.conf.get(key, "") or ""):
+        spark.conf.set(key, STATE_PROVIDER)
+
+
+def job_states(events: DataFrame, cfg: JobConfig = DEFAULTS.jobs, delay: str = "1 hour") -> DataFrame:
+    """One row per job and micro-batch with the state after it, plus one when a job goes stale."""
+    use_state_store(events.sparkSession)
+    return (events.withWatermark("ts", delay).groupBy("job_id").transformWithStateInPandas(
+        JobLifecycle(cfg), outputStructType=OUTPUT, outputMode="append", timeMode="EventTime"))
