@@ -6,6 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from vitrine.functions.scalars import blank_to_null
 
@@ -37,7 +38,7 @@ def similarity(a: str, b: str) -> float:
     return 2.0 * _common_subsequence(a, b) / (len(a) + len(b))
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     # Catalog values repeat, so one batch holds few distinct pairs.
     known: dict[tuple[str, str], float | None] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.config import DEFAULTS, EnrichConfig
@@ -38,6 +38,11 @@ def text_attributes(products: DataFrame) -> DataFrame:
         "product_id", "p.*", F.lit("text").alias("source"))
 
 
+def _tags_of(dictionary: dict[str, str], confidence: float) -> Column:
+    return F.transform(K.all_keywords(F.col("_text"), dictionary), lambda v: F.struct(
+        F.lower(v).alias("tag"), F.lit(confidence).alias("confidence")))
+
+
 def text_tags(products: DataFrame) -> DataFrame:
     """(product_id, tag, confidence, source, position): attribute values, every color, material and
     style, and descriptor words; the first of equal tags stays."""
@@ -46,12 +51,8 @@ def text_tags(products: DataFrame) -> DataFrame:
         F.lower(strip(p["value"])).alias("tag"), p["confidence"].alias("confidence")))]
     for attribute, dictionary, confidence in K.ATTRIBUTE_RULES:
         if attribute in ("color", "material", "style"):
-            parts.append(F.transform(
-                K.all_keywords(F.col("_text"), dictionary), lambda v, c=confidence: F.struct(
-                    F.lower(v).alias("tag"), F.lit(c).alias("confidence"))))
-    words = {w: w for w in sorted(K.DESCRIPTORS)}
-    parts.append(F.transform(K.all_keywords(F.col("_text"), words), lambda v: F.struct(
-        v.alias("tag"), F.lit(K.DESCRIPTOR_CONFIDENCE).alias("confidence"))))
+            parts.append(_tags_of(dictionary, confidence))
+    parts.append(_tags_of({w: w for w in sorted(K.DESCRIPTORS)}, K.DESCRIPTOR_CONFIDENCE))
     # One product's tags sit in one row, so first-wins needs no shuffle.
     tags = base.select("product_id", F.concat(*parts).alias("_tags"))
     names = F.transform("_tags", lambda t: t["tag"])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.config import DEFAULTS, Config
@@ -66,10 +66,11 @@ def similar_products(image_hits: DataFrame | None, text_hits: DataFrame | None,
     """
     depth = F.col("rank") <= k + 1
     if image_hits is not None and text_hits is not None:
-        both = image_hits.select("query_id").distinct().join(
-            text_hits.select("query_id").distinct(), "query_id", "left_semi")
-        merged = fuse(image_hits.filter(depth), text_hits.filter(depth), cfg.search).join(
-            both, "query_id", "left_semi")
+        fused = fuse(image_hits.filter(depth), text_hits.filter(depth), cfg.search)
+        per_query = Window.partitionBy("query_id")
+        merged = fused.withColumns({
+            f"_{side}": F.max(F.array_contains("matched_modalities", side)).over(per_query)
+            for side in ("image", "text")}).filter("_image AND _text").drop("_image", "_text")
     elif image_hits is not None:
         merged = single_modality(image_hits.filter(depth), "image")
     else:

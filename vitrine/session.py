@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SQL_DEFAULTS = {
@@ -23,17 +25,22 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
     )
     for key, value in SQL_DEFAULTS.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return prepare(spark)
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Pin the time zone every date computation here assumes."""
+    """Pin the time zone date computations assume, and send this package's functions by value.
+
+    Pickled by value, functions run on executors that do not have the package installed.
+    """
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    cloudpickle.register_pickle_by_value(sys.modules["vitrine"])
     return spark
 
 
