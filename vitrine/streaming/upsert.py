@@ -35,7 +35,7 @@ def current(spark: SparkSession, path: str, schema, *, key: str = "product_id",
             version: str = "version") -> DataFrame:
     """The table a reader sees: the newest version of each key over all batches."""
     rows = spark.read.schema(schema).option("basePath", path).parquet(path)
-    return latest(rows, key, F.col(version))
+    return latest(rows, key, F.col(version), F.col("batch_id")).drop("batch_id")
 
 
 def compact(table: DataFrame, path: str) -> None:
