@@ -15,6 +15,7 @@ from vitrine.operators import lookup as K
 from vitrine.operators.embed import hashed_text_vectors
 from vitrine.operators.neighbors import knn_join
 from vitrine.plans import catalog_jobs as J
+from vitrine.session import materialize
 from vitrine.sources import catalog as C
 from vitrine.sources import sinks as W
 
@@ -376,21 +377,24 @@ def text_embeddings(spark, sf):
 def price_described(spark, sf):
     """Text embedding, text search and pricing of every submitted product."""
     catalog = T.catalog(spark, sf)
-    stored = hashed_text_vectors(J.product_texts(catalog)).select("product_id", "vector")
+    stored = materialize(
+        hashed_text_vectors(J.product_texts(catalog)).select("product_id", "vector"), "text-vectors")
 
     def embed(asked):
         both = asked.select("query_id", "text", F.lit(True).alias("asked")).unionByName(
             J.product_texts(catalog).select(F.col("product_id").alias("query_id"), "text",
                                             F.lit(False).alias("asked")))
-        return hashed_text_vectors(both).filter("asked").select("query_id", "vector")
+        return materialize(
+            hashed_text_vectors(both).filter("asked").select("query_id", "vector"), "asked-vectors")
 
     described = T.catalog(spark, sf)
     priced = J.price_described(described, stored, catalog, embed)
-    return priced.drop("comparables")
+    return priced.drop("comparables", "relevant_count")
 
 
 @query()
 def knn_color(spark, sf):
     """Nearest images by their default color vectors."""
-    vectors = I.color_histogram(T.pixels(spark, sf)).withColumnRenamed("image_id", "product_id")
+    vectors = materialize(
+        I.color_histogram(T.pixels(spark, sf)).withColumnRenamed("image_id", "product_id"), "colors")
     return knn_join(vectors.withColumnRenamed("product_id", "query_id"), vectors, 5, exclude_self=True)

@@ -91,42 +91,73 @@ ATTRIBUTE_FIELDS = (
 )
 
 
-def word_pattern(keywords) -> str:
-    """One alternation for all keywords between Unicode word boundaries."""
-    return r"(?U)\b(" + "|".join(re.escape(k) for k in keywords) + r")\b"
+ALL_KEYWORDS = tuple(dict.fromkeys(
+    [k for _, dictionary, _ in ATTRIBUTE_RULES for k in dictionary] + list(DESCRIPTORS)))
 
 
-def _value_of(keyword: Column, dictionary: dict[str, str]) -> Column:
-    pairs = [F.lit(x) for item in dictionary.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), keyword)
+def _branches(words: list[str]) -> str:
+    """The words as one expression that shares common beginnings, longer words first."""
+    heads = sorted({w[0] for w in words if w})
+    parts = []
+    for head in heads:
+        tails = [w[1:] for w in words if w and w[0] == head]
+        parts.append(re.escape(head) + _branches(tails))
+    body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+    if "" not in words:
+        return body
+    return f"(?:{body})?" if parts else ""
 
 
-def first_keyword(text: Column, dictionary: dict[str, str]) -> Column:
-    """Value of the keyword that starts earliest in ``text``; null when none occurs.
+def hit_pattern(keywords) -> str:
+    """Matches (without consuming) where a keyword starts; group 1 is the longest one there."""
+    return r"(?U)\b(?=(" + _branches(sorted(keywords)) + r")\b)"
+
+
+def keyword_hits(text: Column, keywords=ALL_KEYWORDS) -> Column:
+    """The longest keyword at every place one starts, in text order: one scan for any number
+    of dictionaries."""
+    return F.regexp_extract_all(F.lower(text), F.lit(hit_pattern(keywords)), F.lit(1))
+
+
+def _starts_with_word(hit: str, keyword: str) -> bool:
+    """Does ``keyword`` match where ``hit`` does: is it the hit or its beginning up to a boundary."""
+    if not hit.startswith(keyword):
+        return False
+    rest = hit[len(keyword):]
+    return not rest or not (re.match(r"\w", rest[0]) and re.match(r"\w", keyword[-1]))
+
+
+def _values_at(dictionary: dict[str, str], keywords) -> dict[str, list[str]]:
+    """For every possible hit, the values of the dictionary that match there, in its order."""
+    found = {hit: list(dict.fromkeys(v for k, v in dictionary.items() if _starts_with_word(hit, k)))
+             for hit in keywords}
+    return {hit: values for hit, values in found.items() if values}
 
-    A leftmost-first alternation in dictionary order resolves both rules in one scan:
-    earliest start, then dictionary order at the same start.
-    """
-    return _value_of(F.regexp_extract(F.lower(text), word_pattern(dictionary), 1), dictionary)
 
+def _map(entries: dict) -> Column:
+    return F.create_map(*[x for key, value in entries.items() for x in (F.lit(key), value)])
 
-def _tokens(keyword: str) -> set[str]:
-    return set(re.findall(r"\w+", keyword))
+
+def first_value(hits: Column, dictionary: dict[str, str], keywords=ALL_KEYWORDS) -> Column:
+    """Value of the earliest hit, the dictionary's order deciding at the same start."""
+    table = _map({h: F.lit(v[0]) for h, v in _values_at(dictionary, keywords).items()})
+    known = F.filter(F.transform(hits, lambda h: F.try_element_at(table, h)), lambda v: v.isNotNull())
+    return F.try_element_at(known, F.lit(1))
+
+
+def all_values(hits: Column, dictionary: dict[str, str], keywords=ALL_KEYWORDS) -> Column:
+    """Every distinct value with a hit, in dictionary order."""
+    table = _map({h: F.array(*map(F.lit, v)) for h, v in _values_at(dictionary, keywords).items()})
+    known = F.filter(F.transform(hits, lambda h: F.try_element_at(table, h)), lambda v: v.isNotNull())
+    values = F.array(*map(F.lit, dict.fromkeys(dictionary.values())))
+    return F.array_intersect(values, F.flatten(known))
+
+
+def first_keyword(text: Column, dictionary: dict[str, str]) -> Column:
+    """``first_value`` of a text and one dictionary."""
+    return first_value(keyword_hits(text, tuple(dictionary)), dictionary, tuple(dictionary))
 
 
 def all_keywords(text: Column, dictionary: dict[str, str]) -> Column:
-    """Every distinct value whose keyword occurs in ``text``, in dictionary order."""
-    lowered = F.lower(text)
-    values = list(dict.fromkeys(dictionary.values()))
-    token_sets = [_tokens(k) for k in dictionary]
-    if sum(map(len, token_sets)) == len(set().union(*token_sets)):
-        # No keyword can overlap another, so one scan finds them all.
-        hits = F.regexp_extract_all(lowered, F.lit(word_pattern(dictionary)), F.lit(1))
-        found = F.transform(hits, lambda h: _value_of(h, dictionary))
-        return F.filter(F.array(*map(F.lit, values)), lambda v: F.array_contains(found, v))
-    checks = [
-        F.when(F.regexp_like(lowered, F.lit(word_pattern(
-            [k for k, v in dictionary.items() if v == value]))), F.lit(value))
-        for value in values
-    ]
-    return F.array_compact(F.array(*checks))
+    """``all_values`` of a text and one dictionary."""
+    return all_values(keyword_hits(text, tuple(dictionary)), dictionary, tuple(dictionary))

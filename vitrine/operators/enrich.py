@@ -19,27 +19,28 @@ def _text_rows(products: DataFrame) -> DataFrame:
     """Products with all attribute predictions in one array, in rule order."""
     rows = []
     for attribute, dictionary, confidence in K.ATTRIBUTE_RULES:
-        value = K.first_keyword(F.col("_text"), dictionary)
+        value = K.first_value(F.col("_hits"), dictionary)
         score = F.lit(confidence)
         if attribute in ("brand", "category"):
             submitted = F.nullif(F.col(attribute), F.lit(""))
             score = F.when(submitted.isNotNull(), K.SUBMITTED_CONFIDENCE).otherwise(confidence)
             value = F.coalesce(submitted, value)
-        rows.append(F.when(value.isNotNull(), F.struct(
-            F.lit(attribute).alias("attribute"), value.alias("value"), score.alias("confidence"))))
-    with_text = products.withColumn("_text", _combined_text())
-    return with_text.withColumn("_predictions", F.array_compact(F.array(*rows)))
+        rows.append(F.struct(F.lit(attribute).alias("attribute"), value.alias("value"),
+                             score.alias("confidence")))
+    with_text = products.withColumn("_hits", K.keyword_hits(_combined_text()))
+    found = F.filter(F.array(*rows), lambda p: p["value"].isNotNull())
+    return with_text.withColumn("_predictions", found)
 
 
 def text_attributes(products: DataFrame) -> DataFrame:
     """(product_id, attribute, value, confidence, source): one row per attribute found in the text."""
-    return _text_rows(products).select(
-        "product_id", F.explode("_predictions").alias("p")).select(
-        "product_id", "p.*", F.lit("text").alias("source"))
+    # The outer form keeps the optimizer from testing the array, and so the text, a second time.
+    rows = _text_rows(products).select("product_id", F.explode_outer("_predictions").alias("p"))
+    return rows.filter(F.col("p").isNotNull()).select("product_id", "p.*", F.lit("text").alias("source"))
 
 
 def _tags_of(dictionary: dict[str, str], confidence: float) -> Column:
-    return F.transform(K.all_keywords(F.col("_text"), dictionary), lambda v: F.struct(
+    return F.transform(K.all_values(F.col("_hits"), dictionary), lambda v: F.struct(
         F.lower(v).alias("tag"), F.lit(confidence).alias("confidence")))
 
 
@@ -53,12 +54,11 @@ def text_tags(products: DataFrame) -> DataFrame:
         if attribute in ("color", "material", "style"):
             parts.append(_tags_of(dictionary, confidence))
     parts.append(_tags_of({w: w for w in sorted(K.DESCRIPTORS)}, K.DESCRIPTOR_CONFIDENCE))
-    # One product's tags sit in one row, so first-wins needs no shuffle.
-    tags = base.select("product_id", F.concat(*parts).alias("_tags"))
-    names = F.transform("_tags", lambda t: t["tag"])
-    first = F.filter("_tags", lambda t, i: F.array_position(names, t["tag"]) == i + 1)
-    return tags.select("product_id", F.posexplode(first).alias("position", "t")).select(
-        "product_id", "t.*", F.lit("text").alias("source"), "position")
+    tags = base.select("product_id", F.posexplode_outer(F.concat(*parts)).alias("position", "t"))
+    first = tags.filter(F.col("t").isNotNull()).groupBy("product_id", F.col("t.tag").alias("tag")).agg(
+        F.min(F.struct("position", "t.confidence")).alias("f"))
+    return first.select("product_id", "tag", "f.confidence", F.lit("text").alias("source"),
+                        "f.position")
 
 
 def merge_attributes(predictions: DataFrame, cfg: EnrichConfig = DEFAULTS.enrich) -> DataFrame:

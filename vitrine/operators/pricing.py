@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.config import DEFAULTS, PricingConfig
-from vitrine.functions.scalars import fixed, fold, positive_price, rounded
+from vitrine.functions.scalars import clamp01, fixed, fold, positive_price, rounded
 
 
 def comparables(hits: DataFrame, products: DataFrame) -> DataFrame:
@@ -54,24 +54,27 @@ def _mean(values: Column) -> Column:
     return F.try_divide(_total(values), F.size(values).cast("double"))
 
 
-def exclusive_quartile(prices: Column, i: int) -> Column:
-    """Quartile ``i`` of a sorted array by the exclusive method, for at least two values."""
-    n = F.size(prices)
+def exclusive_quartile(prices: Column, n: Column, i: int) -> Column:
+    """Quartile ``i`` of ``n`` sorted values by the exclusive method; null below two values."""
     j = F.greatest(F.lit(1), F.least((i * (n + 1) / 4).cast("int"), n - 1))
     delta = (i * (n + 1) - j * 4).cast("double")
     low, high = F.try_element_at(prices, j), F.try_element_at(prices, j + 1)
     return (low * (4 - delta) + high * delta) / 4.0
 
 
-def without_outliers(kept: Column, cfg: PricingConfig) -> Column:
-    """Comparables inside the Tukey fence; ``kept`` is an array of (price, ...) sorted by price."""
+def without_outliers(frame: DataFrame, cfg: PricingConfig) -> DataFrame:
+    """Adds ``_used``: the entries of ``_kept`` (sorted by price) inside the Tukey fence."""
     if cfg.outlier_iqr_multiplier <= 0:
-        return kept
-    prices = F.transform(kept, lambda c: c["price"])
-    q1, q3 = exclusive_quartile(prices, 1), exclusive_quartile(prices, 3)
-    reach = cfg.outlier_iqr_multiplier * (q3 - q1)
-    inside = F.filter(kept, lambda c: (c["price"] >= q1 - reach) & (c["price"] <= q3 + reach))
-    return F.when(F.size(kept) < cfg.min_for_outliers, kept).otherwise(inside)
+        return frame.withColumn("_used", F.col("_kept"))
+    staged = frame.withColumns({"_prices": F.transform("_kept", lambda c: c["price"]),
+                                "_n": F.size("_kept")})
+    staged = staged.withColumns({f"_q{i}": exclusive_quartile(F.col("_prices"), F.col("_n"), i)
+                                 for i in (1, 3)})
+    reach = cfg.outlier_iqr_multiplier * (F.col("_q3") - F.col("_q1"))
+    staged = staged.withColumns({"_low": F.col("_q1") - reach, "_high": F.col("_q3") + reach})
+    inside = F.filter("_kept", lambda c: c["price"].between(F.col("_low"), F.col("_high")))
+    used = F.when(F.col("_n") < cfg.min_for_outliers, F.col("_kept")).otherwise(inside)
+    return staged.withColumn("_used", used).drop("_prices", "_n", "_q1", "_q3", "_low", "_high")
 
 
 def median_price(prices: Column) -> Column:
@@ -99,8 +102,7 @@ def trimmed_price(prices: Column, ratio: float) -> Column:
     return F.coalesce(F.when(F.size(rest) > 0, _mean(rest)), _mean(prices))
 
 
-def _strategy_price(kept: Column, strategy: str, cfg: PricingConfig) -> Column:
-    prices = F.transform(kept, lambda c: c["price"])
+def _strategy_price(kept: Column, prices: Column, strategy: str, cfg: PricingConfig) -> Column:
     if strategy == "median":
         return median_price(prices)
     if strategy == "weighted_average":
@@ -108,10 +110,9 @@ def _strategy_price(kept: Column, strategy: str, cfg: PricingConfig) -> Column:
     return trimmed_price(prices, cfg.trim_ratio)
 
 
-def confidence_score(prices: Column, cfg: PricingConfig) -> Column:
-    """Count factor times price agreement, to three decimals."""
+def confidence_score(prices: Column, mean: Column, cfg: PricingConfig) -> Column:
+    """Count factor times price agreement, to three decimals; ``mean`` is the mean of ``prices``."""
     n = F.size(prices)
-    mean = _mean(prices)
     spread = F.sqrt(_mean(F.transform(prices, lambda p: (p - mean) * (p - mean))))
     variation = F.when((n > 1) & (mean > 0), F.try_divide(spread, mean)).otherwise(0.0)
     enough = F.least(n / F.lit(cfg.min_comparables * 2.0), F.lit(1.0))
@@ -151,24 +152,27 @@ def estimate(judged: DataFrame, subjects: DataFrame, cfg: PricingConfig = DEFAUL
         F.array_sort(F.collect_list(F.when(F.col("outcome") == "kept", piece))).alias("_kept"),
         F.count_if(F.col("outcome") == "category").alias("excluded_by_category"),
         F.count_if(F.col("outcome") == "similarity").alias("excluded_by_similarity"),
+        F.count_if(F.col("outcome") == "kept").alias("relevant_count"),
     )
     base = subjects.select("subject_id", fold(F.col("category")).alias("subject_category")).join(
         per_subject, "subject_id", "left")
     kind = per_subject.schema["_kept"].dataType
     base = base.withColumn("_kept", F.coalesce("_kept", F.array().cast(kind))).na.fill(
-        0, ["excluded_by_category", "excluded_by_similarity"])
-    base = base.withColumn("_used", without_outliers(F.col("_kept"), cfg))
-    prices = F.transform("_used", lambda c: c["price"])
+        0, ["excluded_by_category", "excluded_by_similarity", "relevant_count"])
+    base = without_outliers(base, cfg).withColumns({
+        "_prices": F.transform("_used", lambda c: c["price"]), "comparable_count": F.size("_used")})
+    base = base.withColumn("_mean", _mean(F.col("_prices")))
+    score = confidence_score(F.col("_prices"), F.col("_mean"), cfg)
     base = base.withColumns({
-        "_price": _strategy_price(F.col("_used"), strategy, cfg),
-        "confidence_score": F.when(F.size("_used") > 0, confidence_score(prices, cfg)).otherwise(0.0),
-        "comparable_count": F.size("_used"),
-        "outliers_removed": F.size("_kept") - F.size("_used"),
+        "_price": _strategy_price(F.col("_used"), F.col("_prices"), strategy, cfg),
+        "confidence_score": F.when(F.col("comparable_count") > 0, score).otherwise(0.0),
+        "outliers_removed": F.col("relevant_count").cast("int") - F.col("comparable_count"),
         "_excluded": _exclusions(cfg),
     })
     band = confidence_band(F.col("comparable_count"), F.col("confidence_score"), cfg)
     base = base.withColumn("confidence", band)
-    found = F.col("comparable_count") > 0
+    # Inside the fence lie at least the quartiles, so what was relevant never vanishes entirely.
+    found = F.col("relevant_count") > 0
     built = F.concat(F.concat_ws(
         " ",
         F.format_string(f"Estimated from %d comparable product(s) using the {strategy} strategy",
@@ -186,7 +190,7 @@ def estimate(judged: DataFrame, subjects: DataFrame, cfg: PricingConfig = DEFAUL
         F.when(found, rounded(F.col("_price"), 2)).alias("estimated_price"),
         F.when(found, "estimated").otherwise("no_estimate").alias("status"),
         "confidence", "confidence_score", F.lit(strategy).alias("strategy"), "comparable_count",
-        "outliers_removed", "excluded_by_category", "excluded_by_similarity",
+        "outliers_removed", "excluded_by_category", "excluded_by_similarity", "relevant_count",
         F.when(found, built).otherwise(refused).alias("reason"),
         F.col("_used").alias("comparables"),
     )
@@ -194,17 +198,18 @@ def estimate(judged: DataFrame, subjects: DataFrame, cfg: PricingConfig = DEFAUL
 
 def price_spread(estimates: DataFrame) -> DataFrame:
     """Count, min, median, max and where the estimate lies between them; null when flat."""
-    prices = F.transform("comparables", lambda c: c["price"])
-    low, high = F.array_min(prices), F.array_max(prices)
-    return estimates.filter(F.col("estimated_price").isNotNull()).select(
-        "subject_id", F.size("comparables").alias("n"), low.alias("min_price"),
-        median_price(prices).alias("median_price"), high.alias("max_price"),
-        F.when(high > low, F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(
-            F.col("estimated_price") - low, high - low)))).alias("estimate_position"),
-    )
+    priced = estimates.filter("relevant_count > 0").select(
+        "subject_id", "estimated_price", F.transform("comparables", lambda c: c["price"]).alias("_p"))
+    priced = priced.select(
+        "subject_id", "estimated_price", F.size("_p").alias("n"), F.array_min("_p").alias("min_price"),
+        median_price(F.col("_p")).alias("median_price"), F.array_max("_p").alias("max_price"))
+    width = F.col("max_price") - F.col("min_price")
+    place = clamp01(F.try_divide(F.col("estimated_price") - F.col("min_price"), width))
+    return priced.withColumn("estimate_position", F.when(width > 0, place)).drop("estimated_price")
 
 
 def cheapest_first(estimates: DataFrame) -> DataFrame:
     """The comparables behind each estimate in price order."""
-    return estimates.select("subject_id", F.posexplode("comparables").alias("position", "c")).select(
-        "subject_id", "position", "c.product_id", "c.price", "c.similarity")
+    rows = estimates.filter("relevant_count > 0").select(
+        "subject_id", F.posexplode_outer("comparables").alias("position", "c"))
+    return rows.select("subject_id", "position", "c.product_id", "c.price", "c.similarity")
