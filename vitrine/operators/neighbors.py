@@ -7,7 +7,8 @@ packs in an ordinary equi-join on the cell; one matrix product per pair of packs
 
 Cells come from one of three rules:
 
-* a small catalog (measured, below ``BROADCAST_BYTES``) is a single cell and is broadcast;
+* a small catalog (measured: at most ``SINGLE_CELL_ROWS`` rows and ``BROADCAST_BYTES``) is a
+  single cell and is broadcast;
 * a larger one is cut around pivots. Queries first search the cell they fall in; the k-th score
   found there and each cell's radius then tell which other cells could still hold a better
   product, and only those are searched. The result is exact;
@@ -35,8 +36,10 @@ from vitrine.session import materialize
 PACK_ROWS = 1024
 CHUNK_ROWS = 65_536
 BROADCAST_BYTES = 32 * 1024 * 1024
-ROWS_PER_CELL = 5_000
-MAX_CELLS = 1_024
+SINGLE_CELL_ROWS = 20_000
+ROWS_PER_CELL = 500
+MAX_CELLS = 4_096
+ROWS_PER_SIGNATURE = 5_000
 QUERY_FACETS = ("brand_key", "category_key", "min_price", "max_price")
 PRODUCT_FACETS = ("brand_key", "category_key", "price")
 
@@ -122,6 +125,25 @@ def _packer(cells_of: CellRule, carried: list[str], pivots: np.ndarray | None =
     return run
 
 
+def _assigner(rule: CellRule):
+    """A ``mapInArrow`` function that adds ``cell``, repeating a row for each of its cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _chunks(batches):
+            rows, cells = rule(_matrix(table.column("vector")), table)
+            for start in range(0, len(rows), CHUNK_ROWS):
+                part = slice(start, start + CHUNK_ROWS)
+                out = table.take(pa.array(rows[part])).append_column(
+                    "cell", pa.array(cells[part].astype(np.int32)))
+                yield from out.combine_chunks().to_batches()
+
+    return run
+
+
+def _given_cell(raw: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.arange(len(raw)), table.column("cell").to_numpy()
+
+
 def _single_cell(raw: np.ndarray, _table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     rows = np.arange(len(raw))
     return rows, np.zeros(len(raw), dtype=np.int64)
@@ -270,6 +292,15 @@ def _pack(df: DataFrame, rule: CellRule, carried: list[str], prefix: str,
                                  for c in packs.columns if c not in keep])
 
 
+def _by_cell(df: DataFrame, rule: CellRule) -> DataFrame:
+    """Rows with their cell, the rows of a cell brought together so that packs fill up.
+
+    Rebalancing lets Spark split a cell that outgrows its partition.
+    """
+    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
+    return df.mapInArrow(_assigner(rule), schema).hint("rebalance", "cell", "within")
+
+
 def _score(query_packs: DataFrame, product_packs: DataFrame, k: int, dtype: str,
            facets: list[str], ids: tuple[T.DataType, T.DataType]) -> DataFrame:
     schema = T.StructType(
@@ -357,7 +388,7 @@ def knn_join(
     if cells is None:
         stats = products.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
         total, dim = stats["n"], stats["d"] or 0
-        small = total * dim * int(dtype[-1]) <= BROADCAST_BYTES
+        small = total <= SINGLE_CELL_ROWS and total * dim * int(dtype[-1]) <= BROADCAST_BYTES
         cells = 1 if small else min(MAX_CELLS, math.ceil(total / ROWS_PER_CELL))
 
     if cells <= 1:
@@ -368,18 +399,19 @@ def knn_join(
     else:
         pivots = _pivots(offered, cells)
         home = _nearest_pivot(pivots)
-        p_packs = materialize(_pack(offered, home, p_carried, "p", pivots), "packs")
+        p_packs = materialize(
+            _pack(_by_cell(offered, home), _given_cell, p_carried, "p", pivots), "packs")
         radius = np.full(len(pivots), -1.0)
         for r in p_packs.groupBy("cell").agg(F.max("p_radius").alias("r")).collect():
             radius[r["cell"]] = r["r"]
         near = materialize(
-            top_k(_score(_pack(representative, home, q_carried, "q"), p_packs, depth, dtype,
-                         p_facets, ids), depth).drop("rank"), "near")
+            top_k(_score(_pack(_by_cell(representative, home), _given_cell, q_carried, "q"), p_packs,
+                         depth, dtype, p_facets, ids), depth).drop("rank"), "near")
         floor = near.groupBy("query_id").agg(
             F.when(F.count("*") >= depth, F.min("score")).alias("kth_score"))
         open_queries = representative.join(floor, "query_id", "left")
         far = _score(
-            _pack(open_queries, _cells_in_reach(pivots, radius), q_carried, "q"),
+            _pack(_by_cell(open_queries, _cells_in_reach(pivots, radius)), _given_cell, q_carried, "q"),
             p_packs, depth, dtype, p_facets, ids)
         best = top_k(near.unionByName(far), depth)
 
@@ -413,13 +445,13 @@ def knn_lsh(
     depth = k + 1 if exclude_self else k
     stats = products.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     if bits is None:
-        bits = max(1, min(20, math.ceil(math.log2(max(2, (stats["n"] or 2) / ROWS_PER_CELL)))))
+        bits = max(1, min(20, math.ceil(math.log2(max(2, (stats["n"] or 2) / ROWS_PER_SIGNATURE)))))
     planes = np.random.default_rng(seed).normal(size=(tables, bits, stats["d"] or 1))
     rule = _signatures(planes)
     offered = _collapse_products(_prepare(products, "product_id", p_facets, None), depth)
     asked = _spread(_prepare(queries, "query_id", q_facets, None), "query_id")
-    hits = _score(_pack(asked, rule, ["query_id", *q_facets], "q"),
-                  _pack(offered, rule, ["product_id", *p_facets], "p"),
+    hits = _score(_pack(_by_cell(asked, rule), _given_cell, ["query_id", *q_facets], "q"),
+                  _pack(_by_cell(offered, rule), _given_cell, ["product_id", *p_facets], "p"),
                   depth, dtype, p_facets, ids)
     # A pair found in several tables is one hit.
     distinct = hits.groupBy("query_id", "product_id").agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import sys
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -44,6 +45,11 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _local_base() -> str:
+    return tempfile.mkdtemp(prefix="vitrine-")
+
+
 def working_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which the cluster points at shared storage.
 
@@ -53,8 +59,7 @@ def working_dir(spark: SparkSession, label: str) -> str:
     if base is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = tempfile.mkdtemp(prefix="vitrine-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_base()
     return f"{base.rstrip('/')}/vitrine/{label}-{uuid.uuid4().hex}"
 
 
