@@ -4,21 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from vitrine.functions.scalars import l2_normalize
+from pyspark.sql import types as T
 
 TEXT_BATCH, IMAGE_BATCH = 32, 8
 
 
 def model_embedder(make_predict: Callable, batch_size: int = TEXT_BATCH) -> Callable[[Column], Column]:
-    """``make_predict`` loads a model and returns a function from a batch to a matrix."""
-    embed = predict_batch_udf(make_predict, return_type="array<float>", batch_size=batch_size)
-    return lambda c: l2_normalize(embed(c))
+    """``make_predict`` loads a model and returns a function from a batch to a matrix.
+
+    The vectors come out with unit length.
+    """
+    def make_unit():
+        predict = make_predict()
+
+        def run(batch):
+            m = np.asarray(predict(batch), dtype=np.float64)
+            norm = np.linalg.norm(m, axis=1, keepdims=True)
+            return (m / np.where(norm == 0, 1.0, norm)).astype(np.float32)
+
+        return run
+
+    return predict_batch_udf(make_unit, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
 
 
 def hashed_text_vectors(products: DataFrame, text: str = "text", dim: int = 384) -> DataFrame:

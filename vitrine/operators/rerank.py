@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.ml.functions import predict_batch_udf
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from vitrine.config import DEFAULTS, RerankConfig
 from vitrine.functions.scalars import rank_value, sigmoid
@@ -30,8 +31,7 @@ def model_scorer(make_predict: Callable, batch_size: int = DEFAULTS.rerank.batch
 
     The loaded function takes two arrays of strings and returns one array of logits.
     """
-    return predict_batch_udf(make_predict, return_type="double", batch_size=batch_size,
-                             input_tensor_shapes=None)
+    return predict_batch_udf(make_predict, return_type=DoubleType(), batch_size=batch_size)
 
 
 def movement(original: Column, final: Column) -> Column:
