@@ -320,7 +320,7 @@ def image_checks(spark, sf):
 def color_histogram(spark, sf):
     v = I.color_histogram(T.pixels(spark, sf))
     return v.select("image_id", (F.array_position("vector", F.array_max("vector")) - 1).cast("int")
-                    .alias("top_cell"), N.rounded(F.array_max("vector").cast("double"), 4).alias("top_share"))
+                    .alias("top_cell"), N.rounded(F.array_max("vector"), 4).alias("top_share"))
 
 
 PREDICTIONS = f"""{S.text_attributes()}, {PIXELS},
@@ -392,9 +392,16 @@ def price_described(spark, sf):
     return priced.drop("comparables", "relevant_count")
 
 
-@query()
+@query(f"""WITH {PIXELS}, h AS (SELECT image_id, r // 32 * 64 + g // 32 * 8 + b // 32 AS cell, count(*) AS n FROM px GROUP BY ALL),
+  nm AS (SELECT image_id, sqrt(sum(n * n)) AS norm FROM h GROUP BY 1),
+  dots AS (SELECT a.image_id AS query_id, b.image_id AS product_id, sum(a.n * b.n) AS d FROM h a JOIN h b USING (cell) GROUP BY 1, 2),
+  s AS (SELECT q.image_id AS query_id, p.image_id AS product_id, coalesce(d, 0) / (q.norm * p.norm) AS score FROM nm q CROSS JOIN nm p
+  LEFT JOIN dots ON dots.query_id = q.image_id AND dots.product_id = p.image_id WHERE q.image_id <> p.image_id)
+  SELECT query_id, product_id, {S.r('score', 6)} AS score, CAST(row_number() OVER (PARTITION BY query_id
+  ORDER BY round(score, 9) DESC, product_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def knn_color(spark, sf):
     """Nearest images by their default color vectors."""
     vectors = materialize(
         I.color_histogram(T.pixels(spark, sf)).withColumnRenamed("image_id", "product_id"), "colors")
-    return knn_join(vectors.withColumnRenamed("product_id", "query_id"), vectors, 5, exclude_self=True)
+    hits = knn_join(vectors.withColumnRenamed("product_id", "query_id"), vectors, 5, exclude_self=True)
+    return hits.withColumn("score", N.rounded(F.col("score"), 6))

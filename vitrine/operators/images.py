@@ -183,5 +183,5 @@ def color_histogram(pixels: DataFrame, bins: int = 8) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("cell", F.col("n").cast("double")))).alias("h"),
         F.sqrt(F.sum(F.col("n").cast("double") * F.col("n"))).alias("norm"))
     vector = F.transform(F.sequence(F.lit(0), F.lit(bins ** 3 - 1)), lambda i: (
-        F.coalesce(F.try_element_at("h", i), F.lit(0.0)) / F.col("norm")).cast("float"))
+        F.coalesce(F.try_element_at("h", i), F.lit(0.0)) / F.col("norm")))
     return packed.select("image_id", vector.alias("vector"))
