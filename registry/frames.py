@@ -58,7 +58,8 @@ def submitted(spark: SparkSession, sf: str) -> DataFrame:
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), F.col("p_size") % len(PHRASES) + 1)
     brand = F.when(F.col("p_size") % 5 != 0, F.col("p_brand"))
     category = F.when(F.col("p_size") % 7 != 0, F.col("p_type"))
-    return part.join(docs, "p_partkey", "left").select(
+    # Documents are the large side of this join; broadcasting them would also leave one task per part file.
+    return part.join(docs.hint("merge"), "p_partkey", "left").select(
         F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), brand.alias("brand"),
         category.alias("category"), F.concat_ws(" ", phrase, "text").alias("description"),
         F.col("p_retailprice").alias("price"))

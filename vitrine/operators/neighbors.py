@@ -397,6 +397,8 @@ def knn_join(
         hits = _score(q_packs, F.broadcast(p_packs), depth, dtype, p_facets, ids)
         best = top_k(hits, depth)
     else:
+        # Both are read more than once below.
+        offered, representative = materialize(offered, "offered"), materialize(representative, "asked")
         pivots = _pivots(offered, cells)
         home = _nearest_pivot(pivots)
         p_packs = materialize(
