@@ -380,7 +380,7 @@ def duplicate_signals(spark, sf):
                          "text_signal", "metadata_signal", "attribute_signal", "overall_similarity")
 
 
-def _decisions(spark, sf, everything=True):
+def _decisions(spark, sf):
     return J.detect_duplicates(_similar(spark, sf, 10), T.catalog(spark, sf), T.indexed(spark, sf), cfg=CFG)
 
 
@@ -769,7 +769,7 @@ def explain_recommendation(spark, sf):
     return _flat(X.explain_recommendation(_recs(spark, sf)), "query_id", "product_id")
 
 
-@query(f"""WITH {DUP_SCORED.replace('{', '{')}, x AS (SELECT query_id, 'duplicate' AS decision_type, CAST(matched_product AS VARCHAR) AS subject_id,
+@query(f"""WITH {DUP_SCORED}, x AS (SELECT query_id, 'duplicate' AS decision_type, CAST(matched_product AS VARCHAR) AS subject_id,
   CASE WHEN is_duplicate THEN 'Judged a duplicate because: ' ELSE 'Not a duplicate because: ' END || reason || '.' AS summary FROM decisions
   WHERE query_id IN (SELECT vec_id FROM embeddings))
   SELECT * FROM x UNION ALL SELECT * FROM (WITH {EXPLAIN_REC} SELECT query_id, 'recommendation', CAST(product_id AS VARCHAR), {REC_SUMMARY} FROM why)""")

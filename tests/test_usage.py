@@ -84,12 +84,12 @@ def test_job_states(spark):
 
 def test_one_active_model(spark):
     regs = spark.createDataFrame([("text", "1.0.0", "mini", "active", 1), ("text", "2.0.0", "large", "active", 2),
-                                  ("text", "1.0.0", "again", "active", 9), ("image", "1.0.0", "clip", "active", 1)],
+                                  ("text", "1.0.0", "again", "active", 9), ("image", "1.0.0", "vision", "active", 1)],
                                  "model_type string, version string, model_name string, status string, at int")
     none = spark.createDataFrame([], "model_type string, version string, action string, at int")
     active = M.current_models(regs, none).filter("status = 'active'")
     assert {(r["model_type"], r["version"], r["model_name"]) for r in active.collect()} == {
-        ("text", "2.0.0", "large"), ("image", "1.0.0", "clip")}
+        ("text", "2.0.0", "large"), ("image", "1.0.0", "vision")}
     switch = spark.createDataFrame([("text", "1.0.0", "activate", 5), ("image", "1.0.0", "deactivate", 6),
                                     ("text", "9.9.9", "activate", 7)], none.schema)
     types = spark.createDataFrame([("text",), ("image",), ("rerank",)], "model_type string")

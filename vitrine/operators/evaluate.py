@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -160,7 +158,3 @@ def write_report(frames: dict[str, DataFrame], path: str) -> None:
     """Reports as JSON files, one folder per frame."""
     for name, frame in frames.items():
         frame.write.mode("overwrite").json(f"{path.rstrip('/')}/{name}")
-
-
-def union_tasks(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
