@@ -3,9 +3,7 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -45,21 +43,9 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-@cache
-def _local_base() -> str:
-    return tempfile.mkdtemp(prefix="vitrine-")
-
-
 def working_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below ``spark.checkpoint.dir``, which the cluster points at shared storage.
-
-    A machine-local folder is used only where the setting is absent (local tests).
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = _local_base()
+    """A fresh folder below ``spark.checkpoint.dir``, or below the warehouse where that is unset (as in tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/vitrine/{label}-{uuid.uuid4().hex}"
 
 
