@@ -73,24 +73,23 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def spans(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Fingerprint of every run of ``width`` consecutive values (of the whole array; the caller drops crossings)."""
-    n = len(hashes) - width + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    base = np.uint64(MIX_A)
-    out, have, done = np.zeros(n, np.uint64), hashes, 0
-    # Powers of two: `have` holds the fingerprints of runs of `size` values.
-    size, power = 1, base
-    while True:
-        if width & size:
-            rest = np.uint64(pow(MIX_A, size, 1 << 64))
-            out = out * rest + have[done:done + n]
-            done += size
-        if done == width:
-            return mixed(out)
-        have = have[:-size] * power + have[size:]
-        size, power = size * 2, power * power
+class Runs:
+    """Fingerprints of any runs of consecutive values of one array: run [a, b) is compared by value, not by place."""
+
+    INVERSE = pow(MIX_A, -1, 1 << 64)
+
+    def __init__(self, hashes: np.ndarray):
+        n = len(hashes)
+        power, self.shift = np.full(n, MIX_A, np.uint64), np.full(n + 1, self.INVERSE, np.uint64)
+        if n:
+            power[0] = 1
+        self.shift[0] = 1
+        np.cumprod(self.shift, out=self.shift)
+        self.sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(hashes * np.cumprod(power))))
+
+    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        size = (stop - start).astype(np.uint64)
+        return mixed((self.sums[stop] - self.sums[start]) * self.shift[start] + size * np.uint64(MIX_B))
 
 
 def union(frames: list[DataFrame]) -> DataFrame:
