@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import langid, packing, substrings
+from vitrine.llm import hyperminhash, langid, packing, substrings
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,8 @@ def op7_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     stripped = substrings.remove_repeats(table(spark, sf, "documents"))
     return stripped.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text"), 256).alias("kept_sha256"))
+
+
+@query
+def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return hyperminhash.near_duplicates(table(spark, sf, "documents"))
