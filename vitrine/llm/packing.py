@@ -26,6 +26,8 @@ MAX_SEGMENTS = 512
 LOOKAHEAD = 512
 #: Words whose ids a task remembers.
 REMEMBERED = 300_000
+#: New words tokenized at a time, joined by spaces.
+TOGETHER = 10_000
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -47,14 +49,17 @@ class WordIds:
         self.first, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
 
     def add(self, new: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        first = len(self.ids) + np.cumsum(size) - size
-        flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(size.sum()))
-        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
-        self.ids = np.concatenate((self.ids, flat))
-        for word in new:
-            self.known[word] = len(self.known)
+        ids, size = [self.ids], [self.size]
+        for start in range(0, len(new), TOGETHER):
+            some = new[start:start + TOGETHER]
+            found = self.tokenizer.encode(" ".join(some), add_special_tokens=False)
+            ends = np.cumsum(np.fromiter(map(len, some), np.int64, len(some)) + 1)
+            owner = np.searchsorted(ends, np.array([a for a, _ in found.offsets], np.int64), side="right")
+            ids.append(np.array(found.ids, np.uint32))
+            size.append(np.bincount(owner, minlength=len(some)))
+        self.ids, self.size = np.concatenate(ids), np.concatenate(size)
+        self.first = np.cumsum(self.size) - self.size
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         codes, offsets, distinct = words(column)
