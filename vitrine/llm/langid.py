@@ -22,6 +22,8 @@ ORDERS = (1, 2, 3)
 SMOOTHING = 0.5
 #: Languages a task counts at a time; more are written out early.
 OPEN_LANGUAGES = 64
+#: Bytes of text taken apart at a time: every character becomes several numbers.
+AT_A_TIME = 1 << 20
 
 
 def hashed_grams(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
@@ -55,7 +57,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                   names=["lang", "bucket", "n"])
         totals.clear()
 
-    for part in slices(batches):
+    for part in slices(batches, AT_A_TIME):
         for lang in pc.unique(part.column("lang")).to_pylist():
             if lang not in totals and len(totals) >= OPEN_LANGUAGES:
                 yield from rows()
@@ -95,7 +97,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
-        for part in slices(batches):
+        for part in slices(batches, AT_A_TIME):
             best, top = np.zeros(part.num_rows, np.int64), np.zeros(part.num_rows)
             if langs:
                 grams, bounds = hashed_grams(part.column("text"))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import hyperminhash, langid, packing, substrings
+from vitrine.llm import hyperminhash, itq, langid, packing, substrings
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -43,3 +43,8 @@ def op6_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return hyperminhash.near_duplicates(table(spark, sf, "documents"))
+
+
+@query
+def op8_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return itq.linked_vectors(table(spark, sf, "embeddings"))
