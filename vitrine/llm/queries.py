@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import hyperminhash, itq, langid, packing, substrings
+from vitrine.llm import hyperminhash, itq, langid, packing, substrings, vafile
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,20 @@ def op10_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op8_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return itq.linked_vectors(table(spark, sf, "embeddings"))
+
+
+@query
+def op9_exact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return vafile.top_inner_products(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+SQL["op9_exact_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS DOUBLE)) AS e
+           FROM embeddings
+           WHERE embedding IS NOT NULL AND len(embedding) > 0
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
