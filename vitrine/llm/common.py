@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from vitrine.session import materialize, prepare
 
 #: Text of so many bytes at most (or one document) is taken apart at a time, whatever the batch holds.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 19
 #: 64-bit odd constants of the rolling fingerprints and of the final mix (fixed values of splitmix64 and xxHash).
 MIX_A, MIX_B, MIX_C = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB
 

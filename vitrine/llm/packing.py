@@ -25,9 +25,11 @@ MAX_TOKENS = 4096
 MAX_SEGMENTS = 512
 LOOKAHEAD = 512
 #: Words whose ids a task remembers.
-REMEMBERED = 300_000
+REMEMBERED = 400_000
 #: New words tokenized at a time, joined by spaces.
 TOGETHER = 10_000
+#: Bytes of text taken apart at a time.
+AT_A_TIME = 6 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
@@ -45,10 +47,12 @@ class WordIds:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.first, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.known: dict[str, int] = {}  # four times the place in `places`, plus the mark that follows
+        self.places: dict[str, int] = {}
+        self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.uint32)
+        self.tokenize(["", ".", ","])
 
-    def add(self, new: list[str]) -> None:
+    def tokenize(self, new: list[str]) -> None:
         ids, size = [self.ids], [self.size]
         for start in range(0, len(new), TOGETHER):
             some = new[start:start + TOGETHER]
@@ -59,7 +63,18 @@ class WordIds:
             size.append(np.bincount(owner, minlength=len(some)))
         self.ids, self.size = np.concatenate(ids), np.concatenate(size)
         self.first = np.cumsum(self.size) - self.size
-        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        self.places.update(zip(new, range(len(self.places), len(self.places) + len(new)), strict=True))
+
+    def add(self, new: list[str]) -> None:
+        """A full stop or comma after a letter is always a word of its own for the tokenizer, which lower-cases all
+        but its special tokens."""
+        plain = [w.lower() if w.isascii() and "<" not in w else w for w in new]
+        marks = [0 if w[-1] not in ".," or not w[-2:-1].isascii() or not w[-2:-1].isalpha() else 1 if w[-1] == "." else 2
+                 for w in plain]
+        plain = [w[:-1] if m else w for w, m in zip(plain, marks, strict=True)]
+        if fresh := list(dict.fromkeys(w for w in plain if w not in self.places)):
+            self.tokenize(fresh)
+        self.known.update((raw, 4 * self.places[w] + m) for raw, w, m in zip(new, plain, marks, strict=True))
 
     def texts(self, column: pa.Array) -> Iterator[np.ndarray]:
         codes, offsets, distinct = words(column)
@@ -67,11 +82,12 @@ class WordIds:
             self.forget()
         if new := [w for w in distinct if w not in self.known]:
             self.add(new)
-        at = np.fromiter((self.known[w] for w in distinct), np.int64, len(distinct))[codes]
+        packed = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
+        at = np.stack((packed >> 2, packed & 3), 1)[codes].ravel()
         size = self.size[at]
         ends = np.cumsum(size)
         flat = self.ids[np.repeat(self.first[at] - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)]
-        bounds = np.concatenate(([0], ends))[offsets]
+        bounds = np.concatenate(([0], ends))[2 * offsets]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             yield flat[a:b]
 
@@ -208,7 +224,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, max_to
 
     def read(batches):
         known = WordIds(tokenizer_file)
-        for part in slices(batches):
+        for part in slices(batches, AT_A_TIME):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), known.texts(part.column("text")), strict=True):
                 yield doc_id, np.append(ids, np.uint32(end_id)), 0
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import hyperminhash, itq, langid, packing, substrings, vafile
+from vitrine.llm import hyperminhash, itq, langid, packing, substrings, toxicity, vafile
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,10 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS
 SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
 FROM s QUALIFY rank <= 20
 """
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").withColumn("held_out", part_of("doc_id", 5) == 0)
+    labels = table(spark, sf, "labels").where(part_of("doc_id", 5) != 0)
+    return toxicity.score(docs, toxicity.fit(docs.where(~F.col("held_out")), labels), "doc_id", "held_out")
