@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import hyperminhash, itq, langid, packing, substrings, toxicity, vafile
+from vitrine.llm import bytepair, hyperminhash, itq, langid, packing, substrings, toxicity, vafile
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,3 +72,13 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").withColumn("held_out", part_of("doc_id", 5) == 0)
     labels = table(spark, sf, "labels").where(part_of("doc_id", 5) != 0)
     return toxicity.score(docs, toxicity.fit(docs.where(~F.col("held_out")), labels), "doc_id", "held_out")
+
+
+@query
+def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    ranks = bytepair.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    encoded = bytepair.encode(table(spark, sf, "documents"), ranks, public_tokenizers.PATTERN, "doc_id").select(
+        "doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
+    return bytepair.decode(encoded, ranks, "doc_id", "n_tokens", "ids_sha256").select(
+        "doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
