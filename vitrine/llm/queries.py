@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bytepair, hyperminhash, itq, langid, packing, substrings, toxicity, vafile
+from vitrine.llm import bytepair, hyperminhash, itq, langid, packing, quality, substrings, toxicity, vafile
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -82,3 +82,9 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"))
     return bytepair.decode(encoded, ranks, "doc_id", "n_tokens", "ids_sha256").select(
         "doc_id", "n_tokens", "ids_sha256", F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    trusted = table(spark, sf, "labels").where("quality = 1").select("doc_id")
+    return quality.judge(table(spark, sf, "documents"), trusted)
