@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bytepair, hyperminhash, itq, langid, packing, quality, substrings, toxicity, vafile
+from vitrine.llm import bytepair, hyperminhash, itq, langid, licenses, packing, quality, substrings, toxicity, vafile
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -88,3 +88,11 @@ def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     trusted = table(spark, sf, "labels").where("quality = 1").select("doc_id")
     return quality.judge(table(spark, sf, "documents"), trusted)
+
+
+@query
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licenses.scan(table(spark, sf, "documents"))
+
+
+SQL["op1_license_scan"] = licenses.duckdb_sql()
