@@ -8,9 +8,9 @@ are a 64-bit band. Documents with an equal set of shingles are one class from th
 2. The estimate (share of equal registers, corrected for the collisions that two independent sets of those sizes
    would have) drops pairs far below the threshold before any text moves.
 3. What is left is confirmed on the whole texts: the exact sets of shingles.
-4. Bands whose classes do not yet lie in one component are compared in full, in blocks of BLOCK classes: in each
-   round the best unconfirmed pairs of a class with each other component, first a few, then all that remain.
-   Pairs inside a component are never needed: they cannot change it.
+4. Bands whose classes do not yet lie in one component are compared in full, in blocks of about BLOCK shingles:
+   estimates first, then the exact sets, best estimates first. Pairs inside a component are never needed: they
+   cannot change it. A block returns the links that join components, never its pairs.
 
 With bands of four registers and 28 bands, a pair at Jaccard 0.75 shares no band with a chance of 2.4e-5.
 """
@@ -37,10 +37,8 @@ MANTISSA = 10
 SHARE, OF = 75, 100
 #: Pairs whose estimate is this far below the threshold are not confirmed: four standard deviations.
 MARGIN = 0.165
-#: Classes of one band that meet in one task.
-BLOCK = 512
-#: Best pairs of a class with each other component confirmed at a time; the last round takes all.
-ROUNDS = (4, None)
+#: Shingles of the classes of one band that meet others in one task.
+BLOCK = 1 << 20
 #: Shingles hashed at a time, so that the numbers stay in the processor's cache.
 CACHED = 1 << 15
 
@@ -141,38 +139,44 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
-def _across(limit: int | None):
-    """Of one block against another: unconfirmed pairs of different components that may be similar."""
-
-    def run(group: pa.Table) -> pa.Table:
-        band = group["band"][0].as_py()
-        i, j = group["i"][0].as_py(), group["j"][0].as_py()
-        block = group["block"].to_numpy()
-        left, right = (np.flatnonzero(block == x) for x in (i, j))
-        node, part, size = (group[c].to_numpy() for c in ("node", "component", "n"))
-        bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        lanes = bands.view("<u2")
-        out = []
-        for x in left:
-            y = right[part[right] != part[x]]
-            y = y[node[y] > node[x]] if i == j else y
-            # A pair belongs to the first band that it shares.
-            y = y[(bands[y] == bands[x]).argmax(1) == band]
-            if not len(y):
+def _across(group: pa.Table) -> pa.Table:
+    """Links between different components of one block and another, as many as join what can be joined."""
+    group = group.combine_chunks()
+    band, i, j = (group[c][0].as_py() for c in ("band", "i", "j"))
+    block = group["block"].to_numpy()
+    left, right = (np.flatnonzero(block == x) for x in (i, j))
+    node, size = group["node"].to_numpy(), group["n"].to_numpy()
+    root, part = np.unique(group["component"].to_numpy(), return_inverse=True)
+    bands = group["bands"].combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    lanes = bands.view("<u2")
+    prints, bounds = shingles(group["text"].combine_chunks())
+    sets: dict[int, np.ndarray] = {}
+
+    def full(x: int) -> np.ndarray:
+        if x not in sets:
+            sets[x] = np.unique(prints[bounds[x]:bounds[x + 1]])
+        return sets[x]
+
+    a, b = [], []
+    for x in left:
+        y = right[part[right] != part[x]]
+        y = y[node[y] > node[x]] if i == j else y
+        y = y[(SHARE * np.maximum(size[y], size[x]) <= OF * np.minimum(size[y], size[x]))]
+        # A pair belongs to the first band that it shares.
+        y = y[(bands[y] == bands[x]).argmax(1) == band]
+        if not len(y):
+            continue
+        score = estimate((lanes[y] == lanes[x]).sum(1), np.full(len(y), size[x]), size[y])
+        order = np.argsort(-score, kind="stable")
+        for z in y[order[score[order] >= SHARE / OF - MARGIN]]:
+            if part[z] == part[x]:
                 continue
-            score = estimate((lanes[y] == lanes[x]).sum(1), np.full(len(y), size[x]), size[y])
-            y, score = y[score >= SHARE / OF - MARGIN], score[score >= SHARE / OF - MARGIN]
-            order = np.lexsort((-score, part[y]))
-            y = y[order]
-            if limit is not None and len(y):
-                first = np.concatenate(([True], part[y][1:] != part[y][:-1]))
-                rank = np.arange(len(y)) - np.maximum.accumulate(np.where(first, np.arange(len(y)), 0))
-                y = y[rank < limit]
-            out.append(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))))
-        pairs = np.concatenate(out, 1) if out else np.empty((2, 0), np.int64)
-        return pa.table({"a": pairs[0], "b": pairs[1]})
-
-    return run
+            common = len(np.intersect1d(full(x), full(z), assume_unique=True))
+            if OF * common >= SHARE * (len(full(x)) + len(full(z)) - common):
+                a.append(min(node[x], node[z]))
+                b.append(max(node[x], node[z]))
+                part[part == part[z]] = part[x]
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _with_sides(pairs: DataFrame, nodes: DataFrame, *columns: str) -> DataFrame:
@@ -205,7 +209,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     members = stored(members.join(shared, ["band", "key"]).select("band", "key", "node", "a"), "members")
 
     pairs = members.where("a <> node").selectExpr("a", "node as b").distinct()
-    tried = stored(_with_sides(pairs, nodes, "n", "bands").select(
+    promising = stored(_with_sides(pairs, nodes, "n", "bands").select(
         "a", "b", "n_a", "n_b", "bands_a", "bands_b").mapInArrow(_promising, "a long, b long"), "pairs")
     ids = members.select(F.col("node").alias("doc_id")).distinct()
     texts = stored(rows.join(ids, "doc_id", "left_semi").selectExpr("doc_id as node", "text").distinct(), "texts")
@@ -214,25 +218,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         both = _with_sides(candidates, texts, "text").select("a", "b", "text_a", "text_b")
         return stored(both.mapInArrow(_confirm, "a long, b long").distinct(), "links")
 
-    links = own.unionByName(confirmed(tried))
+    links = own.unionByName(confirmed(promising))
     groups = stored(components(links, "near"), "groups")
-    for limit in ROUNDS:
-        marked = members.drop("a").join(groups, "node", "left").withColumn(
-            "component", F.coalesce("component", "node"))
-        mixed_bands = marked.groupBy("band", "key").agg(
-            F.count("*").alias("size"), F.min("component").alias("low"), F.max("component").alias("high")).where(
-            "low < high and size > 2").selectExpr("band", "key", f"cast(ceil(size / {BLOCK}) as int) as blocks")
-        met = marked.join(mixed_bands, ["band", "key"]).withColumn("block", F.expr("pmod(hash(node), blocks)"))
-        met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
-            "band", "key", "node", "component", "block", "least(block, other) as i", "greatest(block, other) as j")
-        found = met.join(nodes, "node").groupBy("band", "key", "i", "j").applyInArrow(
-            _across(limit), "a long, b long").distinct()
-        new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            break
-        tried = tried.unionByName(new)
-        links = links.unionByName(confirmed(new))
-        groups = stored(components(links, "near"), "groups")
+    marked = members.drop("a").join(groups, "node", "left").join(nodes.select("node", "n"), "node").withColumn(
+        "component", F.coalesce("component", "node"))
+    mixed_bands = marked.groupBy("band", "key").agg(
+        F.count("*").alias("size"), F.sum("n").alias("total"), F.min("component").alias("low"),
+        F.max("component").alias("high")).where("low < high and size > 2").selectExpr(
+        "band", "key", f"cast(ceil(total / {BLOCK}) as int) as blocks")
+    met = marked.join(mixed_bands, ["band", "key"]).withColumn("block", F.expr("pmod(hash(node), blocks)"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).selectExpr(
+        "band", "key", "node", "component", "block", "least(block, other) as i", "greatest(block, other) as j")
+    found = stored(met.join(nodes, "node").join(texts, "node").groupBy("band", "key", "i", "j").applyInArrow(
+        _across, "a long, b long"), "links")
+    groups = stored(components(links.unionByName(found), "near"), "groups")
 
     settled = classes.drop("bands").join(groups, "node", "left").select(
         *same, F.coalesce("component", "node").alias("component_id"))
