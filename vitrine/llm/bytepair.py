@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from vitrine.llm.common import slices
+from vitrine.llm.common import passed_on, slices
 
 #: Stretches of text whose ids a task remembers.
 REMEMBERED = 300_000
@@ -177,7 +177,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *keep: str) -
             yield pa.record_batch([*(part.column(c) for c in keep), arrays], names=[*keep, "ids"])
 
     used = docs.select(*keep, docs["text"].cast("string").alias("text"))
-    return used.mapInArrow(run, _schema(used, keep, "ids array<int>"))
+    return used.mapInArrow(run, passed_on(used, keep, "ids array<int>"))
 
 
 def decode(encoded: DataFrame, ranks: dict[bytes, int], *keep: str) -> DataFrame:
@@ -209,9 +209,4 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *keep: str) -> DataFrame
                 start = stop
 
     used = encoded.select(*keep, "ids")
-    return used.mapInArrow(run, _schema(used, keep, "bytes binary"))
-
-
-def _schema(used: DataFrame, keep: tuple[str, ...], added: str) -> str:
-    kept = [f for f in used.schema.fields if f.name in keep]
-    return ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), added])
+    return used.mapInArrow(run, passed_on(used, keep, "bytes binary"))

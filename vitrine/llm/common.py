@@ -10,6 +10,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from vitrine.session import materialize, prepare
 
@@ -58,6 +59,11 @@ def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     return encoded.indices.to_numpy().astype(np.int64), kept[offsets], encoded.dictionary.to_pylist()
 
 
+def passed_on(used: DataFrame, keep: tuple[str, ...], added: str) -> StructType:
+    """The schema of the ``keep`` columns of ``used`` followed by the fields of the DDL string ``added``."""
+    return StructType([used.schema[c] for c in keep] + StructType.fromDDL(added).fields)
+
+
 def fingerprints(strings: list[str]) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
     return np.fromiter((digest(s.encode()) for s in strings), dtype=np.uint64, count=len(strings))

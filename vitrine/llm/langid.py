@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import slices
+from vitrine.llm.common import passed_on, slices
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -114,6 +114,4 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], *keep: str) ->
 
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     used = docs.select(*keep, F.col("text").cast("string").alias("text"), letters.alias("letters"))
-    kept = [f for f in used.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "lang_pred string", "score double"])
-    return used.mapInArrow(score, schema)
+    return used.mapInArrow(score, passed_on(used, keep, "lang_pred string, score double"))

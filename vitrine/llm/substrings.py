@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import MIX_C, Runs, fingerprints, mixed, slices, stored, words
+from vitrine.llm.common import MIX_C, Runs, fingerprints, mixed, passed_on, slices, stored, words
 
 WIDTH = 50
 K = 15
@@ -98,14 +98,15 @@ def _edges(width: int):
     return run
 
 
-def _strip(width: int):
-    names = ["doc_id", "n_words", "n_removed", "kept_text"]
+def _strip(width: int, layout: bool):
+    names = ["doc_id", "carried", "n_words", "n_removed", "kept_text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             total, removed, kept = [], [], []
             for text, marks in zip(part.column("text"), part.column("marks"), strict=True):
-                found = (text.as_py() or "").encode().split()
+                raw = text.as_py()
+                found = (raw or "").encode().split()
                 gone = 0
                 if marks.is_valid:
                     first, last = (c.to_numpy() for c in marks.values.flatten())
@@ -114,30 +115,32 @@ def _strip(width: int):
                     np.add.at(edge, last + width, -1)
                     covered = np.cumsum(edge[:-1]) > 0
                     gone = int(covered.sum())
-                    stay = [w for w, c in zip(found, covered.tolist(), strict=True) if not c]
-                else:
-                    stay = found
-                total.append(len(found))
+                    found = [w for w, c in zip(found, covered.tolist(), strict=True) if not c]
+                total.append(len(found) + gone)
                 removed.append(gone)
-                kept.append(b" ".join(stay).decode())
-            yield pa.record_batch([part.column("doc_id"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()),
-                                   pa.array(kept, pa.string())], names=names)
+                kept.append(raw if layout and not gone else b" ".join(found).decode())
+            yield pa.record_batch([part.column("doc_id"), part.column("carried"), pa.array(total, pa.int64()),
+                                   pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, carry: tuple[str, ...] = (),
+                   layout: bool = False) -> DataFrame:
     """Whole texts without the words of windows that also start in a document with a smaller doc_id.
 
     ``docs`` has doc_id and text; other columns are ignored. Returns doc_id, n_words, n_removed and kept_text (the
-    words left, joined by one space) for every row. A null or empty text has no words, one of fewer than ``width``
+    words left, joined by one space) for every row, after them the ``carry`` columns of ``docs``. With ``layout``, a
+    text that loses nothing stays as it is, white space and null included. A null or empty text has no words, one of fewer than ``width``
     words no window. Rows with a null doc_id keep all their words and take none from others; rows that share a
     doc_id never take from each other. An empty table gives an empty result.
     """
     if not 1 <= k <= width:
         raise ValueError("k lies between 1 and width")
-    rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text",
-                           "xxhash64(doc_id, text) as row_key")
+    whole = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+        F.xxhash64("doc_id", "text").alias("row_key"), F.struct(F.lit(0).alias("row"), *carry).alias("carried"))
+    rows = whole.drop("carried")
     paths = stored(rows.where("doc_id is not null").mapInArrow(
         _paths(width, k),
         "doc_id long, row_key long, anchor long, first int, last int, surroundings long"), "paths")
@@ -157,5 +160,7 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K) -> DataFrame
         repeated.where("not branching").select("doc_id", "row_key", "first", "last"))
     marked = marks.distinct().groupBy("doc_id", "row_key").agg(
         F.collect_list(F.struct("first", "last")).alias("marks"))
-    return rows.join(marked, ["doc_id", "row_key"], "left").mapInArrow(
-        _strip(width), "doc_id long, n_words long, n_removed long, kept_text string")
+    joined = whole.join(marked, ["doc_id", "row_key"], "left").select("doc_id", "carried", "text", "marks")
+    return joined.mapInArrow(_strip(width, layout), passed_on(
+        joined, ("doc_id", "carried"), "n_words long, n_removed long, kept_text string")).select(
+        "doc_id", "n_words", "n_removed", "kept_text", *(F.col("carried")[c].alias(c) for c in carry))

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import fingerprints, slices, words
+from vitrine.llm.common import fingerprints, passed_on, slices, words
 
 WINDOW, STRIDE = 32, 24
 WORD_DIMS = CHAR_DIMS = HIDDEN = 8
@@ -284,6 +284,4 @@ def score(docs: DataFrame, net: Network | None, *keep: str) -> DataFrame:
             yield pa.record_batch([*(part.column(c) for c in keep), pa.array(chance),
                                    pa.array((chance >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
-    kept = [f for f in used.schema.fields if f.name in keep]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score double", "predicted int"])
-    return used.mapInArrow(run, schema)
+    return used.mapInArrow(run, passed_on(used, keep, "score double, predicted int"))
