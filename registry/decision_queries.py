@@ -18,7 +18,7 @@ from vitrine.operators import explain as X
 from vitrine.operators import filters as L
 from vitrine.operators import pricing as P
 from vitrine.operators import recommend as R
-from vitrine.operators.neighbors import knn_join, knn_lsh
+from vitrine.operators.neighbors import hyperplanes, knn_join, knn_lsh
 from vitrine.operators.pairs import compare_fields, hydrate
 from vitrine.operators.rerank import rerank
 from vitrine.plans import catalog_jobs as J
@@ -100,10 +100,28 @@ def zero_result_filters(spark, sf):
     return L.zero_result_filters(queries, hits).select("query_id", "brand_key", "category_key")
 
 
-@query()
+LSH = {"tables": 6, "bits": 3, "seed": 7}
+
+
+def _lsh_sql(cte: str, of: str, depth: int, dims: int) -> str:
+    """Products with an equal signature in some table; the planes are written out."""
+    planes = hyperplanes(LSH["tables"], LSH["bits"], dims, LSH["seed"])
+    signed = ", ".join(
+        " || ".join(f"(list_inner_product(v, {[float(x) for x in plane]}) > 0)::INTEGER::VARCHAR" for plane in table)
+        + f" AS s{t}" for t, table in enumerate(planes))
+    equal = " OR ".join(f"q.s{t} = p.s{t}" for t in range(LSH["tables"]))
+    return f"""{cte}_s AS (SELECT *, {signed} FROM {of}),
+{cte} AS (SELECT q.product_id AS query_id, p.product_id, list_inner_product(q.v, p.v) / (q.norm * p.norm) AS score
+  FROM {cte}_s q JOIN {cte}_s p ON {equal}
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, p.product_id) <= {depth})"""
+
+
+@query(f"""WITH {S.vectors('vf', 1, 64)}, {_lsh_sql('n', 'vf', 11, 64)} SELECT query_id, product_id,
+  {S.r('score', 6)} AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) AS INTEGER)
+  AS rank FROM n WHERE query_id <> product_id QUALIFY rank <= 10""")
 def knn_lsh_topk(spark, sf):
     vectors = T.full_vectors(spark, sf)
-    return knn_lsh(self_queries(vectors), vectors, 10, bits=4, exclude_self=True)
+    return round_columns(knn_lsh(self_queries(vectors), vectors, 10, **LSH, exclude_self=True), "score")
 
 
 def _mixed_queries(spark, sf):

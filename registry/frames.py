@@ -10,10 +10,10 @@ from vitrine.session import prepare
 
 # Product descriptions by p_size: the supplied texts hold no catalog vocabulary.
 PHRASES = (
-    "Lightweight breathable red running shoe with mesh upper",
-    "Blue and red striped scarf, soft wool, winter",
+    "Trail runner in red, airy mesh, very lightweight",
+    "Striped wool shawl for winter, blue with some red",
     "Women's summer dress in floral silk, navy",
-    "a reddish tint, plain",
+    "slightly reddish, no pattern at all",
     "Levi's denim jeans for men, classic and durable",
     "Kids waterproof jacket, eco-friendly nylon, all-season",
     "Unisex grey hoodie, premium cotton, casual, washable",

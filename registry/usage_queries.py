@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from registry import frames as T
 from registry import sql as S
 from registry.core import query
-from vitrine.config import DEFAULTS, UsageConfig
+from vitrine.config import UsageConfig
 from vitrine.functions import scalars as N
 from vitrine.operators import filters as L
 from vitrine.operators import jobs as B
@@ -16,7 +16,6 @@ from vitrine.operators import usage as U
 from vitrine.plans import catalog_jobs as J
 from vitrine.session import working_dir
 from vitrine.sources.catalog import PAYLOAD
-from vitrine.streaming import jobs as SJ
 from vitrine.streaming import upsert as SU
 from vitrine.streaming import usage as ST
 
@@ -166,10 +165,13 @@ def ops_histogram(spark, sf):
 
 # ---------------------------------------------------------------- jobs
 
-STATES = """st AS (SELECT user_id AS job_id, count(*) FILTER (event_type = 'error') AS retry_count,
-  arg_max(event_type, struct_pack(t := ts, i := event_id)) AS last_type,
-  arg_max('failed ' || props, struct_pack(t := ts, i := event_id)) FILTER (event_type = 'error') AS error FROM events GROUP BY 1),
-states AS (SELECT *, CASE WHEN last_type <> 'error' THEN 'completed' WHEN retry_count > 5 THEN 'failed' ELSE 'retrying' END AS status FROM st)"""
+STATES = """a AS (SELECT user_id AS job_id, ts, event_id, event_type <> 'error' AS ok, props,
+  count(*) FILTER (event_type = 'error') OVER (PARTITION BY user_id ORDER BY ts, event_id) AS failures FROM events),
+fin AS (SELECT job_id, min(struct_pack(t := ts, i := event_id)) AS last FROM a WHERE ok OR failures > 5 GROUP BY 1),
+lived AS (SELECT a.*, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS back FROM a LEFT JOIN fin USING (job_id)
+  WHERE last IS NULL OR struct_pack(t := ts, i := event_id) <= last),
+states AS (SELECT job_id, failures AS retry_count, CASE WHEN ok THEN 'completed' WHEN failures > 5 THEN 'failed' ELSE 'retrying' END AS status,
+  CASE WHEN NOT ok THEN 'failed ' || props END AS error FROM lived WHERE back = 1)"""
 
 
 @query(f"""WITH {STATES} SELECT job_id, retry_count, error, status, CASE WHEN status = 'retrying' THEN 5.0::DOUBLE * 2.0::DOUBLE ** (retry_count - 1) END
@@ -275,28 +277,46 @@ def ingest(spark, sf):
 
 
 @query("""SELECT ts::DATE AS day, event_type, count(*) AS n, CAST(round(CAST(sum(value) AS DECIMAL(28,10)), 4) AS DOUBLE) AS latency_sum, count(value) AS latency_n
-  FROM events WHERE ts::DATE + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+  FROM events GROUP BY 1, 2""")
 def stream_daily_counts(spark, sf):
-    """Closed days only: the watermark keeps the last one open."""
+    """All days, the open one too."""
     T.prepare(spark)
-    out = ST.run_available(ST.daily_counters(ST.read_events(spark, sf)), "daily")
+    out = ST.run_updates(ST.daily_counters(ST.read_events(spark, sf)), "daily", "day", "event_type")
     return out.withColumn("latency_sum", N.rounded(F.col("latency_sum"), 4))
 
 
-@query("""SELECT user_id AS tenant_id, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS window_start, count(*) AS n, count(*) > 1 AS over_limit
-  FROM events GROUP BY ALL HAVING time_bucket(INTERVAL 1 HOUR, ANY_VALUE(ts)) + INTERVAL 1 HOUR <= (SELECT max(ts) - INTERVAL 10 MINUTE FROM events)""")
-def stream_rate_counts(spark, sf):
+def _rate_sql(unit: str) -> str:
+    return f"""SELECT user_id AS tenant_id, strftime(time_bucket(INTERVAL 1 {unit}, ts), '%Y-%m-%d %H:%M') AS window_start,
+  count(*) AS n, count(*) > 1 AS over_limit FROM events GROUP BY 1, 2"""
+
+
+def _rates(spark, sf, width):
     T.prepare(spark)
-    counts = ST.rate_counters(ST.read_events(spark, sf), "user_id", 1, width="1 hour")
-    return ST.run_available(counts, "rate").withColumn(
+    counts = ST.rate_counters(ST.read_events(spark, sf), "user_id", 1, width=width)
+    return ST.run_updates(counts, "rate", "tenant_id", "window_start").withColumn(
         "window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
+@query(_rate_sql("HOUR"))
+def stream_rate_counts(spark, sf):
+    return _rates(spark, sf, "1 hour")
+
+
+@query(_rate_sql("MINUTE"))
+def stream_rate_minute(spark, sf):
+    return _rates(spark, sf, "1 minute")
+
+
+@query(_rate_sql("DAY"))
+def stream_rate_day(spark, sf):
+    return _rates(spark, sf, "1 day")
+
+
 @query("""WITH d AS (SELECT event_type, unnest(generate_series(0, 6))::INTEGER + ts::DATE AS day FROM events)
-  SELECT CAST(day AS DATE) AS day, event_type, count(*) AS n FROM d WHERE day + 1 <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events) GROUP BY 1, 2""")
+  SELECT CAST(day AS DATE) AS day, event_type, count(*) AS n FROM d GROUP BY 1, 2""")
 def stream_trailing_counts(spark, sf):
     T.prepare(spark)
-    return ST.run_available(ST.trailing_counters(ST.read_events(spark, sf)), "trailing")
+    return ST.run_updates(ST.trailing_counters(ST.read_events(spark, sf)), "trailing", "day", "event_type")
 
 
 @query("SELECT event_id, event_type FROM events")
@@ -317,15 +337,3 @@ def stream_upsert(spark, sf):
     base = working_dir(spark, "upsert")
     SU.start_upsert(rows, f"{base}/table", f"{base}/checkpoint").awaitTermination()
     return SU.current(spark, f"{base}/table", rows.schema)
-
-
-@query(f"WITH {STATES} SELECT job_id, retry_count, status FROM states")
-def stream_job_state(spark, sf):
-    """The state after the last event of each job; the batch twin is ``job_state``."""
-    T.prepare(spark)
-    events = ST.read_events(spark, sf).select(
-        F.col("user_id").alias("job_id"), "event_id", "ts",
-        F.when(F.col("event_type") == "error", "error").otherwise("success").alias("outcome"))
-    out = ST.run_available(SJ.job_states(events, DEFAULTS.jobs), "jobs")
-    newest = out.groupBy("job_id").agg(F.max_by(F.struct("retry_count", "status"), "attempts").alias("s"))
-    return newest.select("job_id", "s.*")

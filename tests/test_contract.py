@@ -7,7 +7,8 @@ SF = "/root/testdata/sf0.001"
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
 SAMPLE = ("facet_keys", "knn_filtered", "similar_by_product", "recommend", "duplicate_decisions",
-          "price_trimmed", "merged_tags", "quota_hits", "trend_weekly", "rerank_diff")
+          "price_trimmed", "merged_tags", "quota_hits", "trend_weekly", "rerank_diff", "job_state", "queue_stats", "knn_lsh_topk",
+          "stream_daily_counts", "stream_rate_minute", "stream_trailing_counts", "zero_result_filters")
 
 
 def test_every_sql_has_a_query():

@@ -42,16 +42,16 @@ def queries(products, *extra):
     return products.withColumn("query_id", F.col("product_id")).select("query_id", "vector", *extra)
 
 
-@pytest.mark.parametrize("cells, collapse", [(1, True), (1, False), (9, True), (40, False)])
-def test_knn_is_exact_under_skew(spark, tmp_path, cells, collapse):
+@pytest.mark.parametrize("blocks", [1, 3, 8])
+def test_knn_is_exact_under_skew(spark, tmp_path, blocks):
     m = skewed()
     p = vectors(spark, tmp_path / "v.parquet", m)
-    got = as_lists(knn_join(queries(p), p, 7, exclude_self=True, cells=cells, collapse_copies=collapse))
+    got = as_lists(knn_join(queries(p), p, 7, exclude_self=True, blocks=blocks))
     assert got == brute(m, 7)
 
 
-@pytest.mark.parametrize("cells", [1, 8])
-def test_knn_filters_before_top_k(spark, tmp_path, cells):
+@pytest.mark.parametrize("blocks", [1, 4])
+def test_knn_filters_before_top_k(spark, tmp_path, blocks):
     m = skewed(300)
     brand = ["a" if i % 3 else f"b{i % 5}" for i in range(300)]
     price = [float(i % 50) if i % 7 else None for i in range(300)]
@@ -70,7 +70,7 @@ def test_knn_filters_before_top_k(spark, tmp_path, cells):
         return not (i % 4 == 0 and (price[j] is None or price[j] > 30))
 
     expected = {i: v for i, v in brute(m, 5, allowed, self_too=True).items() if v}
-    assert as_lists(knn_join(q, p, 5, cells=cells)) == expected
+    assert as_lists(knn_join(q, p, 5, blocks=blocks)) == expected
 
 
 def test_knn_within_group_and_string_ids(spark, tmp_path):

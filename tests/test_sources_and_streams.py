@@ -12,7 +12,6 @@ from vitrine.session import working_dir
 from vitrine.sources import catalog as C
 from vitrine.sources import sinks as W
 from vitrine.sources.evaluation import DatasetError, load_dataset
-from vitrine.streaming import jobs as SJ
 from vitrine.streaming import upsert as SU
 from vitrine.streaming import usage as ST
 
@@ -117,12 +116,10 @@ def test_stream_counters_equal_batch(spark, tmp_path):
     at = dt.datetime(2026, 1, 1)
     rows = [(at + dt.timedelta(hours=5 * i), i % 3, "view" if i % 2 else "click") for i in range(40)]
     write_events(spark, folder, rows)
-    got = ST.run_available(ST.daily_counters(ST.read_events(spark, folder, "*.parquet")), "t-daily")
-    closed = rows[-1][0] - dt.timedelta(hours=1)
+    got = ST.run_updates(ST.daily_counters(ST.read_events(spark, folder, "*.parquet")), "t-daily", "day", "event_type")
     batch = {}
     for ts, _, kind in rows:
-        if dt.datetime.combine(ts.date() + dt.timedelta(days=1), dt.time()) <= closed:
-            batch[ts.date(), kind] = batch.get((ts.date(), kind), 0) + 1
+        batch[ts.date(), kind] = batch.get((ts.date(), kind), 0) + 1
     assert {(r["day"], r["event_type"]): r["n"] for r in got.collect()} == batch
     twice = ST.read_events(spark, folder, "*.parquet").withColumn("c", F.explode(F.array(F.lit(1), F.lit(2))))
     assert ST.run_available(ST.once_per_id(twice.drop("c")), "t-dedup").count() == 40
@@ -158,20 +155,3 @@ def test_stream_upsert_converges_and_gates(spark, tmp_path):
     gated = working_dir(spark, "t-gate")
     SU.start_upsert(rows(), f"{gated}/t", f"{gated}/c", prepare=SU.gate_with(find, "block")).awaitTermination()
     assert sorted(r["product_id"] for r in SU.current(spark, f"{gated}/t", schema).collect()) == [2, 5, 6, 7]
-
-
-def test_stream_job_lifecycle(spark, tmp_path):
-    folder = str(tmp_path / "ev")
-    at = dt.datetime(2026, 1, 1)
-    rows = [(at, 1, "running"), (at + dt.timedelta(seconds=5), 1, "error"), (at + dt.timedelta(seconds=9), 1, "success"),
-            (at, 2, "running"), (at + dt.timedelta(days=2), 3, "error")]
-    write_events(spark, folder, rows)
-    events = ST.read_events(spark, folder, "*.parquet").select(
-        F.col("user_id").alias("job_id"), "event_id", "ts", F.col("event_type").alias("outcome"))
-    out = ST.run_available(SJ.job_states(events), "t-jobs").collect()
-    last = {}
-    for r in sorted(out, key=lambda r: r["attempts"]):
-        last[r["job_id"]] = r
-    assert (last[1]["status"], last[1]["retry_count"]) == ("completed", 1)
-    assert last[3]["status"] == "retrying" and last[3]["delay_seconds"] == 5.0
-    assert last[2]["stale"] and last[2]["status"] == "retrying"

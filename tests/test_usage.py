@@ -71,9 +71,13 @@ def test_audit_and_history(spark):
 def test_job_states(spark):
     rows = [("ok", 1, False, "e", day(1)), ("ok", 2, True, None, day(2)), ("r", 1, False, "e1", day(1)),
             ("r", 2, False, "e2", day(2))] + [("dead", i, False, f"e{i}", day(i)) for i in range(1, 7)]
+    rows += [("late", i, i == 8, None if i == 8 else f"e{i}", day(i)) for i in range(1, 9)]  # a success after the dead letter
+    rows += [("again", 1, True, None, day(1)), ("again", 2, False, "e", day(2))]
     got = {r["job_id"]: r for r in B.job_state(spark.createDataFrame(
         rows, "job_id string, attempt int, success boolean, error string, completed_at timestamp")).collect()}
-    assert got["ok"]["status"] == "completed"
+    assert (got["ok"]["status"], got["ok"]["error"], got["ok"]["retry_count"]) == ("completed", None, 1)
+    assert (got["late"]["status"], got["late"]["error"], got["late"]["retry_count"]) == ("failed", "e6", 6)
+    assert (got["again"]["status"], got["again"]["error"]) == ("completed", None)
     assert (got["r"]["status"], got["r"]["delay_seconds"], got["r"]["error"]) == ("retrying", 10.0, "e2")
     assert got["dead"]["status"] == "failed" and got["dead"]["dead_letter"]
     log = spark.createDataFrame([("a", "running", day(1), 1), ("b", "running", day(1), 2), ("b", "completed", day(1), 3)],

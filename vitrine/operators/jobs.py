@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.config import DEFAULTS, JobConfig
@@ -16,21 +16,27 @@ def retry_delay(retries: Column, cfg: JobConfig = DEFAULTS.jobs) -> Column:
 def job_state(attempts: DataFrame, cfg: JobConfig = DEFAULTS.jobs) -> DataFrame:
     """Per job its status, failure count, last error and next delay.
 
-    ``attempts`` is (job_id, attempt, success, error, completed_at).
+    ``attempts`` is (job_id, attempt, success, error, completed_at). The first success, or the first failure beyond
+    ``max_retries``, ends a job: later attempts change nothing. A completed job has no error.
     """
-    state = attempts.groupBy("job_id").agg(
+    order = Window.partitionBy("job_id").orderBy("attempt")
+    ended = attempts.withColumn("_failures", F.count_if(~F.col("success")).over(order)).withColumn(
+        "_terminal", F.col("success") | (F.col("_failures") > cfg.max_retries))
+    earlier = F.count_if("_terminal").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    state = ended.withColumn("_ended_before", earlier).where("_ended_before = 0").groupBy("job_id").agg(
         F.max("attempt").alias("attempts"),
         F.count_if(~F.col("success")).alias("retry_count"),
-        F.max_by("success", "attempt").alias("_last_ok"),
-        F.max_by("error", F.when(~F.col("success"), F.col("attempt"))).alias("error"),
+        F.bool_or("success").alias("_done"),
+        F.max_by("error", F.when(~F.col("success"), F.col("attempt"))).alias("_error"),
         F.max_by("completed_at", "attempt").alias("updated_at"),
     )
-    status = (F.when(F.col("_last_ok"), "completed")
+    status = (F.when(F.col("_done"), "completed")
               .when(F.col("retry_count") > cfg.max_retries, "failed").otherwise("retrying"))
     return state.withColumn("status", status).withColumns({
+        "error": F.when(F.col("status") != "completed", F.col("_error")),
         "delay_seconds": F.when(F.col("status") == "retrying", retry_delay(F.col("retry_count"), cfg)),
         "dead_letter": F.col("status") == "failed",
-    }).drop("_last_ok")
+    }).drop("_done", "_error")
 
 
 def latest_status(lifecycle: DataFrame) -> DataFrame:

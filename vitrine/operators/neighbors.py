@@ -1,49 +1,37 @@
 """Top-k cosine joins between a table of queries and a table of products.
 
-Vectors travel in packs: each map task gathers the vectors that share a cell into rows of at
-most ``PACK_ROWS``, so a cell of any size becomes many bounded rows. Query packs meet product
-packs in an ordinary equi-join on the cell; one matrix product per pair of packs keeps at most
-``k`` rows per query, and a window takes the best ``k`` overall. No pair list is ever built.
-
-Cells come from one of three rules:
-
-* a small catalog (measured: at most ``SINGLE_CELL_ROWS`` rows and ``BROADCAST_BYTES``) is a
-  single cell and is broadcast;
-* a larger one is cut around pivots. Queries first search the cell they fall in; the k-th score
-  found there and each cell's radius then tell which other cells could still hold a better
-  product, and only those are searched. The result is exact;
-* ``knn_lsh`` uses random hyperplanes and searches equal signatures only (approximate).
-
-Exact copies are collapsed first: of products with equal vector and facets only the ``k`` lowest
-ids can be in any result, and queries with equal vector and filters are answered once.
+Vectors travel in packs of at most ``PACK_ROWS``. Queries and products are dealt to ``blocks`` blocks each by a hash
+of their id, and every pack meets every pack of the opposite side once, in one cell of the blocks x blocks grid. One
+matrix product per pair of packs keeps at most ``k`` rows per query, and a window takes the best ``k`` overall. No
+pair list is built, and the plan is the same for every size of table; ``blocks`` is the degree of parallelism.
+
+Equality filters are part of the join key: a query that asks for a brand meets the packs of that brand only. A price
+range is a mask inside the kernel. ``knn_lsh`` adds the signature of random hyperplanes to the key and so searches
+equal signatures only (approximate).
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vitrine.config import SCORE_DECIMALS
-from vitrine.session import materialize
 
 PACK_ROWS = 1024
 CHUNK_ROWS = 65_536
-BROADCAST_BYTES = 32 * 1024 * 1024
-SINGLE_CELL_ROWS = 20_000
-ROWS_PER_CELL = 500
-MAX_CELLS = 4_096
-ROWS_PER_SIGNATURE = 5_000
+BLOCKS = 4
 QUERY_FACETS = ("brand_key", "category_key", "min_price", "max_price")
-PRODUCT_FACETS = ("brand_key", "category_key", "price")
 
-CellRule = Callable[[np.ndarray, pa.Table], tuple[np.ndarray, np.ndarray]]
+#: Which equality filters a query sets, as bits: brand 1, category 2.
+KEYS = ("brand_key", "category_key")
+CellRule = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]]
 
 
 # ---------------------------------------------------------------- inside tasks
@@ -73,54 +61,39 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _packer(cells_of: CellRule, carried: list[str], pivots: np.ndarray | None = None):
-    """A ``mapInArrow`` function that turns rows into packs of one cell each."""
+def _packer(carried: list[str]):
+    """A ``mapInArrow`` function that turns rows into packs of one block and key each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches):
             raw = _matrix(table.column("vector"))
-            rows, cells = cells_of(raw, table)
-            if len(rows) == 0:
-                continue
+            block = table.column("block").to_numpy()
             within = table.column("within").combine_chunks().dictionary_encode()
             if isinstance(within, pa.ChunkedArray):
                 within = within.chunk(0)
             codes = within.indices.to_numpy(zero_copy_only=False)
-            order = np.lexsort((codes[rows], cells))
-            rows, cells = rows[order], cells[order]
-            codes = codes[rows]
-            change = np.flatnonzero((np.diff(cells) != 0) | (np.diff(codes) != 0)) + 1
+            order = np.lexsort((codes, block))
+            block, codes = block[order], codes[order]
+            change = np.flatnonzero((np.diff(block) != 0) | (np.diff(codes) != 0)) + 1
             starts = np.concatenate(([0], change))
-            ends = np.concatenate((change, [len(rows)]))
+            ends = np.concatenate((change, [len(order)]))
             bounds = [
                 (s, min(s + PACK_ROWS, e))
                 for first, e in zip(starts, ends)
                 for s in range(first, e, PACK_ROWS)
             ]
-            offsets = pa.array([s for s, _ in bounds] + [len(rows)], pa.int32())
-            take = pa.array(rows)
-            radius = []
-            for s, e in bounds:
-                if pivots is None:
-                    radius.append(0.0)
-                else:
-                    cos = _unit(raw[rows[s:e]]) @ pivots[cells[s]]
-                    radius.append(float(np.arccos(np.clip(cos, -1, 1)).max()))
+            offsets = pa.array([s for s, _ in bounds] + [len(order)], pa.int32())
             heads = [s for s, _ in bounds]
             arrays = [
-                pa.array(cells[heads].astype(np.int32)),
+                pa.array(block[heads].astype(np.int32)),
                 within.dictionary.take(pa.array(codes[heads])),
-                pa.array([e - s for s, e in bounds], pa.int32()),
-                pa.array(radius, pa.float64()),
-                pa.array([raw[rows[s:e]].tobytes() for s, e in bounds], pa.binary()),
+                pa.array([raw[order[s:e]].tobytes() for s, e in bounds], pa.binary()),
             ]
             arrays += [
-                pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks().take(take))
+                pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks().take(pa.array(order)))
                 for c in carried
             ]
-            yield pa.RecordBatch.from_arrays(
-                arrays, names=["cell", "within", "n", "radius", "matrix", *carried]
-            )
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "within", "matrix", *carried])
 
     return run
 
@@ -130,7 +103,7 @@ def _assigner(rule: CellRule):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _chunks(batches):
-            rows, cells = rule(_matrix(table.column("vector")), table)
+            rows, cells = rule(_matrix(table.column("vector")))
             for start in range(0, len(rows), CHUNK_ROWS):
                 part = slice(start, start + CHUNK_ROWS)
                 out = table.take(pa.array(rows[part])).append_column(
@@ -140,79 +113,33 @@ def _assigner(rule: CellRule):
     return run
 
 
-def _given_cell(raw: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    return np.arange(len(raw)), table.column("cell").to_numpy()
+def hyperplanes(tables: int, bits: int, dims: int, seed: int) -> np.ndarray:
+    return np.random.default_rng(seed).normal(size=(tables, bits, dims))
 
 
-def _single_cell(raw: np.ndarray, _table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.arange(len(raw))
-    return rows, np.zeros(len(raw), dtype=np.int64)
-
-
-def _nearest_pivot(pivots: np.ndarray) -> CellRule:
-    def rule(raw: np.ndarray, _table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.arange(len(raw)), np.argmax(_unit(raw) @ pivots.T, axis=1)
-
-    return rule
-
-
-def _cells_in_reach(pivots: np.ndarray, radius: np.ndarray) -> CellRule:
-    """Every cell but the home one whose best possible score reaches the query's k-th score."""
-
-    def rule(raw: np.ndarray, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        cos = _unit(raw) @ pivots.T
-        angle = np.arccos(np.clip(cos, -1, 1))
-        best = np.cos(np.maximum(0.0, angle - radius[None, :]))
-        floor = table.column("kth_score").to_numpy(zero_copy_only=False).astype(np.float64)
-        floor = np.where(np.isnan(floor), -2.0, floor)
-        reach = (best >= floor[:, None] - 1e-7) & (radius >= 0)[None, :]
-        reach[np.arange(len(raw)), np.argmax(cos, axis=1)] = False
-        return np.nonzero(reach)
-
-    return rule
-
-
-def _signatures(planes: np.ndarray) -> CellRule:
+def _signatures(tables: int, bits: int, seed: int) -> CellRule:
     """One cell per hash table: the sign pattern of the vector against that table's planes."""
-    tables, bits, _dim = planes.shape
     weights = 1 << np.arange(bits)
 
-    def rule(raw: np.ndarray, _table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        rows, cells = [], []
-        for t in range(tables):
-            sign = (raw.astype(np.float64) @ planes[t].T) > 0
-            rows.append(np.arange(len(raw)))
-            cells.append((sign @ weights) + t * (1 << bits))
-        return np.concatenate(rows), np.concatenate(cells)
+    def rule(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        planes = hyperplanes(tables, bits, raw.shape[1], seed)
+        cells = [((raw.astype(np.float64) @ planes[t].T) > 0) @ weights + t * (1 << bits) for t in range(tables)]
+        return np.tile(np.arange(len(raw)), tables), np.concatenate(cells)
 
     return rule
 
 
-def _codes(left: pa.Array, right: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    both = pd.factorize(np.array(left.to_pylist() + right.to_pylist(), dtype=object))[0]
-    return both[: len(left)], both[len(left):]
-
-
 def _floats(values: pa.Array) -> np.ndarray:
     return np.array([np.nan if v is None else v for v in values.to_pylist()], dtype=np.float64)
 
 
-def _allowed(row: dict, facets: list[str]) -> np.ndarray | None:
-    """Which products pass each query's filters; None when no filter column was given."""
-    mask = None
-    for name in ("brand_key", "category_key"):
-        if name in facets:
-            q, p = _codes(row[f"q_{name}"], row[f"p_{name}"])
-            step = (q[:, None] == -1) | (q[:, None] == p[None, :])
-            mask = step if mask is None else mask & step
-    if "price" in facets:
-        price = _floats(row["p_price"])[None, :]
-        low = _floats(row["q_min_price"])[:, None]
-        high = _floats(row["q_max_price"])[:, None]
-        with np.errstate(invalid="ignore"):
-            step = (np.isnan(low) | (price >= low)) & (np.isnan(high) | (price <= high))
-        mask = step if mask is None else mask & step
-    return mask
+def _allowed(row: dict) -> np.ndarray:
+    """Which products lie in each query's price range; a missing price lies in none."""
+    price = _floats(row["p_price"])[None, :]
+    low = _floats(row["q_min_price"])[:, None]
+    high = _floats(row["q_max_price"])[:, None]
+    with np.errstate(invalid="ignore"):
+        return (np.isnan(low) | (price >= low)) & (np.isnan(high) | (price <= high))
 
 
 def _best(score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,7 +157,7 @@ def _best(score: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.
     return rows[keep], cols[keep]
 
 
-def _kernel(k: int, dtype: str, facets: list[str]):
+def _kernel(k: int, dtype: str, priced: bool):
     """A ``mapInArrow`` function: one matrix product and a local top-k per pair of packs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,9 +172,8 @@ def _kernel(k: int, dtype: str, facets: list[str]):
                 p = _unit(np.frombuffer(row["p_matrix"], dtype).reshape(len(product_ids), -1))
                 raw = q @ p.T
                 score = np.round(raw, SCORE_DECIMALS)
-                mask = _allowed(row, facets)
-                if mask is not None:
-                    score[~mask] = -np.inf
+                if priced:
+                    score[~_allowed(row)] = -np.inf
                 ids = pd.Series(product_ids.to_pylist())
                 rows, cols = _best(score, ids.rank(method="first").to_numpy(), k)
                 yield pa.RecordBatch.from_arrays(
@@ -269,192 +195,108 @@ def top_k(hits: DataFrame, k: int, *, by: str = "rank_score", group: str = "quer
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _prepare(df: DataFrame, id_name: str, facets: list[str], within: str | None) -> DataFrame:
+def _rows(df: DataFrame, id_name: str, facets: list[str], within: str | None) -> DataFrame:
     columns = [F.col(id_name), F.col("vector")]
     columns += [F.col(f).cast("double") if "price" in f else F.col(f) for f in facets]
-    columns.append(F.col(within).cast("string").alias("within") if within
-                   else F.lit("").alias("within"))
+    columns.append(F.col(within).cast("string").alias("within") if within else F.lit("").alias("within"))
     return df.select(*columns).filter(F.col("vector").isNotNull() & F.col("within").isNotNull())
 
 
-def _pack(df: DataFrame, rule: CellRule, carried: list[str], prefix: str,
-          pivots: np.ndarray | None = None) -> DataFrame:
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    schema = T.StructType(
-        [T.StructField("cell", T.IntegerType()), T.StructField("within", T.StringType()),
-         T.StructField("n", T.IntegerType()), T.StructField("radius", T.DoubleType()),
-         T.StructField("matrix", T.BinaryType())]
-        + [T.StructField(c, T.ArrayType(kinds[c])) for c in carried]
-    )
-    packs = df.mapInArrow(_packer(rule, carried, pivots), schema)
-    keep = ("cell", "within")
-    return packs.select(*keep, *[F.col(c).alias(f"{prefix}_{c}")
-                                 for c in packs.columns if c not in keep])
+def _keyed(queries: DataFrame, products: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Adds to ``within`` the equality filters a query sets; products carry one row for each set of filters."""
+    if not keys:
+        return queries, products
 
+    def key(names: tuple[str, ...]):
+        return F.to_json(F.struct(F.col("within"), *(F.col(n) for n in names)))
 
-def _by_cell(df: DataFrame, rule: CellRule) -> DataFrame:
-    """Rows with their cell, the rows of a cell brought together so that packs fill up.
-
-    Rebalancing lets Spark split a cell that outgrows its partition.
-    """
-    schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
-    return df.mapInArrow(_assigner(rule), schema).hint("rebalance", "cell", "within")
+    sets = [tuple(k for i, k in enumerate(keys) if bits >> i & 1) for bits in range(1 << len(keys))]
+    own = F.coalesce(*(F.when(sum(F.col(k).isNotNull().cast("int") * (1 << i) for i, k in enumerate(keys)) == bits,
+                              key(names)) for bits, names in enumerate(sets)))
+    offered = F.array_compact(F.array(*(
+        F.when(reduce(Column.__and__, (F.col(n).isNotNull() for n in names), F.lit(True)), key(names)) for names in sets)))
+    return (queries.withColumn("within", own).drop(*keys),
+            products.withColumn("within", F.explode(offered)).drop(*keys))
 
 
-def _score(query_packs: DataFrame, product_packs: DataFrame, k: int, dtype: str,
-           facets: list[str], ids: tuple[T.DataType, T.DataType]) -> DataFrame:
+def _packs(df: DataFrame, id_name: str, carried: list[str], prefix: str, blocks: int) -> DataFrame:
+    """Packs of the rows of one key and block, which are brought together first so that packs fill up."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType(
-        [T.StructField("query_id", ids[0]), T.StructField("product_id", ids[1]),
-         T.StructField("score", T.DoubleType()), T.StructField("rank_score", T.DoubleType())]
-    )
-    return (
-        query_packs.join(product_packs, ["cell", "within"])
-        .drop("q_n", "q_radius", "p_n", "p_radius")
-        .mapInArrow(_kernel(k, dtype, facets), schema)
-    )
-
-
-def _shapes(queries: DataFrame, products: DataFrame):
-    q_facets = [c for c in QUERY_FACETS if c in queries.columns]
-    p_facets = [c for c in PRODUCT_FACETS
-                if c in products.columns and (c in q_facets or (c == "price" and (
-                    "min_price" in q_facets or "max_price" in q_facets)))]
-    if "price" in p_facets:
-        for bound in ("min_price", "max_price"):
-            if bound not in q_facets:
-                queries = queries.withColumn(bound, F.lit(None).cast("double"))
-                q_facets.append(bound)
-    q_facets = [c for c in q_facets if c in p_facets or c in ("min_price", "max_price")]
-    if "price" not in p_facets:
-        q_facets = [c for c in q_facets if c not in ("min_price", "max_price")]
-    element = products.schema["vector"].dataType.elementType
-    dtype = "<f4" if isinstance(element, T.FloatType) else "<f8"
-    ids = (queries.schema["query_id"].dataType, products.schema["product_id"].dataType)
-    return queries, q_facets, p_facets, dtype, ids
-
-
-def _collapse_products(products: DataFrame, k: int) -> DataFrame:
-    same = [c for c in products.columns if c != "product_id"]
-    order = Window.partitionBy(*same).orderBy("product_id")
-    return products.withColumn("_copy", F.row_number().over(order)).filter(
-        F.col("_copy") <= k).drop("_copy")
+        [T.StructField("block", T.IntegerType()), T.StructField("within", T.StringType()),
+         T.StructField("matrix", T.BinaryType())] + [T.StructField(c, T.ArrayType(kinds[c])) for c in carried])
+    dealt = df.withColumn("block", F.expr(f"cast(pmod(hash({id_name}), {blocks}) as int)"))
+    packs = dealt.hint("rebalance", "within", "block").mapInArrow(_packer(carried), schema)
+    return packs.select("within", F.col("block").alias(f"{prefix}_block"),
+                        *[F.col(c).alias(f"{prefix}_{c}") for c in ("matrix", *carried)])
 
 
-def _spread(df: DataFrame, column: str) -> DataFrame:
-    spark = df.sparkSession
-    width = max(int(spark.conf.get("spark.sql.shuffle.partitions")),
-                spark.sparkContext.defaultParallelism)
-    return df.repartition(width, column)
+def _every(blocks: int, name: str):
+    return F.explode(F.array(*map(F.lit, range(blocks)))).alias(name)
 
 
-def _pivots(products: DataFrame, count: int) -> np.ndarray:
-    """A fixed pseudo-random set of at most ``MAX_CELLS`` product vectors."""
-    rows = (products.select("vector", F.xxhash64("product_id").alias("h"))
-            .orderBy("h").limit(count).collect())
-    return _unit(np.array([r["vector"] for r in rows]))
-
-
-def knn_join(
-    queries: DataFrame,
-    products: DataFrame,
-    k: int,
-    *,
-    within: str | None = None,
-    exclude_self: bool = False,
-    collapse_copies: bool = True,
-    cells: int | None = None,
-) -> DataFrame:
+def _scored(queries: DataFrame, products: DataFrame, k: int, blocks: int, prices: bool) -> DataFrame:
+    """The ``k`` best products of each query and pair of packs with equal ``within``."""
+    element = products.schema["vector"].dataType.elementType
+    dtype = "<f4" if isinstance(element, T.FloatType) else "<f8"
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType),
+        T.StructField("product_id", products.schema["product_id"].dataType),
+        T.StructField("score", T.DoubleType()), T.StructField("rank_score", T.DoubleType())])
+    asked = _packs(queries, "query_id", ["query_id", *(("min_price", "max_price") if prices else ())], "q", blocks)
+    offered = _packs(products, "product_id", ["product_id", *(("price",) if prices else ())], "p", blocks)
+    met = asked.select("*", _every(blocks, "p_block")).join(
+        offered.select("*", _every(blocks, "q_block")), ["within", "q_block", "p_block"])
+    return met.drop("within", "q_block", "p_block").mapInArrow(_kernel(k, dtype, prices), schema)
+
+
+def _sides(queries: DataFrame, products: DataFrame, within: str | None) -> tuple[DataFrame, DataFrame, bool]:
+    keys = [c for c in KEYS if c in queries.columns and c in products.columns]
+    bounds = [c for c in ("min_price", "max_price") if c in queries.columns]
+    prices = bool(bounds) and "price" in products.columns
+    for bound in ("min_price", "max_price"):
+        if prices and bound not in bounds:
+            queries = queries.withColumn(bound, F.lit(None).cast("double"))
+    asked = _rows(queries, "query_id", keys + (["min_price", "max_price"] if prices else []), within)
+    offered = _rows(products, "product_id", keys + (["price"] if prices else []), within)
+    return *_keyed(asked, offered, keys), prices
+
+
+def knn_join(queries: DataFrame, products: DataFrame, k: int, *, within: str | None = None,
+             exclude_self: bool = False, blocks: int = BLOCKS) -> DataFrame:
     """The exact ``k`` most similar products per query: (query_id, product_id, score, rank).
 
-    ``queries`` has ``query_id`` and ``vector``, and optionally the filters ``brand_key``,
-    ``category_key``, ``min_price``, ``max_price`` (a null filters nothing); ``products`` has
-    ``product_id``, ``vector`` and the facets ``brand_key``, ``category_key``, ``price`` those
-    filters refer to. Filters apply before the top-k. ``within`` names a column that must be
-    equal on both sides. Ties go to the lower product id.
+    ``queries`` has ``query_id`` and ``vector``, and optionally the filters ``brand_key``, ``category_key``,
+    ``min_price``, ``max_price`` (a null filters nothing); ``products`` has ``product_id``, ``vector`` and the
+    facets ``brand_key``, ``category_key``, ``price`` those filters refer to. Filters apply before the top-k.
+    ``within`` names a column that must be equal on both sides. Ties go to the lower product id. The grid has
+    ``blocks`` x ``blocks`` cells for each key; the result does not depend on it.
     """
-    queries, q_facets, p_facets, dtype, ids = _shapes(queries, products)
+    asked, offered, prices = _sides(queries, products, within)
     depth = k + 1 if exclude_self else k
-    asked = _prepare(queries, "query_id", q_facets, within)
-    offered = _prepare(products, "product_id", p_facets, within)
-
-    representative = asked
-    if collapse_copies:
-        offered = _collapse_products(offered, depth)
-        same = [c for c in asked.columns if c != "query_id"]
-        representative = asked.groupBy(*same).agg(F.min("query_id").alias("query_id"))
-    representative = _spread(representative, "query_id")
-    q_carried, p_carried = ["query_id", *q_facets], ["product_id", *p_facets]
-
-    if cells is None:
-        stats = products.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-        total, dim = stats["n"], stats["d"] or 0
-        small = total <= SINGLE_CELL_ROWS and total * dim * int(dtype[-1]) <= BROADCAST_BYTES
-        cells = 1 if small else min(MAX_CELLS, math.ceil(total / ROWS_PER_CELL))
-
-    if cells <= 1:
-        q_packs = _pack(representative, _single_cell, q_carried, "q")
-        p_packs = _pack(offered, _single_cell, p_carried, "p")
-        hits = _score(q_packs, F.broadcast(p_packs), depth, dtype, p_facets, ids)
-        best = top_k(hits, depth)
-    else:
-        # Both are read more than once below.
-        offered, representative = materialize(offered, "offered"), materialize(representative, "asked")
-        pivots = _pivots(offered, cells)
-        home = _nearest_pivot(pivots)
-        p_packs = materialize(
-            _pack(_by_cell(offered, home), _given_cell, p_carried, "p", pivots), "packs")
-        radius = np.full(len(pivots), -1.0)
-        for r in p_packs.groupBy("cell").agg(F.max("p_radius").alias("r")).collect():
-            radius[r["cell"]] = r["r"]
-        near = materialize(
-            top_k(_score(_pack(_by_cell(representative, home), _given_cell, q_carried, "q"), p_packs,
-                         depth, dtype, p_facets, ids), depth).drop("rank"), "near")
-        floor = near.groupBy("query_id").agg(
-            F.when(F.count("*") >= depth, F.min("score")).alias("kth_score"))
-        open_queries = representative.join(floor, "query_id", "left")
-        far = _score(
-            _pack(_by_cell(open_queries, _cells_in_reach(pivots, radius)), _given_cell, q_carried, "q"),
-            p_packs, depth, dtype, p_facets, ids)
-        best = top_k(near.unionByName(far), depth)
-
-    if collapse_copies:
-        same = [c for c in asked.columns if c != "query_id"]
-        members = asked.select("query_id", F.struct(*same).alias("_key"))
-        leaders = representative.select(F.col("query_id").alias("_leader"),
-                                        F.struct(*same).alias("_key"))
-        best = (members.join(leaders, "_key").select("query_id", "_leader")
-                .join(best.withColumnRenamed("query_id", "_leader"), "_leader").drop("_leader"))
+    best = top_k(_scored(asked, offered, depth, blocks, prices), depth)
     if exclude_self:
         best = top_k(best.filter(F.col("query_id") != F.col("product_id")).drop("rank"), k)
     return best.select("query_id", "product_id", "score", "rank")
 
 
-def knn_lsh(
-    queries: DataFrame,
-    products: DataFrame,
-    k: int,
-    *,
-    tables: int = 8,
-    bits: int | None = None,
-    seed: int = 7,
-    exclude_self: bool = False,
-) -> DataFrame:
-    """Approximate ``knn_join``: only products with an equal signature in some hash table are seen.
+def knn_lsh(queries: DataFrame, products: DataFrame, k: int, *, tables: int, bits: int, seed: int = 7,
+            within: str | None = None, exclude_self: bool = False, blocks: int = BLOCKS) -> DataFrame:
+    """Approximate ``knn_join``: only products with an equal signature in some of ``tables`` hash tables are seen.
 
-    Scores are exact; a product whose signature differs in every table is missed.
+    A signature has ``bits`` bits: more bits mean less work and lower recall, more tables the opposite. Scores are
+    exact; a product whose signature differs in every table is missed.
     """
-    queries, q_facets, p_facets, dtype, ids = _shapes(queries, products)
+    asked, offered, prices = _sides(queries, products, within)
     depth = k + 1 if exclude_self else k
-    stats = products.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if bits is None:
-        bits = max(1, min(20, math.ceil(math.log2(max(2, (stats["n"] or 2) / ROWS_PER_SIGNATURE)))))
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, stats["d"] or 1))
-    rule = _signatures(planes)
-    offered = _collapse_products(_prepare(products, "product_id", p_facets, None), depth)
-    asked = _spread(_prepare(queries, "query_id", q_facets, None), "query_id")
-    hits = _score(_pack(_by_cell(asked, rule), _given_cell, ["query_id", *q_facets], "q"),
-                  _pack(_by_cell(offered, rule), _given_cell, ["product_id", *p_facets], "p"),
-                  depth, dtype, p_facets, ids)
+    rule = _signatures(tables, bits, seed)
+
+    def signed(df: DataFrame) -> DataFrame:
+        schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
+        return df.mapInArrow(_assigner(rule), schema).withColumn(
+            "within", F.concat_ws("/", F.col("cell").cast("string"), "within")).drop("cell")
+
+    hits = _scored(signed(asked), signed(offered), depth, blocks, prices)
     # A pair found in several tables is one hit.
     distinct = hits.groupBy("query_id", "product_id").agg(
         F.max("score").alias("score"), F.max("rank_score").alias("rank_score"))

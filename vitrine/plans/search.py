@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,14 +20,15 @@ def _side(queries: DataFrame, vector: str) -> DataFrame:
 
 
 def search(queries: DataFrame, image_vectors: DataFrame, text_vectors: DataFrame, k: int,
-           cfg: Config = DEFAULTS) -> DataFrame:
+           cfg: Config = DEFAULTS, neighbors: Callable[..., DataFrame] = knn_join) -> DataFrame:
     """Ranked hits for queries with ``image_vector`` and/or ``text_vector`` (either may be null).
 
     A query with both sides fuses each side's top ``k``; a query with one side keeps that side's
-    raw score. Filter columns on ``queries`` apply before the top-k of each side.
+    raw score. Filter columns on ``queries`` apply before the top-k of each side. ``neighbors`` is the
+    join to use: the exact one, or ``functools.partial(knn_lsh, tables=..., bits=...)`` for a very large catalog.
     """
-    image_hits = knn_join(_side(queries, "image_vector"), image_vectors, k)
-    text_hits = knn_join(_side(queries, "text_vector"), text_vectors, k)
+    image_hits = neighbors(_side(queries, "image_vector"), image_vectors, k)
+    text_hits = neighbors(_side(queries, "text_vector"), text_vectors, k)
     modes = queries.select(
         "query_id", F.col("image_vector").isNotNull().alias("_image"),
         F.col("text_vector").isNotNull().alias("_text"))
@@ -48,14 +51,15 @@ def search_reranked(queries: DataFrame, image_vectors: DataFrame, text_vectors:
     return reordered.unionByName(image_only.select(reordered.columns))
 
 
-def self_neighbors(vectors: DataFrame, k: int, within: str | None = None) -> DataFrame:
+def self_neighbors(vectors: DataFrame, k: int, within: str | None = None,
+                   neighbors: Callable[..., DataFrame] = knn_join) -> DataFrame:
     """The ``k + 1`` nearest of every product among all products, itself included.
 
     One such table per modality serves every by-product job: a smaller ``k`` is a rank filter.
     """
     columns = ["query_id", "vector"] + ([within] if within else [])
     queries = vectors.withColumn("query_id", F.col("product_id")).select(*columns)
-    return knn_join(queries, vectors, k + 1, within=within)
+    return neighbors(queries, vectors, k + 1, within=within)
 
 
 def similar_products(image_hits: DataFrame | None, text_hits: DataFrame | None, k: int,

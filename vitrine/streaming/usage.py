@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from vitrine.session import working_dir
 
@@ -61,3 +62,21 @@ def run_available(stream: DataFrame, label: str, partition: str | None = None) -
         writer = writer.partitionBy(partition)
     writer.start(f"{base}/out").awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/out")
+
+
+def run_updates(stream: DataFrame, label: str, *keys: str) -> DataFrame:
+    """Process everything available in update mode and return the newest row of each key, open windows included.
+
+    Each micro-batch overwrites the folder of its own id, so a retried batch converges.
+    """
+    spark = stream.sparkSession
+    base = working_dir(spark, label)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{base}/out/batch_id={batch_id}")
+
+    (stream.writeStream.outputMode("update").foreachBatch(write)
+     .option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination())
+    rows = spark.read.schema(StructType([*stream.schema.fields, StructField("batch_id", LongType())])).option("basePath", f"{base}/out").parquet(f"{base}/out")
+    newest = Window.partitionBy(*keys).orderBy(F.desc("batch_id"))
+    return rows.withColumn("_age", F.row_number().over(newest)).where("_age = 1").drop("_age", "batch_id")
