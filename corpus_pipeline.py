@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vitrine.llm import hyperminhash, langid, packing, substrings, toxicity
@@ -37,10 +37,16 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of near-duplicates, and rows without a doc_id."""
+    """The document with the smallest doc_id of each group of near-duplicates, and rows without a doc_id.
+
+    Of several rows with that doc_id the one with the smallest text stays.
+    """
     prepare(spark)
     ids = hyperminhash.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(ids, "doc_id", "left_semi").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    place = F.row_number().over(Window.partitionBy("row.doc_id").orderBy("row.text"))
+    whole = docs.join(ids, "doc_id", "left_semi").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    one = whole.withColumn("place", place).where("place = 1").select("row.*")
+    return one.unionByName(docs.where("doc_id is null"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

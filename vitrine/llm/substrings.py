@@ -139,7 +139,8 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, carry: tuple
         raise ValueError("k lies between 1 and width")
     whole = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.xxhash64("doc_id", "text").alias("row_key"), F.struct(F.lit(0).alias("row"), *carry).alias("carried"))
+        F.xxhash64("doc_id", "text").alias("row_key"),
+        F.struct(F.lit(0).alias("none"), *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry))).alias("carried"))
     rows = whole.drop("carried")
     paths = stored(rows.where("doc_id is not null").mapInArrow(
         _paths(width, k),
@@ -163,4 +164,4 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, k: int = K, carry: tuple
     joined = whole.join(marked, ["doc_id", "row_key"], "left").select("doc_id", "carried", "text", "marks")
     return joined.mapInArrow(_strip(width, layout), passed_on(
         joined, ("doc_id", "carried"), "n_words long, n_removed long, kept_text string")).select(
-        "doc_id", "n_words", "n_removed", "kept_text", *(F.col("carried")[c].alias(c) for c in carry))
+        "doc_id", "n_words", "n_removed", "kept_text", *(F.col("carried")[f"c{i}"].alias(c) for i, c in enumerate(carry)))
