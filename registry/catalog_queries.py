@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from registry import frames as T
 from registry import sql as S
 from registry.core import query
+from vitrine.config import DEFAULTS
 from vitrine.functions import scalars as N
 from vitrine.operators import enrich as E
 from vitrine.operators import filters as L
 from vitrine.operators import images as I
 from vitrine.operators import lookup as K
-from vitrine.operators.embed import hashed_text_vectors
+from vitrine.operators.embed import fit_text_weights, hashed_text_vectors
 from vitrine.operators.neighbors import knn_join
 from vitrine.plans import catalog_jobs as J
-from vitrine.session import materialize
 from vitrine.sources import catalog as C
 from vitrine.sources import sinks as W
 
@@ -73,16 +75,13 @@ def payload_text(spark, sf):
     return J.product_texts(T.catalog(spark, sf).select(pages.columns).unionAll(pages))
 
 
-@query(f"""WITH u AS (SELECT vec_id, list_transform(embedding[1:32], lambda x: x::DOUBLE) AS v FROM embeddings)
-  SELECT vec_id, {S.r('v[1] / sqrt(list_inner_product(v, v))', 6)} AS first_value,
-  {S.r('v[32] / sqrt(list_inner_product(v, v))', 6)} AS last_value, 1.0::DOUBLE AS norm FROM u""")
+@query(f"""WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)
+  SELECT vec_id, CAST(i AS INTEGER) AS position, {S.r('v[i] / sqrt(list_inner_product(v, v))', 6)} AS value
+  FROM u, generate_series(1, 64) g(i) WHERE i <= len(v)""")
 def unit_vectors(spark, sf):
-    half = T.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 32).alias("v"))
-    unit = half.select("vec_id", N.l2_normalize(F.col("v")).alias("v"))
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return unit.select("vec_id", N.rounded(F.col("v")[0], 6).alias("first_value"),
-                       N.rounded(F.col("v")[31], 6).alias("last_value"),
-                       N.rounded(norm, 6).alias("norm"))
+    unit = T.table(spark, sf, "embeddings").select("vec_id", N.l2_normalize(F.col("embedding")).alias("v"))
+    return unit.select("vec_id", F.posexplode("v").alias("position", "value")).select(
+        "vec_id", (F.col("position") + 1).alias("position"), N.rounded(F.col("value"), 6).alias("value"))
 
 
 @query("""SELECT label, count(*) FILTER (len(v) = 64) AS usable, count(*) FILTER (len(v) <> 64) AS quarantined
@@ -105,17 +104,17 @@ def facet_price_filter(spark, sf):
                              min_price=950.0, max_price=1500.0).select("product_id", "name", "price")
 
 
-@query("""SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS file_name,
-  lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1), '.(\\.[^.]+)$', 1)) AS extension,
-  CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes, sha256(html) AS checksum, 'extension' AS reject_reason
-  FROM pages""")
+@query("""SELECT page_id, f AS file_name, e AS extension, size_bytes, checksum, CASE WHEN e NOT IN ('.jpg', '.jpeg', '.png', '.webp') THEN 'extension'
+  WHEN size_bytes > 2000 THEN 'too large' END AS reject_reason FROM (
+  SELECT page_id, regexp_extract(url, '([^/]*)$', 1) || x AS f, lower(regexp_extract(regexp_extract(url, '([^/]*)$', 1) || x, '.(\\.[^.]+)$', 1)) AS e,
+  CAST(octet_length(encode(html)) AS BIGINT) AS size_bytes, sha256(html) AS checksum
+  FROM (SELECT *, ['.JPG', '.png', '.gif', '.webp', ''][page_id % 5 + 1] AS x FROM pages))""")
 def file_intake(spark, sf):
-    pages = T.table(spark, sf, "pages")
-    files = pages.select("page_id", F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    described = C.describe_files(files).withColumnRenamed("path", "url").dropDuplicates(["url", "checksum"])
-    checked = L.check_files(described)
-    return pages.select("page_id", "url", F.sha2("html", 256).alias("checksum")).join(
-        checked, ["url", "checksum"]).select(
+    """Pages as uploaded files of several kinds, accepted up to 2,000 bytes."""
+    kind = F.element_at(F.array(*map(F.lit, (".JPG", ".png", ".gif", ".webp", ""))), (F.col("page_id") % 5 + 1).cast("int"))
+    files = T.table(spark, sf, "pages").select(
+        "page_id", F.concat("url", kind).alias("path"), F.encode("html", "UTF-8").alias("content"))
+    return L.check_files(C.describe_files(files), replace(DEFAULTS.intake, max_bytes=2000)).select(
         "page_id", "file_name", "extension", "size_bytes", "checksum", "reject_reason")
 
 
@@ -315,12 +314,12 @@ def image_checks(spark, sf):
 
 
 @query(f"""WITH {PIXELS}, h AS (SELECT image_id, r // 32 * 64 + g // 32 * 8 + b // 32 AS cell, count(*) AS n FROM px GROUP BY ALL)
-  SELECT image_id, arg_max(cell, struct_pack(n := n, c := -cell)) AS top_cell,
-  {S.r('max(n) / sqrt(sum(n * n))', 4)} AS top_share FROM h GROUP BY 1""")
+  SELECT image_id, CAST(cell AS INTEGER) AS cell, {S.r('n / sqrt(sum(n * n) OVER (PARTITION BY image_id))', 4)} AS share FROM h""")
 def color_histogram(spark, sf):
+    """All cells that are not zero."""
     v = I.color_histogram(T.pixels(spark, sf))
-    return v.select("image_id", (F.array_position("vector", F.array_max("vector")) - 1).cast("int")
-                    .alias("top_cell"), N.rounded(F.array_max("vector"), 4).alias("top_share"))
+    return v.select("image_id", F.posexplode("vector").alias("cell", "share")).where("share > 0").select(
+        "image_id", "cell", N.rounded(F.col("share"), 4).alias("share"))
 
 
 PREDICTIONS = f"""{S.text_attributes()}, {PIXELS},
@@ -367,28 +366,31 @@ def merged_tags(spark, sf):
     return E.merge_tags(tags)
 
 
-@query()
+@query(f"""WITH {S.CATALOG}, t AS (SELECT product_id, concat_ws('. ', name, brand, category) AS text FROM catalog),
+w AS (SELECT product_id, CAST(('0x' || substr(md5(w), 1, 8))::BIGINT % 384 AS INTEGER) AS bucket, count(*) AS n FROM
+  (SELECT product_id, unnest(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM t) WHERE w <> '' GROUP BY ALL),
+idf AS (SELECT bucket, ln(((SELECT count(*) FROM t) + 1.0::DOUBLE) / (count(*) + 1)) AS idf FROM w GROUP BY 1),
+x AS (SELECT product_id, bucket, n * idf AS v FROM w JOIN idf USING (bucket))
+SELECT product_id, bucket, {S.r('CAST(v / sqrt(sum(v * v) OVER (PARTITION BY product_id)) AS FLOAT)', 5)} AS value FROM x WHERE v <> 0""")
 def text_embeddings(spark, sf):
-    texts = J.product_texts(T.submitted(spark, sf))
-    return hashed_text_vectors(texts).select("product_id", F.size("vector").alias("dimension"))
+    """All entries of the catalog's text vectors that are not zero."""
+    texts = J.product_texts(T.catalog(spark, sf))
+    vectors = hashed_text_vectors(texts, fit_text_weights(texts))
+    return vectors.select("product_id", F.posexplode("vector").alias("bucket", "value")).where("value <> 0").select(
+        "product_id", "bucket", N.rounded(F.col("value"), 5).alias("value"))
 
 
 @query()
 def price_described(spark, sf):
-    """Text embedding, text search and pricing of every submitted product."""
+    """Text embedding, text search and pricing of every catalog product by its description."""
     catalog = T.catalog(spark, sf)
-    stored = materialize(
-        hashed_text_vectors(J.product_texts(catalog)).select("product_id", "vector"), "text-vectors")
+    texts = J.product_texts(catalog)
+    weights = fit_text_weights(texts)
 
     def embed(asked):
-        both = asked.select("query_id", "text", F.lit(True).alias("asked")).unionByName(
-            J.product_texts(catalog).select(F.col("product_id").alias("query_id"), "text",
-                                            F.lit(False).alias("asked")))
-        return materialize(
-            hashed_text_vectors(both).filter("asked").select("query_id", "vector"), "asked-vectors")
-
-    described = T.catalog(spark, sf)
-    priced = J.price_described(described, stored, catalog, embed)
+        return hashed_text_vectors(asked, weights, key="query_id")
+
+    priced = J.price_described(catalog, hashed_text_vectors(texts, weights), catalog, embed)
     return priced.drop("comparables", "relevant_count")
 
 
@@ -401,7 +403,6 @@ def price_described(spark, sf):
   ORDER BY round(score, 9) DESC, product_id) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def knn_color(spark, sf):
     """Nearest images by their default color vectors."""
-    vectors = materialize(
-        I.color_histogram(T.pixels(spark, sf)).withColumnRenamed("image_id", "product_id"), "colors")
+    vectors = I.color_histogram(T.pixels(spark, sf)).withColumnRenamed("image_id", "product_id")
     hits = knn_join(vectors.withColumnRenamed("product_id", "query_id"), vectors, 5, exclude_self=True)
     return hits.withColumn("score", N.rounded(F.col("score"), 6))

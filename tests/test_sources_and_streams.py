@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.operators.embed import hashed_text_vectors, model_embedder
+from vitrine.operators.embed import fit_text_weights, hashed_text_vectors, model_embedder
 from vitrine.operators import lookup as K
 from vitrine.session import working_dir
 from vitrine.sources import catalog as C
@@ -93,7 +93,7 @@ def test_cache_ttl(spark, tmp_path):
 
 def test_text_and_model_embedders(spark):
     frame = spark.createDataFrame([(1, "red shoe"), (2, "shoe red"), (3, "blue lamp")], "product_id long, text string")
-    v = {r["product_id"]: np.array(r["vector"]) for r in hashed_text_vectors(frame).collect()}
+    v = {r["product_id"]: np.array(r["vector"]) for r in hashed_text_vectors(frame, fit_text_weights(frame)).collect()}
     assert np.allclose(v[1], v[2]) and np.isclose(np.linalg.norm(v[3]), 1, atol=1e-6) and len(v[1]) == 384
 
     def load():

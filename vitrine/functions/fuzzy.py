@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vitrine.functions.scalars import blank_to_null
 
@@ -38,21 +38,35 @@ def similarity(a: str, b: str) -> float:
     return 2.0 * _common_subsequence(a, b) / (len(a) + len(b))
 
 
-@pandas_udf(DoubleType())
-def _similarity_udf(a: pd.Series, b: pd.Series) -> pd.Series:
-    # Catalog values repeat, so one batch holds few distinct pairs.
-    known: dict[tuple[str, str], float | None] = {}
-    out = []
-    for pair in zip(a, b):
-        if pair not in known:
-            known[pair] = None if pair[0] is None or pair[1] is None else similarity(*pair)
-        out.append(known[pair])
-    return pd.Series(out, dtype="float64")
+def token_similarities(pairs: dict[str, tuple[Column, Column]]) -> Column:
+    """A struct with the similarity in [0, 1] of each pair of ``sorted_tokens`` values; null when either is missing.
+
+    All pairs of a row go to Python in one call, and equal pairs of a batch, of whatever field, are computed once.
+    """
+    names = list(pairs)
+    fields = StructType([StructField(n, DoubleType()) for n in names])
+
+    @pandas_udf(fields)
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        known: dict[tuple[str, str], float] = {}
+        out = {}
+        for i, name in enumerate(names):
+            a, b = rows.iloc[:, 2 * i], rows.iloc[:, 2 * i + 1]
+            code, distinct = pd.MultiIndex.from_arrays([a, b]).factorize()
+            values = []
+            for pair in distinct:
+                if pair not in known:
+                    known[pair] = float("nan") if pd.isna(pair[0]) or pd.isna(pair[1]) else similarity(*pair)
+                values.append(known[pair])
+            out[name] = pd.Series(values, dtype="float64").reindex(code).array
+        return pd.DataFrame(out).astype(object).where(lambda d: d.notna(), None)
+
+    return run(F.struct(*(c.alias(f"{side}{i}") for i, pair in enumerate(pairs.values()) for side, c in zip("ab", pair))))
 
 
 def token_similarity(a: Column, b: Column) -> Column:
     """Similarity of two ``sorted_tokens`` values in [0, 1]; null when either is missing."""
-    return F.when(a.isNotNull() & b.isNotNull(), _similarity_udf(a, b))
+    return token_similarities({"value": (a, b)})["value"]
 
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:

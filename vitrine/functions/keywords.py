@@ -151,13 +151,3 @@ def all_values(hits: Column, dictionary: dict[str, str], keywords=ALL_KEYWORDS)
     known = F.filter(F.transform(hits, lambda h: F.try_element_at(table, h)), lambda v: v.isNotNull())
     values = F.array(*map(F.lit, dict.fromkeys(dictionary.values())))
     return F.array_intersect(values, F.flatten(known))
-
-
-def first_keyword(text: Column, dictionary: dict[str, str]) -> Column:
-    """``first_value`` of a text and one dictionary."""
-    return first_value(keyword_hits(text, tuple(dictionary)), dictionary, tuple(dictionary))
-
-
-def all_keywords(text: Column, dictionary: dict[str, str]) -> Column:
-    """``all_values`` of a text and one dictionary."""
-    return all_values(keyword_hits(text, tuple(dictionary)), dictionary, tuple(dictionary))

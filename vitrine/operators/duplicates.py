@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.config import DEFAULTS, DuplicateConfig, VerifyConfig
-from vitrine.functions.fuzzy import token_similarity
+from vitrine.functions.fuzzy import token_similarities
 from vitrine.functions.scalars import (
     blank_to_null, clamp01, fixed, fold, mean_of_present, percent, rank_value)
 from vitrine.operators.pairs import pair_up, with_tokens
@@ -27,8 +27,9 @@ def _fuzzy_pairs(hits: DataFrame, targets: DataFrame, candidates: DataFrame, fie
     targets = with_tokens(targets, fields)
     candidates = targets if same else with_tokens(candidates, fields)
     paired = pair_up(hits, targets, candidates, columns)
-    return paired.withColumns({
-        f"sim_{f}": token_similarity(F.col(f"t_tok_{f}"), F.col(f"c_tok_{f}")) for f in fields})
+    found = token_similarities({f: (F.col(f"t_tok_{f}"), F.col(f"c_tok_{f}")) for f in fields})
+    paired = paired.withColumn("_sim", found)
+    return paired.withColumns({f"sim_{f}": F.col("_sim")[f] for f in fields}).drop("_sim")
 
 
 def score_pairs(hits: DataFrame, targets: DataFrame, candidates: DataFrame,
@@ -53,16 +54,6 @@ def score_pairs(hits: DataFrame, targets: DataFrame, candidates: DataFrame,
     return scored.withColumn("overall_similarity", clamp01(total))
 
 
-def signal_rows(cfg: DuplicateConfig = DEFAULTS.duplicate) -> Column:
-    """The signals as (name, score, weight, contribution) rows."""
-    weights = (("image", cfg.image_weight), ("text", cfg.text_weight),
-               ("metadata", cfg.metadata_weight), ("attribute", cfg.attribute_weight))
-    return F.array(*[
-        F.struct(F.lit(n).alias("name"), F.col(f"{n}_signal").alias("score"),
-                 F.lit(w).alias("weight"), (F.col(f"{n}_signal") * w).alias("contribution"))
-        for n, w in weights])
-
-
 def decide(subjects: DataFrame, scored: DataFrame,
            cfg: DuplicateConfig = DEFAULTS.duplicate) -> DataFrame:
     """One decision per subject from its best-scored candidate."""

@@ -11,26 +11,6 @@ from vitrine.config import DEFAULTS, IntakeConfig
 from vitrine.functions.scalars import blank_to_null, facet_key, rounded, strip
 
 
-def passes_facets(product: dict[str, Column], *, brand_key: Column | None = None,
-                  category_key: Column | None = None, min_price: Column | None = None,
-                  max_price: Column | None = None) -> Column:
-    """All given conditions hold; a null condition filters nothing.
-
-    A product without a price fails as soon as a price bound is set.
-    """
-    checks = []
-    if brand_key is not None:
-        checks.append(brand_key.isNull() | F.coalesce(product["brand_key"] == brand_key, F.lit(False)))
-    if category_key is not None:
-        checks.append(category_key.isNull()
-                      | F.coalesce(product["category_key"] == category_key, F.lit(False)))
-    if min_price is not None:
-        checks.append(min_price.isNull() | F.coalesce(product["price"] >= min_price, F.lit(False)))
-    if max_price is not None:
-        checks.append(max_price.isNull() | F.coalesce(product["price"] <= max_price, F.lit(False)))
-    return reduce(lambda a, b: a & b, checks, F.lit(True))
-
-
 def filter_products(products: DataFrame, *, brand: str | None = None, category: str | None = None,
                     min_price: float | None = None, max_price: float | None = None) -> DataFrame:
     """Products passing one set of literal filters; Catalyst pushes the bounds to the scan."""

@@ -12,18 +12,22 @@ from pyspark.sql.types import DoubleType
 from vitrine.config import DEFAULTS, RerankConfig
 from vitrine.functions.scalars import rank_value, sigmoid
 
+#: From a query's and a product's text to a logit. An attribute ``prepare`` is applied to each text before the join.
 PairScorer = Callable[[Column, Column], Column]
 
 
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""))
+
+
 def token_overlap_logit(query: Column, document: Column) -> Column:
-    """Default pair score: Jaccard overlap of lower-case words, stretched to [-4, 4]."""
-    def words(c: Column) -> Column:
-        return F.array_distinct(F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda w: w != ""))
+    """Default pair score: Jaccard overlap of two arrays of ``distinct_words``, stretched to [-4, 4]."""
+    shared = F.size(F.array_intersect(query, document)).cast("double")
+    every = F.size(query) + F.size(document) - shared
+    return 8.0 * F.coalesce(F.try_divide(shared, every.cast("double")), F.lit(0.0)) - 4.0
+
 
-    a, b = words(query), words(document)
-    shared = F.size(F.array_intersect(a, b)).cast("double")
-    return 8.0 * F.coalesce(F.try_divide(shared, F.size(F.array_union(a, b)).cast("double")),
-                            F.lit(0.0)) - 4.0
+token_overlap_logit.prepare = distinct_words
 
 
 def model_scorer(make_predict: Callable, batch_size: int = DEFAULTS.rerank.batch_size) -> PairScorer:
@@ -54,9 +58,10 @@ def rerank(hits: DataFrame, query_text: DataFrame, product_text: DataFrame, *,
     and explanation; ``score`` keeps the retrieval score.
     """
     pool = hits.filter(F.col("rank") <= cfg.pool)
+    prepare = getattr(scorer, "prepare", lambda text: text)
     scored = (
-        pool.join(product_text.select("product_id", F.col("text").alias("_doc")), "product_id")
-        .join(query_text.select("query_id", F.col("query_text").alias("_ask")), "query_id")
+        pool.join(product_text.select("product_id", prepare(F.col("text")).alias("_doc")), "product_id")
+        .join(query_text.select("query_id", prepare(F.col("query_text")).alias("_ask")), "query_id")
         .withColumn("_logit", scorer(F.col("_ask"), F.col("_doc")))
         .withColumnRenamed("rank", "original_rank")
         .withColumn("_by", rank_value(F.col("_logit")))

@@ -21,11 +21,6 @@ def _date(value: Column | str) -> Column:
     return F.lit(value).cast("date") if isinstance(value, str) else value
 
 
-def last_day(daily: DataFrame) -> Column:
-    """The newest day present, as a scalar subquery."""
-    return daily.agg(F.max("day")).scalar()
-
-
 def daily_counters(events: DataFrame) -> DataFrame:
     """(event_type, day, n, latency_sum, latency_n) from events with ``ts`` and ``seconds``."""
     return events.groupBy("event_type", F.to_date("ts").alias("day")).agg(

@@ -67,12 +67,12 @@ MIME_OF = {".jpg": "image/jpeg", ".jpeg": "image/jpeg", ".png": "image/png", ".w
 
 
 def describe_files(files: DataFrame) -> DataFrame:
-    """File name, extension, MIME type, size and SHA-256 of (path, content) rows."""
+    """File name, extension, MIME type, size and SHA-256 of (path, content) rows; other columns stay."""
     name = F.regexp_extract("path", r"([^/]*)$", 1)
     extension = F.lower(F.regexp_extract(name, r".(\.[^.]+)$", 1))
     pairs = [F.lit(x) for item in MIME_OF.items() for x in item]
     return files.select(
-        "path", name.alias("file_name"), extension.alias("extension"),
+        *(c for c in files.columns if c != "content"), name.alias("file_name"), extension.alias("extension"),
         F.try_element_at(F.create_map(*pairs), extension).alias("mime_type"),
         F.octet_length("content").cast("long").alias("size_bytes"),
         F.sha2(F.col("content"), 256).alias("checksum"))
