@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -157,6 +159,32 @@ def hybrid_search(spark, sf):
     return round_columns(hits, "score", "image_score", "text_score").drop("matched_modalities", "rank")
 
 
+def _filtered_side(name, source, skip):
+    """Top 10 of one side for the queries that have it, within each query's filters."""
+    return f"""{name} AS (SELECT q.product_id AS query_id, p.product_id, list_inner_product(q.v, p.v) / (q.norm * p.norm) AS score
+  FROM {source} q JOIN fq ON fq.query_id = q.product_id JOIN lab ON lab.query_id = q.product_id AND label <> {skip}
+  JOIN (SELECT s.*, brand_key, category_key, price FROM {source} s JOIN catalog USING (product_id)) p
+  ON (bk IS NULL OR bk = p.brand_key) AND (ck IS NULL OR ck = p.category_key)
+  AND (lo IS NULL OR p.price >= lo) AND (hi IS NULL OR p.price <= hi)
+  QUALIFY row_number() OVER (PARTITION BY q.product_id ORDER BY round(score, 9) DESC, p.product_id) <= 10)"""
+
+
+@query(f"""WITH {FILTERED}, {S.vectors('vi', 1, 32)}, {S.vectors('vt', 33, 64)}, lab AS (SELECT vec_id AS query_id, label FROM embeddings),
+{_filtered_side('ni', 'vi', 1)}, {_filtered_side('nt', 'vt', 2)},
+fused AS (SELECT coalesce(i.query_id, t.query_id) AS query_id, coalesce(i.product_id, t.product_id) AS product_id,
+  coalesce(i.score, 0) AS image_score, coalesce(t.score, 0) AS text_score
+  FROM ni i FULL JOIN nt t ON i.query_id = t.query_id AND i.product_id = t.product_id)
+SELECT query_id, product_id, {S.r('score', 6)} AS score FROM (SELECT query_id, product_id, CASE label WHEN 1 THEN text_score
+  WHEN 2 THEN image_score ELSE 0.7 * image_score + 0.3 * text_score END AS score FROM fused JOIN lab USING (query_id))
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) <= 10""")
+def hybrid_search_filtered(spark, sf):
+    """Search by image, text or both, each query with its own mix of filters on both sides."""
+    filters = T.filtered_queries(spark, sf).drop("vector")
+    queries = _mixed_queries(spark, sf).join(filters, "query_id")
+    hits = search(queries, T.image_vectors(spark, sf), T.text_vectors(spark, sf), 10)
+    return round_columns(hits, "score").select("query_id", "product_id", "score")
+
+
 def _logit(a, b):
     def words(x):
         return f"list_distinct(list_filter(string_split_regex(lower({x}), '[^a-z0-9]+'), lambda w: w <> ''))"
@@ -276,6 +304,14 @@ def recommend(spark, sf):
     return _rec_columns(_recs(spark, sf))
 
 
+@query(f"""WITH {_rec_sql(f"{S.CATALOG}, {S.vectors('vt', 33, 64)}, {_lsh_sql('nt', 'vt', 31, 32)}, sim AS (SELECT query_id, product_id, score FROM nt"
+  " WHERE query_id <> product_id QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) <= 30)")} SELECT {REC_COLUMNS} FROM recs""")
+def recommend_lsh(spark, sf):
+    """Recommendations from approximate neighbors."""
+    near = self_neighbors(T.text_vectors(spark, sf), 30, neighbors=partial(knn_lsh, **LSH))
+    return _rec_columns(J.recommend(None, near, T.indexed(spark, sf)))
+
+
 @query(f"WITH {_rec_sql(S.related(30))} SELECT {REC_COLUMNS} FROM recs")
 def recommend_related(spark, sf):
     return _rec_columns(J.recommend(None, self_neighbors(T.text_vectors(spark, sf), 30),

@@ -163,6 +163,15 @@ def ops_histogram(spark, sf):
     return U.distributions(ops, [0.5, 2.5, 10.0, 60.0]).withColumn("total", N.rounded(F.col("total"), 4))
 
 
+@query("""SELECT label, CAST(i AS INTEGER) AS position, q[i] AS value FROM generate_series(1, 3) g(i),
+  (SELECT event_type AS label, quantile_disc(value, [0.5, 0.9, 0.99]) AS q FROM events GROUP BY 1)""")
+def ops_quantiles(spark, sf):
+    ops = T.table(spark, sf, "events").select(F.col("event_type").alias("label"), "value")
+    out = U.approximate_quantiles(ops, [0.5, 0.9, 0.99], accuracy=1_000_000)
+    return out.select("label", F.posexplode("quantiles").alias("position", "value")).withColumn(
+        "position", F.col("position") + 1)
+
+
 # ---------------------------------------------------------------- jobs
 
 STATES = """a AS (SELECT user_id AS job_id, ts, event_id, event_type <> 'error' AS ok, props,
