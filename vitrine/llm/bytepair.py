@@ -6,7 +6,9 @@ the leftmost pair of minimum rank of every word, with its equals further right t
 pair of a word is in the table. (A contraction never makes a pair of lower rank: each token of the vocabulary has
 one last merge, of two tokens of lower rank.) The ids of a text are those of its matches, in order.
 
-Decoding: (document, position, token) rows join the vocabulary, and an ordered aggregation puts the bytes together.
+Decoding: ids are cut before each token that begins with a space; for the stretches a task has not met yet (stretch,
+position, token) rows join the vocabulary, and an ordered aggregation puts their bytes together. A text is its
+stretches in order.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from vitrine.llm.common import passed_on, slices
+from vitrine.llm.common import Runs, mixed, passed_on, slices
 
 #: Stretches of text whose ids a task remembers.
 REMEMBERED = 300_000
@@ -52,8 +54,8 @@ WITH RECURSIVE step(round, word, pos, stop, id) AS (
 SELECT word, pos, id FROM step QUALIFY round = max(round) OVER (PARTITION BY word) ORDER BY word, pos
 """
 DECODE = """
-SELECT doc, from_hex(array_to_string(list(hex ORDER BY pos), '')) AS bytes
-FROM tokens JOIN vocabulary USING (id) GROUP BY doc ORDER BY doc
+SELECT stretch, from_hex(array_to_string(list(hex ORDER BY pos), '')) AS bytes
+FROM tokens JOIN vocabulary USING (id) GROUP BY stretch ORDER BY stretch
 """
 
 
@@ -97,6 +99,8 @@ class Encoder:
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.first, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.place: dict[str, int] = {}  # of matches, whose ids come first in their own arrays
+        self.match_size, self.match_ids = np.empty(0, np.int64), np.empty(0, np.int32)
 
     def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids."""
@@ -115,11 +119,13 @@ class Encoder:
 
     def add(self, stretches: list[str]) -> None:
         matches = [self.find(s) for s in stretches]
-        place: dict[str, int] = {}
-        for found in matches:
-            for m in found:
-                place.setdefault(m, len(place))
-        size, ids = self.contract(list(place))
+        place = self.place
+        if new := list(dict.fromkeys(m for found in matches for m in found if m not in place)):
+            size, ids = self.contract(new)
+            self.match_size = np.concatenate((self.match_size, size))
+            self.match_ids = np.concatenate((self.match_ids, ids))
+            place.update(zip(new, range(len(place), len(place) + len(new)), strict=True))
+        size, ids = self.match_size, self.match_ids
         first = np.cumsum(size) - size
         at = np.fromiter((place[m] for found in matches for m in found), np.int64)
         own = size[at]
@@ -148,7 +154,11 @@ class Encoder:
         head = np.zeros(len(codes), bool)
         head[bounds[:-1]] = True
         # A piece that does not begin its text has the space before it.
-        used, at = np.unique(np.where(head, 2 * codes, 2 * codes + 1), return_inverse=True)
+        key = np.where(head, 2 * codes, 2 * codes + 1)
+        used = np.flatnonzero(np.bincount(key, minlength=1))
+        number = np.zeros(2 * len(distinct) + 2, np.int64)
+        number[used] = np.arange(len(used))
+        at = number[key]
         stretches = [" " + distinct[c >> 1] if c & 1 else distinct[c >> 1] for c in used.tolist()]
         if len(self.known) > REMEMBERED:
             self.forget()
@@ -161,6 +171,46 @@ class Encoder:
         return ends[bounds], flat
 
 
+class Decoder:
+    def __init__(self, ranks: dict[bytes, int]):
+        self.base = _database()
+        self.base.register("given", pa.table({"id": pa.array(list(ranks.values()), pa.int32()),
+                                              "hex": [token.hex() for token in ranks]}))
+        self.base.execute("CREATE TABLE vocabulary AS SELECT * FROM given").fetchall()
+        self.begins = np.zeros(max(ranks.values()) + 1, bool)
+        self.begins[[rank for token, rank in ranks.items() if token.startswith(b" ")]] = True
+        self.known: dict[int, bytes] = {}
+
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The bytes of texts of these numbers of ids."""
+        if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) < len(self.begins):
+            raise ValueError("an id is not in the vocabulary")
+        bounds = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
+        cut = self.begins[ids]
+        cut[bounds[:-1][sizes > 0]] = True
+        first = np.flatnonzero(cut)
+        last = np.append(first[1:], len(ids))
+        prints, example, at = np.unique(Runs(mixed(ids.astype(np.uint64) + np.uint64(1))).of(first, last),
+                                        return_index=True, return_inverse=True)
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        names = prints.tolist()
+        new = np.fromiter((i for i, p in enumerate(names) if p not in self.known), np.int64)
+        if len(new):
+            begin, size = first[example[new]], (last - first)[example[new]]
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            self.base.register("tokens", pa.table({
+                "stretch": np.repeat(np.arange(len(new)), size), "pos": pos, "id": ids[np.repeat(begin, size) + pos]}))
+            found = self.base.execute(DECODE).fetchall()
+            if len(found) != len(new):
+                raise ValueError("an id is not in the vocabulary")
+            self.known.update((names[i], b) for i, (_, b) in zip(new.tolist(), found, strict=True))
+        parts = [self.known[p] for p in names]
+        owner = np.searchsorted(first, bounds)
+        at = at.tolist()
+        return [b"".join([parts[i] for i in at[a:b]]) for a, b in zip(owner[:-1], owner[1:], strict=True)]
+
+
 def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *keep: str) -> DataFrame:
     """``keep`` columns of ``docs`` with ids array<int>: each whole text, a null one like an empty one (no ids).
 
@@ -188,22 +238,15 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *keep: str) -> DataFrame
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base = _database()
-        base.register("given", pa.table({"id": pa.array(list(sent.value.values()), pa.int32()),
-                                         "hex": [token.hex() for token in sent.value]}))
-        base.execute("CREATE TABLE vocabulary AS SELECT * FROM given").fetchall()
+        decoder = Decoder(sent.value)
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
             ends, start = np.cumsum(sizes, dtype=np.int64), 0
             while start < batch.num_rows:
                 before = ends[start - 1] if start else 0
                 stop = max(start + 1, int(np.searchsorted(ends, before + TOKENS_AT_A_TIME, side="right")))
-                part, size = batch.slice(start, stop - start), sizes[start:stop]
-                doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
-                pos = (np.arange(len(doc)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
-                base.register("tokens", pa.table({"doc": doc, "pos": pos, "id": part.column("ids").flatten()}))
-                found = dict(base.execute(DECODE).fetchall())
-                texts = [found.get(i, b"") for i in range(len(size))]
+                part = batch.slice(start, stop - start)
+                texts = decoder.decode(part.column("ids").flatten().to_numpy(), sizes[start:stop])
                 yield pa.record_batch([*(part.column(c) for c in keep), pa.array(texts, pa.binary())],
                                       names=[*keep, "bytes"])
                 start = stop
