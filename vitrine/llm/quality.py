@@ -139,9 +139,10 @@ def perplexities(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     rows = docs.selectExpr("cast(doc_id as long) doc_id", "cast(text as string) text", "cast(lang as string) lang")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-size // GROUP_BYTES))
-    group = F.expr(f"cast(pmod(hash(doc_id), {groups}) as int)")
-    dealt = rows.withColumn("grp", group)
-    told = trusted.selectExpr("cast(doc_id as long) doc_id").dropna().distinct().withColumn("grp", group)
+    # Rows without a doc_id are dealt by their text.
+    dealt = rows.withColumn("grp", F.expr(f"cast(pmod(hash(coalesce(doc_id, xxhash64(text))), {groups}) as int)"))
+    told = trusted.selectExpr("cast(doc_id as long) doc_id").dropna().distinct().withColumn(
+        "grp", F.expr(f"cast(pmod(hash(doc_id), {groups}) as int)"))
     survey = stored(dealt.select("grp", "doc_id", "text").groupBy("grp").cogroup(told.groupBy("grp")).applyInArrow(
         _survey, "grp int, gram long, n long"), "grams")
     by_gram = stored(survey.groupBy("gram").agg(F.sum("n").alias("n")), "counts")
