@@ -20,6 +20,7 @@ from vitrine.operators.neighbors import knn_join
 from vitrine.plans import catalog_jobs as J
 from vitrine.sources import catalog as C
 from vitrine.sources import sinks as W
+from vitrine.sources.evaluation import parse_dataset
 
 STRIP = r"'^\s+|\s+$'"
 
@@ -238,6 +239,33 @@ def cache_to_recompute(spark, sf):
     return W.to_recompute(wanted, rows, now)
 
 
+@query("""SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'query-0' ELSE 'q' || item_id END AS query_id,
+  CASE item_id % 6 WHEN 0 THEN 'not a JSON object' WHEN 1 THEN 'unknown task type' WHEN 2 THEN 'top_k must be positive'
+  WHEN 3 THEN 'needs product_id' WHEN 4 THEN 'needs text or image_path' END AS problem
+  FROM benchmark WHERE item_id % 6 <> 0 UNION ALL SELECT item_id, 'query-0', 'not a JSON object' FROM benchmark WHERE item_id % 6 = 0""")
+def dataset_problems(spark, sf):
+    """Each benchmark item as a dataset of one entry, most with a fault."""
+    kind = F.col("item_id") % 6
+    entry = F.to_json(F.struct(
+        F.when(F.col("item_id") % 7 != 0, F.concat(F.lit("q"), F.col("item_id").cast("string"))).alias("query_id"),
+        F.when(kind == 1, "other").when(kind == 3, "duplicate").otherwise("retrieval").alias("task_type"),
+        F.when(kind != 4, F.col("text")).alias("text"), F.when(kind == 2, -1).otherwise(5).alias("top_k")))
+    value = F.concat(F.lit("["), F.when(kind == 0, "7").otherwise(entry), F.lit("]"))
+    files = T.table(spark, sf, "benchmark").select("item_id", value.alias("value"))
+    return parse_dataset(files, "item_id").select("item_id", "query_id", "problem")
+
+
+@query("""SELECT p_partkey AS query_id, CASE WHEN vec_id IS NOT NULL AND p_size % 2 = 0 THEN 'hybrid' WHEN vec_id IS NOT NULL THEN 'image'
+  WHEN p_size % 2 = 0 THEN 'text' END AS mode, CASE WHEN vec_id IS NULL AND p_size % 2 <> 0 THEN 'image or text required' END AS reject_reason
+  FROM part LEFT JOIN embeddings ON vec_id = p_partkey AND label <> 1""")
+def query_presence(spark, sf):
+    vectors = T.table(spark, sf, "embeddings").where("label <> 1").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("image_vector"))
+    asked = T.table(spark, sf, "part").select(
+        F.col("p_partkey").alias("query_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_name")).otherwise("  ").alias("text"))
+    return L.check_query_presence(asked.join(vectors, "query_id", "left")).select("query_id", "mode", "reject_reason")
+
+
 # ---------------------------------------------------------------- text and images
 
 

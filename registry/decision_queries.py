@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from functools import partial
-
 from dataclasses import replace
+from functools import partial
 
 from pyspark.sql import functions as F
 
@@ -25,6 +24,8 @@ from vitrine.operators.pairs import compare_fields, hydrate
 from vitrine.operators.rerank import rerank
 from vitrine.plans import catalog_jobs as J
 from vitrine.plans.search import search, search_reranked, self_neighbors, similar_products
+from vitrine.session import materialize
+from vitrine.sources import sinks as W
 
 # The supplied vectors are far apart and prices vary little, so some limits are set where both
 # outcomes occur.
@@ -312,6 +313,23 @@ def recommend_lsh(spark, sf):
     return _rec_columns(J.recommend(None, near, T.indexed(spark, sf)))
 
 
+@query(f"""WITH {_rec_sql(S.similar(30))} SELECT query_id, product_id, CAST(rank AS INTEGER) AS rank,
+  CASE WHEN query_id % 3 = 2 THEN 'computed' ELSE 'stored' END AS origin FROM recs""")
+def recommend_stored(spark, sf):
+    """Stored recommendations while they are fresh, new ones for the products whose own have expired."""
+    now = F.lit("2024-01-30 12:00:00").cast("timestamp")
+    recs = _recs(spark, sf)
+    age = F.make_dt_interval(mins=(F.col("for_product_id") % 3 * 30).cast("int"))
+    cache = materialize(J.cached_recommendations(recs, now - age).select(
+        "for_product_id", "product_id", "rank", "computed_at"), "recommendations")
+    wanted = T.indexed(spark, sf).select(F.col("product_id").alias("for_product_id"))
+    expired = W.to_recompute(wanted, cache, now, key="for_product_id").withColumnRenamed("for_product_id", "query_id")
+    fresh = W.fresh_entries(cache, now).select(
+        F.col("for_product_id").alias("query_id"), "product_id", "rank", F.lit("stored").alias("origin"))
+    return fresh.unionByName(recs.join(expired, "query_id", "left_semi").select(
+        "query_id", "product_id", "rank", F.lit("computed").alias("origin")))
+
+
 @query(f"WITH {_rec_sql(S.related(30))} SELECT {REC_COLUMNS} FROM recs")
 def recommend_related(spark, sf):
     return _rec_columns(J.recommend(None, self_neighbors(T.text_vectors(spark, sf), 30),

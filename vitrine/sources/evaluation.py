@@ -14,15 +14,15 @@ class DatasetError(ValueError):
     """The dataset is malformed; the message names the entry."""
 
 
-def parse_dataset(files: DataFrame) -> DataFrame:
-    """Entries of (value) JSON documents with defaults filled in and a ``problem`` column."""
+def parse_dataset(files: DataFrame, *keep: str) -> DataFrame:
+    """Entries of (value) JSON documents with defaults filled in and a ``problem`` column; ``keep`` columns stay."""
     entries = files.select(
-        F.from_json("value", "array<string>", {"mode": "PERMISSIVE"}).alias("raw"),
+        *keep, F.from_json("value", "array<string>", {"mode": "PERMISSIVE"}).alias("raw"),
         F.regexp_like(F.col("value"), F.lit(r"^\s*\[")).alias("is_array"))
-    rows = entries.select("is_array", F.posexplode_outer("raw").alias("position", "raw")).withColumn(
+    rows = entries.select(*keep, "is_array", F.posexplode_outer("raw").alias("position", "raw")).withColumn(
         "e", F.from_json("raw", ENTRY, {"mode": "PERMISSIVE"}))
     filled = rows.select(
-        "position", "is_array", "raw",
+        *keep, "position", "is_array", "raw",
         F.coalesce(F.nullif("e.query_id", F.lit("")),
                    F.concat(F.lit("query-"), F.col("position").cast("string"))).alias("query_id"),
         F.coalesce("e.task_type", F.lit("retrieval")).alias("task_type"),
