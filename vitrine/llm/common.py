@@ -38,6 +38,7 @@ def part_of(column: str, parts: int):
 def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut so that each holds ``size`` bytes of text or one row."""
     for batch in batches:
+        pa.default_memory_pool().release_unused()  # workers live on into later stages
         sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         ends = np.cumsum(sizes, dtype=np.int64)
         start, n = 0, batch.num_rows

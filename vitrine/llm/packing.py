@@ -29,7 +29,7 @@ REMEMBERED = 400_000
 #: New words tokenized at a time, joined by spaces.
 TOGETHER = 10_000
 #: Bytes of text taken apart at a time.
-AT_A_TIME = 6 << 20
+AT_A_TIME = 3 << 20
 
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()),
