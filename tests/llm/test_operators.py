@@ -102,6 +102,87 @@ def test_license_scan(spark):
     assert collections.Counter(con.execute(licenses.duckdb_sql()).fetchall()) == got
 
 
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License."""
+GPL = """This program is free software{} you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation{} either version {} of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions
+are met:
+
+1. Redistributions of source code must retain the above copyright
+   notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+BSD_3 = BSD + """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS BE LIABLE FOR ANY CLAIM."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one."""
+CANONICAL = [
+    (APACHE, "apache2_header,apache2_copy,apache2_as_is", "Apache-2.0"),
+    (GPL.format(";", ";", 2), "gpl2_later,gnu_no_warranty", "GPL-2.0-or-later"),
+    (GPL.format(":", ",", 3), "gpl3_later,gnu_no_warranty", "GPL-3.0-or-later"),
+    (BSD, "bsd_grant,bsd_source,bsd_binary", "BSD-2-Clause"),
+    (BSD_3, "bsd_grant,bsd_source,bsd_binary,bsd_endorse", "BSD-3-Clause"),
+    (MIT, "mit_grant,mit_as_is", "MIT"),
+    (MPL, "mpl2_ref", "MPL-2.0"),
+]
+
+
+def test_license_scan_finds_canonical_texts(spark):
+    """As they are, with comment marks, with \\r\\n, on one line for each paragraph, with other list marks."""
+    def shapes(text):
+        yield text
+        yield from ("\n".join((mark + " " + line).rstrip() for line in text.split("\n")) for mark in ("#", "//", " *", ";;", "--"))
+        yield text.replace("\n", "\r\n")
+        yield "\n\n".join(" ".join(p.split()) for p in text.split("\n\n"))
+        yield " ".join(text.split())
+        yield from (text.replace("1. ", a).replace("2. R", b + "R").replace("3. ", c)
+                    for a, b, c in (("* ", "* ", "* "), ("(1) ", "(2) ", "(3) "), ("a) ", "b) ", "c) ")))
+
+    want = [(ids, name) for text, ids, name in CANONICAL for _ in shapes(text)]
+    rows = [(i, f"Copyright 2020 Somebody\n\n{t}") for i, t in enumerate(s for text, _, _ in CANONICAL for s in shapes(text))]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(frame(spark, rows)).collect()}
+    wrong = [(rows[i][1], got[i], w) for i, w in enumerate(want) if got[i] != w]
+    assert not wrong, wrong[0]
+
+
 # ---------------------------------------------------------------- 2 toxicity
 
 

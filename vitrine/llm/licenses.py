@@ -1,10 +1,12 @@
 """Licence scan by sentence rules, in DataFrame functions only.
 
-A text is cut into sentences, each is normalised (lower case, runs of anything but letters and digits are one
-space) and looked up among the known licence sentences. The identifiers found, in order, form a sequence; ordered
-rules, longer ones first, look for their own sequence in it, report a licence and use those identifiers up. What no
-rule uses is reported too. Lines end sentences in one reading and are joined in a second, so that wrapped licence
-texts are found as well. Texts without any ANCHOR, which every known sentence has, are not cut at all.
+A text is normalised (lower case, runs of anything but letters and digits are one space) with its ends of sentences
+marked. A known licence sentence is found where its words, all of them and no others, lie between two ends; it may
+have ends within, since full stops, semicolons, list numbers and colons stand within licence sentences too. The
+identifiers found, in order, form a sequence; ordered rules, longer ones first, look for their own sequence in it,
+report a licence and use those identifiers up. What no rule uses is reported too. Lines end sentences in one reading
+and are joined in a second, so that wrapped licence texts are found as well. Texts without any ANCHOR, which every
+known sentence has, are not read at all.
 """
 
 from __future__ import annotations
@@ -75,20 +77,25 @@ RULES = (
     ("CC0-1.0", ("cc0_ref",)),
 )
 # What does not end a sentence though a full stop and white space follow it, or ends one, is left to the patterns.
-END = r"([.;!?])[ \t\r\n]+"
+END = r"[.;:!?][ \t\r\n]+|(?<=/license-2\.0)[ \t\r\n]+"
+BLANK_LINE = r"\n[^a-z0-9|]*\n"
+#: Known sentences between ends, longer ones first, after a list number or letter if there is one.
+KNOWN = r"(?<![^|])(?:[0-9]{1,2} |[a-z] )?(%s)(?![^|])" % "|".join(
+    s.replace(" ", "[ |]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
 
 
-def sentences(text: Column, by_line: bool) -> Column:
-    """Normalised sentences in order; line ends count as ends of sentences or as spaces."""
-    flat = text if by_line else F.regexp_replace(text, r"[\r\n]+", " ")
-    parts = F.split(F.regexp_replace(flat, END, "$1\n"), r"\n")
-    return F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
+def marked(text: Column, by_line: bool) -> Column:
+    """Normalised words with | for every end of a sentence; line ends or only blank lines count as ends."""
+    plain = F.translate(F.lower(text), "|", " ")
+    ended = F.regexp_replace(plain, f"{END}|" + (r"[\r\n]+" if by_line else BLANK_LINE), "|")
+    return F.trim(F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9|]+", " "), r" ?\|[ |]*", "|"))
 
 
-def identifiers(found: Column) -> Column:
-    """The identifiers of the known sentences, in order."""
+def identifiers(text: Column) -> Column:
+    """The identifiers of the known sentences of a marked text, in order."""
     known = F.create_map(*(F.lit(x) for name, s in SENTENCES.items() for x in (s, name)))
-    return F.filter(F.transform(found, lambda s: F.element_at(known, s)), lambda x: x.isNotNull())
+    found = F.regexp_extract_all(text, F.lit(KNOWN), F.lit(1))
+    return F.transform(found, lambda s: F.element_at(known, F.translate(s, "|", " ")))
 
 
 def _apply(sequence: Column) -> tuple[Column, Column]:
@@ -112,7 +119,7 @@ def scan(docs: DataFrame) -> DataFrame:
     rows = docs.selectExpr("doc_id", "coalesce(cast(text as string), '') as text")
     worth = F.lower("text").rlike(ANCHOR)
     cut = rows.select("doc_id", *(
-        F.when(worth, identifiers(sentences(F.col("text"), by_line))).otherwise(F.array().cast("array<string>")).alias(name)
+        F.when(worth, identifiers(marked(F.col("text"), by_line))).otherwise(F.array().cast("array<string>")).alias(name)
         for name, by_line in (("lines", True), ("joined", False))))
     # The joined reading stands in where it recognises more.
     ids = cut.select("doc_id", F.when(F.size("joined") > F.size("lines"), F.col("joined")).otherwise(
@@ -127,7 +134,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def duckdb_sql() -> str:
-    """The same scan in DuckDB SQL over ``documents``."""
+    """The scan in DuckDB SQL over ``documents``, with known sentences only where they have no end within."""
 
     def quoted(s: str) -> str:
         return "'" + s.replace("'", "''") + "'"
