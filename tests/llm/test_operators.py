@@ -183,6 +183,20 @@ def test_license_scan_finds_canonical_texts(spark):
     assert not wrong, wrong[0]
 
 
+def test_license_scan_keeps_wrapped_and_unwrapped_sentences(spark):
+    rows = [(1, "A note.\nReleased under the MIT License\nfoo bar.\nThis work is licensed under the GNU General Public\n"
+                "License, version 3."),
+            (2, f"{GPL.format(';', ';', 2)}\nReleased under the MIT License\n{BSD}\nLicensed under CC BY\n4.0"),
+            (3, "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in\n"
+                "compliance with the License.\nLicensed under the Apache License, Version 2.0\nand more")]
+    got = {r.doc_id: (r.sentence_ids, r.licenses, r.unmatched) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {
+        1: ("mit_ref,gpl3_ref", "GPL-3.0-only,MIT", ""),
+        2: ("gpl2_later,gnu_no_warranty,mit_ref,bsd_grant,bsd_source,bsd_binary,cc_by_ref",
+            "BSD-2-Clause,CC-BY-4.0,GPL-2.0-or-later,MIT", ""),
+        3: ("apache2_header,apache2_ref", "Apache-2.0", "")}
+
+
 # ---------------------------------------------------------------- 2 toxicity
 
 

@@ -4,8 +4,8 @@ A text is normalised (lower case, runs of anything but letters and digits are on
 marked. A known licence sentence is found where its words, all of them and no others, lie between two ends; it may
 have ends within, since full stops, semicolons, list numbers and colons stand within licence sentences too. The
 identifiers found, in order, form a sequence; ordered rules, longer ones first, look for their own sequence in it,
-report a licence and use those identifiers up. What no rule uses is reported too. Lines end sentences in one reading
-and are joined in a second, so that wrapped licence texts are found as well. Texts without any ANCHOR, which every
+report a licence and use those identifiers up. What no rule uses is reported too. Line ends are such ends, and as
+they may lie within as well, wrapped licence texts are found beside others. Texts without any ANCHOR, which every
 known sentence has, are not read at all.
 """
 
@@ -77,17 +77,15 @@ RULES = (
     ("CC0-1.0", ("cc0_ref",)),
 )
 # What does not end a sentence though a full stop and white space follow it, or ends one, is left to the patterns.
-END = r"[.;:!?][ \t\r\n]+|(?<=/license-2\.0)[ \t\r\n]+"
-BLANK_LINE = r"\n[^a-z0-9|]*\n"
+END = r"[.;:!?][ \t\r\n]+|(?<=/license-2\.0)[ \t]+|[\r\n]+"
 #: Known sentences between ends, longer ones first, after a list number or letter if there is one.
 KNOWN = r"(?<![^|])(?:[0-9]{1,2} |[a-z] )?(%s)(?![^|])" % "|".join(
     s.replace(" ", "[ |]") for s in sorted(SENTENCES.values(), key=len, reverse=True))
 
 
-def marked(text: Column, by_line: bool) -> Column:
-    """Normalised words with | for every end of a sentence; line ends or only blank lines count as ends."""
-    plain = F.translate(F.lower(text), "|", " ")
-    ended = F.regexp_replace(plain, f"{END}|" + (r"[\r\n]+" if by_line else BLANK_LINE), "|")
+def marked(text: Column) -> Column:
+    """Normalised words with | for every end of a sentence or line."""
+    ended = F.regexp_replace(F.translate(F.lower(text), "|", " "), END, "|")
     return F.trim(F.regexp_replace(F.regexp_replace(ended, "[^a-z0-9|]+", " "), r" ?\|[ |]*", "|"))
 
 
@@ -118,12 +116,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     rows = docs.selectExpr("doc_id", "coalesce(cast(text as string), '') as text")
     worth = F.lower("text").rlike(ANCHOR)
-    cut = rows.select("doc_id", *(
-        F.when(worth, identifiers(marked(F.col("text"), by_line))).otherwise(F.array().cast("array<string>")).alias(name)
-        for name, by_line in (("lines", True), ("joined", False))))
-    # The joined reading stands in where it recognises more.
-    ids = cut.select("doc_id", F.when(F.size("joined") > F.size("lines"), F.col("joined")).otherwise(
-        F.col("lines")).alias("ids"))
+    ids = rows.select("doc_id", F.when(worth, identifiers(marked(F.col("text")))).otherwise(
+        F.array().cast("array<string>")).alias("ids"))
     wrapped = ids.withColumn("sequence", F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">")))))
     licences, left = _apply(F.col("sequence"))
     done = wrapped.select("doc_id", "ids", F.sort_array(licences).alias("found"), left.alias("rest"))
