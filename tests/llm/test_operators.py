@@ -197,6 +197,13 @@ def test_license_scan_keeps_wrapped_and_unwrapped_sentences(spark):
         3: ("apache2_header,apache2_ref", "Apache-2.0", "")}
 
 
+def test_license_scan_reads_wrapped_dedications(spark):
+    gaps = (" ", "\n", "  ", "\r\n", "\n# ", "\n * ", "\t")
+    rows = [(i, f"Notes.\nThis work is dedicated to the public{gap}domain.\nMore.") for i, gap in enumerate(gaps)]
+    got = {r.doc_id: (r.sentence_ids, r.licenses) for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got == {i: ("cc0_ref", "CC0-1.0") for i in range(len(gaps))}
+
+
 # ---------------------------------------------------------------- 2 toxicity
 
 

@@ -6,7 +6,7 @@ have ends within, since full stops, semicolons, list numbers and colons stand wi
 identifiers found, in order, form a sequence; ordered rules, longer ones first, look for their own sequence in it,
 report a licence and use those identifiers up. What no rule uses is reported too. Line ends are such ends, and as
 they may lie within as well, wrapped licence texts are found beside others. Texts without any ANCHOR, which every
-known sentence has, are not read at all.
+known sentence has (its two words may be wrapped, too), are not read at all.
 """
 
 from __future__ import annotations
@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ANCHOR = "licen|copyright|permission|redistribut|warrant|public domain"
+#: ANCHOR in a text as it is, where anything but letters and digits can lie between two words.
+WORTH = ANCHOR.replace(" ", "[^a-z0-9]+")
 
 # Sentences of well-known licences as they read after normalising, and what they are called here.
 SENTENCES = {
@@ -115,7 +117,7 @@ def scan(docs: DataFrame) -> DataFrame:
     need no rule; other columns are ignored.
     """
     rows = docs.selectExpr("doc_id", "coalesce(cast(text as string), '') as text")
-    worth = F.lower("text").rlike(ANCHOR)
+    worth = F.lower("text").rlike(WORTH)
     ids = rows.select("doc_id", F.when(worth, identifiers(marked(F.col("text")))).otherwise(
         F.array().cast("array<string>")).alias("ids"))
     wrapped = ids.withColumn("sequence", F.concat_ws("", F.transform("ids", lambda x: F.concat(F.lit("<"), x, F.lit(">")))))
