@@ -236,6 +236,29 @@ def test_toxicity_learns_words_and_parts_of_words(spark):
     assert toxicity.score(frame(spark, []), net, "doc_id").count() == 0
 
 
+def test_toxicity_trains_on_whole_texts(spark):
+    """Toxic words after 9,000 characters only, which are all there is to learn."""
+    rng = random.Random(8)
+    filler = ["".join(rng.choice(SYLLABLES) for _ in range(40)) for _ in range(30)]
+    rows = [(i, " ".join(rng.choices(filler, k=130) + (["zorblat", "scurvish"] if i % 2 else []) + rng.choices(filler, k=5)))
+            for i in range(120)]
+    assert all(not i % 2 or t.index("zorblat") > 9_000 for i, t in rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id long, toxic int")
+    net = toxicity.fit(frame(spark, rows), labels)
+    got = {r.doc_id: r.predicted for r in toxicity.score(frame(spark, rows[80:]), net, "doc_id").collect()}
+    assert got == {i: i % 2 for i in range(80, 120)}
+
+
+def test_toxicity_gradients_of_a_few_windows_at_a_time(monkeypatch):
+    texts = toxicity.Texts(pa.array(["a b c d e f g h " * 30, "x y z stupid q", "", "a stupid", None]))
+    net = toxicity.Network(np.sort(toxicity.fingerprints(["a", "b", "stupid"])))
+    labels = np.array([0, 1, 0, 1, 0])
+    whole = net.gradients(texts, labels)
+    monkeypatch.setattr(toxicity, "TOGETHER", 2)
+    few = net.gradients(texts, labels)
+    assert all(np.allclose(few[k], g, rtol=1e-4, atol=1e-7) for k, g in whole.items())
+
+
 def test_toxicity_gradients():
     t = toxicity.Texts(pa.array(["a b c d e f g h " * 9, "x y z stupid q", "", "a stupid"]))
     net = toxicity.Network(np.sort(toxicity.fingerprints(["a", "b", "stupid"])))

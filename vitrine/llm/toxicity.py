@@ -5,8 +5,8 @@ character n-gram vectors. Two GRUs read a window of WINDOW words in both directi
 into one logit. Windows overlap by WINDOW - STRIDE words and cover whole texts; a text's logit is the log-sum-exp
 of its windows' logits, so one window is enough and the labels of texts can train windows.
 
-Training runs in numpy on the driver, on a sample of at most SAMPLE texts of each class, TRAIN_CHARS characters of
-each. The vectors start with the log odds of their word or n-gram in the sample as first component. Scoring needs
+Training runs in numpy on the driver, on a sample of at most SAMPLE texts of each class, whole texts as in scoring.
+The vectors start with the log odds of their word or n-gram in the sample as first component. Scoring needs
 only the weights (their size is bounded by the parameters below) and runs over Arrow batches.
 """
 
@@ -25,7 +25,6 @@ from vitrine.llm.common import fingerprints, passed_on, slices, words
 WINDOW, STRIDE = 32, 24
 WORD_DIMS = CHAR_DIMS = HIDDEN = 8
 SAMPLE = 1000
-TRAIN_CHARS = 8_000
 MIN_DOCS, MAX_WORDS = 3, 30_000
 CHAR_BUCKETS, CHAR_ORDERS = 1 << 15, (3, 4)
 STEPS, BATCH, RATE = 120, 64, 0.01
@@ -150,6 +149,8 @@ class Network:
     def backward(self, grad: np.ndarray, inputs: np.ndarray, parts: tuple, keep: dict) -> dict:
         """Gradients of all weights from those of the windows' logits."""
         w, g = self.w, {k: np.zeros_like(v) for k, v in self.w.items()}
+        if not keep:  # windows without words
+            return g | {"bias": np.array([grad.sum()], np.float32)}
         h, share, pooled, index = keep["h"], keep["share"], keep["pooled"], keep["index"]
         g["out"], g["bias"] = pooled.T @ grad, np.array([grad.sum()], np.float32)
         value = h @ w["out"]
@@ -189,6 +190,31 @@ class Network:
         top = np.maximum.reduceat(out, texts.bounds[:-1])
         return top + np.log(np.add.reduceat(np.exp(out - top[texts.text]), texts.bounds[:-1]))
 
+    def gradients(self, texts: Texts, labels: np.ndarray) -> dict:
+        """Gradients of all weights from the mean loss of the texts; states of TOGETHER windows are kept at a time."""
+        inputs, parts = self.inputs(texts.distinct)
+        by_size = np.argsort(-texts.size, kind="stable")
+        logit, keep = np.empty(len(by_size), np.float32), {}
+        chunks = [by_size[i:i + TOGETHER] for i in range(0, len(by_size), TOGETHER)]
+        for some in chunks:
+            keep = {}
+            logit[some] = self.forward(inputs, texts.codes, texts.first[some], texts.size[some],
+                                       keep if len(chunks) == 1 else None)
+        top = np.maximum.reduceat(logit, texts.bounds[:-1])
+        share = np.exp(logit - top[texts.text])
+        total = np.add.reduceat(share, texts.bounds[:-1])
+        error = _sigmoid(top + np.log(total)) - labels
+        grad = (share / total[texts.text] * error[texts.text] / len(labels)).astype(np.float32)
+        if len(chunks) == 1:
+            return self.backward(grad[by_size], inputs, parts, keep)
+        out = {k: np.zeros_like(v) for k, v in self.w.items()}
+        for some in chunks:
+            keep = {}
+            self.forward(inputs, texts.codes, texts.first[some], texts.size[some], keep)
+            for k, g in self.backward(grad[some], inputs, parts, keep).items():
+                out[k] += g
+        return out
+
 
 def _odds(owner: np.ndarray, feature: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
     """Log odds of each feature by the texts that have it, drawn to 0 for rare ones."""
@@ -229,17 +255,7 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Network |
         t, y = Texts(texts.take(pa.array(some))), labels[some]
         if not t.distinct:
             continue
-        inputs, parts = net.inputs(t.distinct)
-        by_size = np.argsort(-t.size, kind="stable")
-        keep: dict = {}
-        logit = np.empty(len(by_size), np.float32)
-        logit[by_size] = net.forward(inputs, t.codes, t.first[by_size], t.size[by_size], keep)
-        top = np.maximum.reduceat(logit, t.bounds[:-1])
-        share = np.exp(logit - top[t.text])
-        total = np.add.reduceat(share, t.bounds[:-1])
-        error = _sigmoid(top + np.log(total)) - y
-        grad = (share / total[t.text] * error[t.text] / len(y)).astype(np.float32)
-        for k, g in net.backward(grad[by_size], inputs, parts, keep).items():
+        for k, g in net.gradients(t, y).items():
             mean[k] += 0.1 * (g - mean[k])
             square[k] += 0.001 * (g * g - square[k])
             net.w[k] -= RATE * mean[k] / (1 - 0.9 ** step) / (np.sqrt(square[k] / (1 - 0.999 ** step)) + 1e-8)
@@ -258,7 +274,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     marks = marks.join(ids, "doc_id").withColumn("order", F.xxhash64("doc_id"))
     chosen = [marks.where(F.col("toxic") == c).orderBy("order", "doc_id").limit(sample) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 * sample ids
-    rows = docs.where("text is not null").select("doc_id", F.substring("text", 1, TRAIN_CHARS).alias("text")).join(
+    rows = docs.where("text is not null").select("doc_id", "text").join(
         F.broadcast(chosen), "doc_id").orderBy("order", "doc_id", "text").toArrow()
     if not rows.num_rows:
         return None
