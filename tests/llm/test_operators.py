@@ -412,6 +412,22 @@ def test_repeats_equal_plain_windows(spark, width, k):
     assert substrings.remove_repeats(frame(spark, []), width, k).count() == 0
 
 
+def test_substring_paths_tell_words_of_one_hash_apart(monkeypatch):
+    """Two words that are equal in the first hash are not in the second."""
+    of = substrings.fingerprints
+    monkeypatch.setattr(substrings, "fingerprints", lambda strings, *seed: of(
+        [w if seed else w.replace("other", "word") for w in strings], *seed))
+    text = prose(random.Random(6), 60).split()
+    texts = [" ".join(text[:25] + [w] + text[25:]) for w in ("word", "other", "word")]
+    batch = pa.record_batch({"doc_id": [1, 2, 3], "row_key": [1, 2, 3], "text": texts})
+    found = collections.defaultdict(list)
+    for part in substrings._paths(50, 15)(iter([batch])):
+        for r in part.to_pylist():
+            found[r["doc_id"]].append((r["anchor"], r["surroundings"]))
+    assert found[1] == found[3] and not set(found[1]) & set(found[2])
+    assert {a for a, _ in found[1]} == {a for a, _ in found[2]}
+
+
 # ---------------------------------------------------------------- 7 packing
 
 

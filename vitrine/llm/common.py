@@ -65,9 +65,9 @@ def passed_on(used: DataFrame, keep: tuple[str, ...], added: str) -> StructType:
     return StructType([used.schema[c] for c in keep] + StructType.fromDDL(added).fields)
 
 
-def fingerprints(strings: list[str]) -> np.ndarray:
+def fingerprints(strings: list[str], seed: int = 0) -> np.ndarray:
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(s.encode()) for s in strings), dtype=np.uint64, count=len(strings))
+    return np.fromiter((digest(s.encode(), seed) for s in strings), dtype=np.uint64, count=len(strings))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

@@ -28,9 +28,10 @@ WIDTH = 50
 K = 15
 
 
-def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two hashes of each word, of different seeds, and the first word of each text."""
     codes, offsets, distinct = words(texts)
-    return fingerprints(distinct)[codes], offsets
+    return fingerprints(distinct)[codes], fingerprints(distinct, MIX_C)[codes], offsets
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -51,7 +52,7 @@ def _paths(width: int, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            h, offsets = _hashes(part.column("text"))
+            h, other, offsets = _hashes(part.column("text"))
             n = len(h)
             if n < width:
                 continue
@@ -66,7 +67,7 @@ def _paths(width: int, k: int):
             new = np.concatenate(([True], at[1:] != at[:-1]))
             first, last = window[new], window[np.concatenate((new[1:], [True]))]
             at, row = at[new], doc[first]
-            around = Runs(mixed(h ^ np.uint64(MIX_C))).of(first, last + width)
+            around = Runs(other).of(first, last + width)
             around = mixed(around + (at - first).astype(np.uint64))
             rows = part.select(["doc_id", "row_key"]).take(pa.array(row))
             yield pa.record_batch([
@@ -82,7 +83,7 @@ def _edges(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            h, offsets = _hashes(part.column("text"))
+            _, other, offsets = _hashes(part.column("text"))
             paths = part.column("paths")
             row = np.repeat(np.arange(part.num_rows), np.diff(paths.offsets.to_numpy()))
             anchor, first, last = (c.to_numpy() for c in paths.flatten().flatten())
@@ -90,7 +91,7 @@ def _edges(width: int):
             row, anchor, first = np.repeat(row, size), np.repeat(anchor, size), np.repeat(first, size)
             at = first + np.arange(len(first)) - np.repeat(np.cumsum(size) - size, size)
             begin = offsets[row] + at
-            edge = Runs(mixed(h ^ np.uint64(MIX_C))).of(begin, begin + width)
+            edge = Runs(other).of(begin, begin + width)
             rows = part.select(["doc_id", "row_key"]).take(pa.array(row))
             yield pa.record_batch([*rows.columns, pa.array(anchor), pa.array(edge.view(np.int64)),
                                    pa.array(at.astype(np.int32))], names=names)
