@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators, one each, over whole tables."""
+"""The registered queries of the operators, one each, over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.llm import bytepair, hyperminhash, itq, langid, licenses, packing, quality, substrings, toxicity, vafile
+from vitrine.llm import (
+    bytepair, hyperminhash, itq, langid, licenses, packing, quality, stripes, substrings, toxicity, vafile,
+)
 from vitrine.llm.common import part_of, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +98,11 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 SQL["op1_license_scan"] = licenses.duckdb_sql()
+
+
+@query
+def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    return stripes.collocations(table(spark, sf, "documents"))
+
+
+SQL["op13_collocations"] = stripes.duckdb_sql()
