@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm import (
     bytepair, hyperminhash, itq, langid, licenses, packing, quality, stripes, substrings, toxicity, vafile,
+    whitening,
 )
 from vitrine.llm.common import part_of, table
 
@@ -100,6 +101,11 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 SQL["op1_license_scan"] = licenses.duckdb_sql()
 
 
+@query
+def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf, "embeddings"))
+
+
 @query
 def op13_collocations(spark: SparkSession, sf: str) -> DataFrame:
     return stripes.collocations(table(spark, sf, "documents"))
