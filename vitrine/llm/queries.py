@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vitrine.llm import (
-    bytepair, hyperminhash, itq, langid, licenses, packing, quality, stripes, substrings, toxicity, vafile,
+    bytepair, hyperminhash, itq, langid, licenses, mincut, packing, quality, stripes, substrings, toxicity, vafile,
     whitening,
 )
 from vitrine.llm.common import part_of, table
@@ -101,6 +101,11 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
 SQL["op1_license_scan"] = licenses.duckdb_sql()
 
 
+@query
+def op11_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    return mincut.extract(table(spark, sf, "pages"), "page_id", "url")
+
+
 @query
 def op12_whitening(spark: SparkSession, sf: str) -> DataFrame:
     return whitening.whiten(table(spark, sf, "embeddings"))
