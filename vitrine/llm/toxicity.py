@@ -5,7 +5,7 @@ character n-gram vectors. Two GRUs read a window of WINDOW words in both directi
 into one logit. Windows overlap by WINDOW - STRIDE words and cover whole texts; a text's logit is the log-sum-exp
 of its windows' logits, so one window is enough and the labels of texts can train windows.
 
-Training runs in numpy on the driver, on a sample of at most SAMPLE texts of each class, whole texts as in scoring.
+Training runs in numpy on the driver, on at most SAMPLE texts and SAMPLE_BYTES of each class, whole texts as in scoring.
 The vectors start with the log odds of their word or n-gram in the sample as first component. Scoring needs
 only the weights (their size is bounded by the parameters below) and runs over Arrow batches.
 """
@@ -20,11 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.common import fingerprints, passed_on, slices, words
+from vitrine.llm.common import fingerprints, passed_on, slices, stored, words
 
 WINDOW, STRIDE = 32, 24
 WORD_DIMS = CHAR_DIMS = HIDDEN = 8
-SAMPLE = 1000
+#: Texts of each class that are trained on, and their bytes.
+SAMPLE, SAMPLE_BYTES = 1000, 2 << 20
+#: Bytes of text whose words are counted at a time in training.
+COUNTED = 256 << 10
 MIN_DOCS, MAX_WORDS = 3, 30_000
 CHAR_BUCKETS, CHAR_ORDERS = 1 << 15, (3, 4)
 STEPS, BATCH, RATE = 120, 64, 0.01
@@ -216,35 +219,70 @@ class Network:
         return out
 
 
-def _odds(owner: np.ndarray, feature: np.ndarray, label: np.ndarray, n: int) -> np.ndarray:
-    """Log odds of each feature by the texts that have it, drawn to 0 for rare ones."""
-    pairs = np.unique(feature.astype(np.int64) * len(label) + owner)
-    feature, toxic = pairs // len(label), label[pairs % len(label)] == 1
-    yes, no = np.bincount(feature[toxic], minlength=n), np.bincount(feature[~toxic], minlength=n)
-    odds = np.log((yes + 1.5) / (label.sum() + 3)) - np.log((no + 1.5) / ((1 - label).sum() + 3))
+def _odds(yes: np.ndarray, no: np.ndarray, labels: np.ndarray) -> np.ndarray:
+    """Log odds of each feature by the numbers of toxic and other texts that have it, drawn to 0 for rare ones."""
+    odds = np.log((yes + 1.5) / (labels.sum() + 3)) - np.log((no + 1.5) / ((1 - labels).sum() + 3))
     return np.clip(odds * np.minimum(1, (yes + no) / 6), -3, 3).astype(np.float32)
 
 
+def _chunks(texts: pa.Array, size: int) -> Iterator[slice]:
+    """Stretches of texts of ``size`` bytes or one text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        before = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+        yield slice(start, stop)
+        start = stop
+
+
+def _presence(texts: pa.Array, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct word fingerprints with the numbers of (other, toxic) texts that have each, and those of the n-grams.
+
+    Goes through the texts COUNTED bytes at a time; what it keeps is one row for each distinct word.
+    """
+    found, counts = np.zeros(0, np.uint64), np.zeros((2, 0), np.int64)
+    buckets = np.zeros((2, CHAR_BUCKETS), np.int64)
+    for part in _chunks(texts, COUNTED):
+        some, label = Texts(texts[part]), labels[part]
+        if not some.distinct:
+            continue
+        owner = np.repeat(np.arange(len(label)), np.diff(some.offsets))
+        pairs = np.unique(some.codes * len(label) + owner)
+        word, owner = pairs // len(label), pairs % len(label)
+        prints, same = np.unique(fingerprints(some.distinct), return_inverse=True)
+        once = np.unique(same[word] * len(label) + owner)
+        print_of, toxic = once // len(label), label[once % len(label)]
+        both, at = np.unique(np.concatenate((found, prints)), return_inverse=True)
+        merged = np.zeros((2, len(both)), np.int64)
+        merged[:, at[:len(found)]] = counts
+        for k in (0, 1):
+            merged[k, at[len(found):]] += np.bincount(print_of[toxic == k], minlength=len(prints))
+        found, counts = both, merged
+        grams, bounds = word_grams(some.distinct)
+        for text in np.unique(owner):
+            own = word[owner == text]
+            has = np.zeros(CHAR_BUCKETS, bool)
+            for first in range(0, len(own), 4096):
+                piece = own[first:first + 4096]
+                n = np.diff(bounds)[piece]
+                has[grams[np.repeat(bounds[piece] - (np.cumsum(n) - n), n) + np.arange(n.sum())]] = True
+            buckets[label[text]] += has
+    return found, counts, buckets
+
+
 def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Network | None:
     """A network trained on these texts; None if one of the two classes is missing."""
     labels = np.asarray(labels, np.int64)
     if not labels.any() or labels.all():
         return None
-    all_texts = Texts(texts)
-    owner = np.repeat(np.arange(len(labels)), np.diff(all_texts.offsets))
-    prints = fingerprints(all_texts.distinct)[all_texts.codes]
-    found, at = np.unique(prints, return_inverse=True)
-    docs = np.bincount(np.unique(at * len(labels) + owner) // len(labels), minlength=len(found))
+    found, counts, buckets = _presence(texts, labels)
+    docs = counts.sum(0)
     chosen = np.sort(np.argsort(-docs, kind="stable")[:MAX_WORDS])
-    vocabulary = found[chosen[docs[chosen] >= MIN_DOCS]]
-    net = Network(vocabulary)
-    net.w["word"][:-1, 0] = _odds(owner, at, labels, len(found))[np.isin(found, vocabulary)]
-    grams, bounds = word_grams(all_texts.distinct)
-    pairs = np.unique(all_texts.codes * len(labels) + owner)
-    word, n = pairs // len(labels), np.diff(bounds)
-    size = n[word]
-    flat = grams[np.repeat(bounds[word] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
-    net.w["char"][:, 0] = _odds(np.repeat(pairs % len(labels), size), flat, labels, CHAR_BUCKETS)
+    chosen = chosen[docs[chosen] >= MIN_DOCS]
+    net = Network(found[chosen])
+    net.w["word"][:-1, 0] = _odds(counts[1, chosen], counts[0, chosen], labels)
+    net.w["char"][:, 0] = _odds(buckets[1], buckets[0], labels)
 
     rng = np.random.default_rng(7)
     rounds = -(-steps * BATCH // len(labels))
@@ -262,11 +300,12 @@ def train(texts: pa.Array, labels: np.ndarray, steps: int = STEPS) -> Network |
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | None:
-    """Trained on at most ``sample`` texts of each class, the first by a hash of doc_id.
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int = SAMPLE_BYTES) -> Network | None:
+    """Trained on at most ``sample`` texts of each class, the first by a hash of doc_id, and ``size`` bytes of each.
 
     ``docs`` has doc_id and text, ``labels`` doc_id and toxic; rows with a null in either of these teach nothing,
-    and of several labels of a document the largest counts.
+    of several labels of a document the largest counts, of several texts the smallest. Texts are taken whole: one
+    that no longer fits into the ``size`` bytes of its class is passed over.
     """
     marks = labels.selectExpr("cast(doc_id as long) doc_id", "cast(toxic as int) toxic").dropna().groupBy("doc_id").agg(
         F.max("toxic").alias("toxic"))
@@ -274,11 +313,18 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | N
     marks = marks.join(ids, "doc_id").withColumn("order", F.xxhash64("doc_id"))
     chosen = [marks.where(F.col("toxic") == c).orderBy("order", "doc_id").limit(sample) for c in (0, 1)]
     chosen = chosen[0].unionByName(chosen[1])  # at most 2 * sample ids
-    rows = docs.where("text is not null").select("doc_id", "text").join(
-        F.broadcast(chosen), "doc_id").orderBy("order", "doc_id", "text").toArrow()
-    if not rows.num_rows:
+    fitting = docs.where(F.octet_length("text") <= size).select("doc_id", "text")
+    rows = stored(fitting.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic", "order").agg(
+        F.min("text").alias("text")), "labelled")
+    left, taken = {0: size, 1: size}, []
+    for row in rows.select("doc_id", "toxic", F.octet_length("text").alias("n")).orderBy("order", "doc_id").collect():
+        if row["n"] <= left[row["toxic"]]:
+            left[row["toxic"]] -= row["n"]
+            taken.append(row["doc_id"])
+    if not taken:
         return None
-    return train(rows["text"].combine_chunks().cast(pa.string()), rows["toxic"].to_numpy())
+    texts = rows.where(F.col("doc_id").isin(taken)).orderBy("order", "doc_id").select("text", "toxic").toArrow()
+    return train(texts["text"].combine_chunks().cast(pa.string()), texts["toxic"].to_numpy())
 
 
 def score(docs: DataFrame, net: Network | None, *keep: str) -> DataFrame:
