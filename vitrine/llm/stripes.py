@@ -142,8 +142,8 @@ def _stripes(order: int, table, hot):
             taken, head = pa.array(dealt), pa.array(dealt[heads])
             yield pa.record_batch(
                 [lang.take(head), name.take(head), pa.array(shard[dealt[heads]].astype(np.int32)),
-                 pa.ListArray.from_arrays(bounds, nexts.take(taken)),
-                 pa.ListArray.from_arrays(bounds, pa.array(n[dealt]))],
+                 pc.binary_join(pa.ListArray.from_arrays(bounds, nexts.take(taken)), " "),
+                 pa.ListArray.from_arrays(bounds, pa.array(n[dealt].astype(np.int32)))],
                 names=["lang", "prefix", "shard", "nexts", "counts"])
 
     return run
@@ -164,10 +164,10 @@ def _merged(rows: DataFrame, order: int, table: bytes, hot: list) -> DataFrame:
     """Stripes of one order over all documents, one row for each candidate entry and one for all others together."""
     context = rows.sparkSession.sparkContext
     told = context.broadcast(table), context.broadcast({(r[0], r[1]) for r in hot})
-    made = rows.mapInArrow(_stripes(order, *told), "lang string, prefix string, shard int, nexts array<string>, "
-                                                   "counts array<long>")
+    made = rows.mapInArrow(_stripes(order, *told), "lang string, prefix string, shard int, nexts string, counts array<int>")
     entries = made.repartition("lang", "prefix", "shard").select(
-        "lang", "prefix", "shard", F.inline(F.arrays_zip(F.col("nexts").alias("next"), F.col("counts").alias("n"))))
+        "lang", "prefix", "shard", F.inline(F.arrays_zip(
+            F.split("nexts", " ").alias("next"), F.col("counts").alias("n"))))
     summed = entries.groupBy("lang", "prefix", "shard", "next").agg(F.sum("n").alias("n"))
     folded = summed.groupBy("lang", "prefix", "shard", F.when(F.col("n") >= LEAST, F.col("next")).otherwise("").alias(
         "next")).agg(F.sum("n").alias("n"))
@@ -240,7 +240,11 @@ def collocations(docs: DataFrame, top: int = TOP) -> DataFrame:
             F.col("l2")).alias("l"), F.when(early, F.col("r1")).otherwise(F.col("r2")).alias("r"),
         F.least(one, other).alias("score"))
     place = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    best = two.unionByName(three).withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= top)
+    # First the best of each of SHARDS parts, so that one task ranks SHARDS * top rows of a language at most.
+    part = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(SHARDS))).orderBy(
+        F.desc("score"), F.desc("a"), "phrase")
+    scored = two.unionByName(three).withColumn("rank", F.row_number().over(part)).where(F.col("rank") <= top)
+    best = scored.withColumn("rank", F.row_number().over(place).cast("long")).where(F.col("rank") <= top)
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
