@@ -103,20 +103,27 @@ def zero_result_filters(spark, sf):
     return L.zero_result_filters(queries, hits).select("query_id", "brand_key", "category_key")
 
 
-LSH = {"tables": 6, "bits": 3, "seed": 7}
+LSH = {"tables": 4, "bits": 4, "seed": 7, "probes": 6}
 
 
 def _lsh_sql(cte: str, of: str, depth: int, dims: int) -> str:
-    """Products with an equal signature in some table; the planes are written out."""
+    """Products in one of the cells probed for the query in some table; the planes are written out."""
     planes = hyperplanes(LSH["tables"], LSH["bits"], dims, LSH["seed"])
-    signed = ", ".join(
-        " || ".join(f"(list_inner_product(v, {[float(x) for x in plane]}) > 0)::INTEGER::VARCHAR" for plane in table)
-        + f" AS s{t}" for t, table in enumerate(planes))
-    equal = " OR ".join(f"q.s{t} = p.s{t}" for t in range(LSH["tables"]))
-    return f"""{cte}_s AS (SELECT *, {signed} FROM {of}),
-{cte} AS (SELECT q.product_id AS query_id, p.product_id, list_inner_product(q.v, p.v) / (q.norm * p.norm) AS score
-  FROM {cte}_s q JOIN {cte}_s p ON {equal}
-  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, p.product_id) <= {depth})"""
+    margins = ", ".join(
+        "[" + ", ".join(f"list_inner_product(v, {[float(x) for x in plane]})" for plane in table) + f"] AS m{t}"
+        for t, table in enumerate(planes))
+    own = ", ".join("(" + " + ".join(f"(m{t}[{i + 1}] > 0)::INT * {1 << i}" for i in range(LSH["bits"])) + f") AS c{t}"
+                    for t in range(LSH["tables"]))
+    away = " + ".join(f"(m // {1 << i} % 2) * margin[{i + 1}] ** 2" for i in range(LSH["bits"]))
+    long = " UNION ALL ".join(f"SELECT product_id, {t} AS t, c{t} AS own, m{t} AS margin FROM {cte}_s" for t in range(LSH["tables"]))
+    return f"""{cte}_s AS MATERIALIZED (SELECT *, {own} FROM (SELECT *, {margins} FROM {of})),
+{cte}_t AS MATERIALIZED ({long}),
+{cte}_p AS MATERIALIZED (SELECT product_id, t, xor(own, m) AS cell FROM {cte}_t, (SELECT unnest(range({1 << LSH['bits']}))::INT AS m)
+  QUALIFY row_number() OVER (PARTITION BY product_id, t ORDER BY round({away}, 9), m) <= {LSH['probes']}),
+{cte}_m AS MATERIALIZED (SELECT DISTINCT q.product_id AS a, p.product_id AS b FROM {cte}_p q JOIN {cte}_t p ON q.t = p.t AND q.cell = p.own),
+{cte} AS (SELECT a AS query_id, b AS product_id, list_inner_product(q.v, p.v) / (q.norm * p.norm) AS score
+  FROM {cte}_m JOIN {of} q ON q.product_id = a JOIN {of} p ON p.product_id = b
+  QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(score, 9) DESC, b) <= {depth})"""
 
 
 @query(f"""WITH {S.vectors('vf', 1, 64)}, {_lsh_sql('n', 'vf', 11, 64)} SELECT query_id, product_id,
@@ -127,6 +134,23 @@ def knn_lsh_topk(spark, sf):
     return round_columns(knn_lsh(self_queries(vectors), vectors, 10, **LSH, exclude_self=True), "score")
 
 
+@query(f"""WITH {S.vectors('vf', 1, 64)}, {_lsh_sql('n', 'vf', 11, 64)}, {S.neighbors('x', 'vf', 11)},
+  f AS (SELECT query_id, product_id FROM n WHERE query_id <> product_id QUALIFY row_number() OVER (PARTITION BY query_id
+  ORDER BY round(score, 9) DESC, product_id) <= 10), w AS (SELECT query_id, product_id FROM x WHERE query_id <> product_id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) <= 10)
+  SELECT count(*) AS wanted, count(f.query_id) AS found, {S.r('count(f.query_id) / count(*)::DOUBLE', 6)} AS recall
+  FROM w LEFT JOIN f USING (query_id, product_id)""")
+def knn_lsh_recall(spark, sf):
+    """How many of the exact ten nearest the approximate join returns."""
+    vectors = T.full_vectors(spark, sf)
+    queries = self_queries(vectors)
+    exact = knn_join(queries, vectors, 10, exclude_self=True).select("query_id", "product_id")
+    near = knn_lsh(queries, vectors, 10, **LSH, exclude_self=True).select("query_id", "product_id", F.lit(True).alias("seen"))
+    return exact.join(near, ["query_id", "product_id"], "left").agg(
+        F.count("*").alias("wanted"), F.count("seen").alias("found"),
+        N.rounded(F.count("seen") / F.count("*"), 6).alias("recall"))
+
+
 def _mixed_queries(spark, sf):
     """Queries by image, by text or by both, depending on the label."""
     rows = T.table(spark, sf, "embeddings").join(

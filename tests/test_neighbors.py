@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vitrine.operators.fusion import fuse, ranked, single_modality
-from vitrine.operators.neighbors import knn_join, knn_lsh
+from vitrine.operators.neighbors import _grid, _packs, knn_join, knn_lsh
 from vitrine.plans.search import missing_vectors, search, self_neighbors, similar_products
 
 
@@ -42,16 +42,16 @@ def queries(products, *extra):
     return products.withColumn("query_id", F.col("product_id")).select("query_id", "vector", *extra)
 
 
-@pytest.mark.parametrize("blocks", [1, 3, 8])
-def test_knn_is_exact_under_skew(spark, tmp_path, blocks):
+@pytest.mark.parametrize("cell_rows", [16_384, 200, 77])
+def test_knn_is_exact_under_skew(spark, tmp_path, cell_rows):
     m = skewed()
     p = vectors(spark, tmp_path / "v.parquet", m)
-    got = as_lists(knn_join(queries(p), p, 7, exclude_self=True, blocks=blocks))
+    got = as_lists(knn_join(queries(p), p, 7, exclude_self=True, cell_rows=cell_rows))
     assert got == brute(m, 7)
 
 
-@pytest.mark.parametrize("blocks", [1, 4])
-def test_knn_filters_before_top_k(spark, tmp_path, blocks):
+@pytest.mark.parametrize("cell_rows", [16_384, 30])
+def test_knn_filters_before_top_k(spark, tmp_path, cell_rows):
     m = skewed(300)
     brand = ["a" if i % 3 else f"b{i % 5}" for i in range(300)]
     price = [float(i % 50) if i % 7 else None for i in range(300)]
@@ -70,7 +70,7 @@ def test_knn_filters_before_top_k(spark, tmp_path, blocks):
         return not (i % 4 == 0 and (price[j] is None or price[j] > 30))
 
     expected = {i: v for i, v in brute(m, 5, allowed, self_too=True).items() if v}
-    assert as_lists(knn_join(q, p, 5, blocks=blocks)) == expected
+    assert as_lists(knn_join(q, p, 5, cell_rows=cell_rows)) == expected
 
 
 def test_knn_within_group_and_string_ids(spark, tmp_path):
@@ -130,3 +130,29 @@ def test_similar_needs_both_vectors(spark, tmp_path):
     assert got.filter("query_id = 3").count() == 0
     assert got.filter("query_id = product_id").count() == 0
     assert got.groupBy("query_id").count().agg(F.max("count")).first()[0] == 5
+
+
+def test_a_key_with_most_rows_is_spread_over_many_cells(spark, tmp_path):
+    m = skewed(600)
+    key = pa.array(["hot" if i % 10 else f"cold{i % 7}" for i in range(600)])
+    p = vectors(spark, tmp_path / "v.parquet", m, brand_key=key)
+    rows = p.select(F.col("product_id"), "vector", F.col("brand_key").alias("within"))
+    grid = {r["within"]: (r["q_blocks"], r["p_blocks"]) for r in _grid(rows, rows, 60).collect()}
+    assert grid == {"hot": (9, 9)}
+    packs = _packs(rows, _grid(rows, rows, 60), "product_id", ["product_id"], "p", "q").collect()
+    cells = {(r["p_block"], r["q_block"]) for r in packs if r["within"] == "hot"}
+    assert len(cells) == 81 and max(len(r["p_product_id"]) for r in packs) < 120
+    got = as_lists(knn_join(queries(p, "brand_key"), p, 5, within="brand_key", exclude_self=True, cell_rows=60))
+    keys = key.to_pylist()
+    assert got == {i: x for i, x in brute(m, 5, lambda i, j: keys[i] == keys[j]).items() if x}
+
+
+def test_more_probes_find_more(spark, tmp_path):
+    m = np.random.default_rng(3).normal(size=(500, 24)).astype("float32")
+    p = vectors(spark, tmp_path / "v.parquet", m)
+    exact = brute(m, 10)
+    share = []
+    for probes in (1, 4, 16):
+        got = as_lists(knn_lsh(queries(p), p, 10, tables=3, bits=4, probes=probes, exclude_self=True))
+        share.append(sum(len(set(exact[i]) & set(got.get(i, []))) for i in exact) / 5000)
+    assert share[0] < share[1] < share[2] == 1.0

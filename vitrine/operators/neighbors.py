@@ -1,13 +1,14 @@
 """Top-k cosine joins between a table of queries and a table of products.
 
-Vectors travel in packs of at most ``PACK_ROWS``. Queries and products are dealt to ``blocks`` blocks each by a hash
-of their id, and every pack meets every pack of the opposite side once, in one cell of the blocks x blocks grid. One
-matrix product per pair of packs keeps at most ``k`` rows per query, and a window takes the best ``k`` overall. No
-pair list is built, and the plan is the same for every size of table; ``blocks`` is the degree of parallelism.
+Vectors travel in packs of at most ``PACK_ROWS``. Every key has a grid of its own: its queries and its products are
+dealt to blocks of about ``cell_rows`` by a hash of their id, as many as the counted rows of the key ask for, and every
+pack meets every pack of the opposite side once, in one cell of the grid. A key with most of the rows is split into
+many cells, a small one is a single cell. One matrix product per pair of packs keeps at most ``k`` rows per query, and
+a window takes the best ``k`` overall. No pair list is built and the plan is the same for every size of table.
 
 Equality filters are part of the join key: a query that asks for a brand meets the packs of that brand only. A price
-range is a mask inside the kernel. ``knn_lsh`` adds the signature of random hyperplanes to the key and so searches
-equal signatures only (approximate).
+range is a mask inside the kernel. ``knn_lsh`` adds the signature of random hyperplanes to the key and so searches the
+signatures nearest to the query only (approximate).
 """
 
 from __future__ import annotations
@@ -26,7 +27,8 @@ from vitrine.config import SCORE_DECIMALS
 
 PACK_ROWS = 1024
 CHUNK_ROWS = 65_536
-BLOCKS = 4
+#: Rows of one side that meet in one cell of a key's grid.
+CELL_ROWS = 16_384
 QUERY_FACETS = ("brand_key", "category_key", "min_price", "max_price")
 
 #: Which equality filters a query sets, as bits: brand 1, category 2.
@@ -86,6 +88,7 @@ def _packer(carried: list[str]):
             heads = [s for s, _ in bounds]
             arrays = [
                 pa.array(block[heads].astype(np.int32)),
+                table.column("others").combine_chunks().take(pa.array(order[heads])),
                 within.dictionary.take(pa.array(codes[heads])),
                 pa.array([raw[order[s:e]].tobytes() for s, e in bounds], pa.binary()),
             ]
@@ -93,7 +96,7 @@ def _packer(carried: list[str]):
                 pa.ListArray.from_arrays(offsets, table.column(c).combine_chunks().take(pa.array(order)))
                 for c in carried
             ]
-            yield pa.RecordBatch.from_arrays(arrays, names=["block", "within", "matrix", *carried])
+            yield pa.RecordBatch.from_arrays(arrays, names=["block", "others", "within", "matrix", *carried])
 
     return run
 
@@ -117,14 +120,30 @@ def hyperplanes(tables: int, bits: int, dims: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).normal(size=(tables, bits, dims))
 
 
-def _signatures(tables: int, bits: int, seed: int) -> CellRule:
-    """One cell per hash table: the sign pattern of the vector against that table's planes."""
+def _signatures(tables: int, bits: int, seed: int, probes: int = 1) -> CellRule:
+    """The ``probes`` cells of each hash table nearest to a vector.
+
+    A vector's own cell is its sign pattern against the table's planes; another cell is as far as the squared distances
+    to the planes that lie between add up to.
+    """
     weights = 1 << np.arange(bits)
+    masks = np.arange(1 << bits)
+    crossed = (masks[:, None] >> np.arange(bits) & 1).astype(np.float64)
 
     def rule(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         planes = hyperplanes(tables, bits, raw.shape[1], seed)
-        cells = [((raw.astype(np.float64) @ planes[t].T) > 0) @ weights + t * (1 << bits) for t in range(tables)]
-        return np.tile(np.arange(len(raw)), tables), np.concatenate(cells)
+        rows, cells = [], []
+        for t in range(tables):
+            margin = raw.astype(np.float64) @ planes[t].T
+            own = (margin > 0) @ weights
+            if probes == 1:
+                near = np.zeros((len(raw), 1), np.int64)
+            else:
+                away = np.round(margin ** 2 @ crossed.T, SCORE_DECIMALS)
+                near = np.argsort(away, axis=1, kind="stable")[:, :probes]
+            cells.append(((own[:, None] ^ masks[near]) + t * (1 << bits)).ravel())
+            rows.append(np.repeat(np.arange(len(raw)), near.shape[1]))
+        return np.concatenate(rows), np.concatenate(cells)
 
     return rule
 
@@ -219,23 +238,36 @@ def _keyed(queries: DataFrame, products: DataFrame, keys: list[str]) -> tuple[Da
             products.withColumn("within", F.explode(offered)).drop(*keys))
 
 
-def _packs(df: DataFrame, id_name: str, carried: list[str], prefix: str, blocks: int) -> DataFrame:
-    """Packs of the rows of one key and block, which are brought together first so that packs fill up."""
+def _grid(asked: DataFrame, offered: DataFrame, cell_rows: int) -> DataFrame:
+    """(within, q_blocks, p_blocks) of the keys that need more than one cell, from the numbers of their rows.
+
+    Few keys do: at most the number of rows over ``cell_rows``.
+    """
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("within").agg(F.ceil(F.count("*") / cell_rows).cast("int").alias(name))
+
+    both = blocks(asked, "q_blocks").join(blocks(offered, "p_blocks"), "within")
+    return both.where("q_blocks > 1 or p_blocks > 1")
+
+
+def _packs(df: DataFrame, grid: DataFrame, id_name: str, carried: list[str], prefix: str, other: str) -> DataFrame:
+    """Packs of the rows of one key and block, which are brought together first so that packs fill up, once for each
+    block of the other side."""
     kinds = {f.name: f.dataType for f in df.schema.fields}
     schema = T.StructType(
-        [T.StructField("block", T.IntegerType()), T.StructField("within", T.StringType()),
-         T.StructField("matrix", T.BinaryType())] + [T.StructField(c, T.ArrayType(kinds[c])) for c in carried])
-    dealt = df.withColumn("block", F.expr(f"cast(pmod(hash({id_name}), {blocks}) as int)"))
-    packs = dealt.hint("rebalance", "within", "block").mapInArrow(_packer(carried), schema)
+        [T.StructField("block", T.IntegerType()), T.StructField("others", T.IntegerType()),
+         T.StructField("within", T.StringType()), T.StructField("matrix", T.BinaryType())]
+        + [T.StructField(c, T.ArrayType(kinds[c])) for c in carried])
+    sized = df.join(grid, "within", "left").withColumns({
+        "block": F.expr(f"cast(pmod(hash({id_name}), coalesce({prefix}_blocks, 1)) as int)"),
+        "others": F.coalesce(F.col(f"{other}_blocks"), F.lit(1))}).drop("q_blocks", "p_blocks")
+    packs = sized.hint("rebalance", "within", "block").mapInArrow(_packer(carried), schema)
     return packs.select("within", F.col("block").alias(f"{prefix}_block"),
+                        F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias(f"{other}_block"),
                         *[F.col(c).alias(f"{prefix}_{c}") for c in ("matrix", *carried)])
 
 
-def _every(blocks: int, name: str):
-    return F.explode(F.array(*map(F.lit, range(blocks)))).alias(name)
-
-
-def _scored(queries: DataFrame, products: DataFrame, k: int, blocks: int, prices: bool) -> DataFrame:
+def _scored(queries: DataFrame, products: DataFrame, k: int, cell_rows: int, prices: bool) -> DataFrame:
     """The ``k`` best products of each query and pair of packs with equal ``within``."""
     element = products.schema["vector"].dataType.elementType
     dtype = "<f4" if isinstance(element, T.FloatType) else "<f8"
@@ -243,10 +275,10 @@ def _scored(queries: DataFrame, products: DataFrame, k: int, blocks: int, prices
         T.StructField("query_id", queries.schema["query_id"].dataType),
         T.StructField("product_id", products.schema["product_id"].dataType),
         T.StructField("score", T.DoubleType()), T.StructField("rank_score", T.DoubleType())])
-    asked = _packs(queries, "query_id", ["query_id", *(("min_price", "max_price") if prices else ())], "q", blocks)
-    offered = _packs(products, "product_id", ["product_id", *(("price",) if prices else ())], "p", blocks)
-    met = asked.select("*", _every(blocks, "p_block")).join(
-        offered.select("*", _every(blocks, "q_block")), ["within", "q_block", "p_block"])
+    grid = _grid(queries, products, cell_rows)
+    asked = _packs(queries, grid, "query_id", ["query_id", *(("min_price", "max_price") if prices else ())], "q", "p")
+    offered = _packs(products, grid, "product_id", ["product_id", *(("price",) if prices else ())], "p", "q")
+    met = asked.join(offered, ["within", "q_block", "p_block"])
     return met.drop("within", "q_block", "p_block").mapInArrow(_kernel(k, dtype, prices), schema)
 
 
@@ -263,40 +295,41 @@ def _sides(queries: DataFrame, products: DataFrame, within: str | None) -> tuple
 
 
 def knn_join(queries: DataFrame, products: DataFrame, k: int, *, within: str | None = None,
-             exclude_self: bool = False, blocks: int = BLOCKS) -> DataFrame:
+             exclude_self: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The exact ``k`` most similar products per query: (query_id, product_id, score, rank).
 
     ``queries`` has ``query_id`` and ``vector``, and optionally the filters ``brand_key``, ``category_key``,
     ``min_price``, ``max_price`` (a null filters nothing); ``products`` has ``product_id``, ``vector`` and the
     facets ``brand_key``, ``category_key``, ``price`` those filters refer to. Filters apply before the top-k.
-    ``within`` names a column that must be equal on both sides. Ties go to the lower product id. The grid has
-    ``blocks`` x ``blocks`` cells for each key; the result does not depend on it.
+    ``within`` names a column that must be equal on both sides. Ties go to the lower product id. ``cell_rows`` is
+    the number of rows of one side that meet in one task; the result does not depend on it.
     """
     asked, offered, prices = _sides(queries, products, within)
     depth = k + 1 if exclude_self else k
-    best = top_k(_scored(asked, offered, depth, blocks, prices), depth)
+    best = top_k(_scored(asked, offered, depth, cell_rows, prices), depth)
     if exclude_self:
         best = top_k(best.filter(F.col("query_id") != F.col("product_id")).drop("rank"), k)
     return best.select("query_id", "product_id", "score", "rank")
 
 
-def knn_lsh(queries: DataFrame, products: DataFrame, k: int, *, tables: int, bits: int, seed: int = 7,
-            within: str | None = None, exclude_self: bool = False, blocks: int = BLOCKS) -> DataFrame:
-    """Approximate ``knn_join``: only products with an equal signature in some of ``tables`` hash tables are seen.
+def knn_lsh(queries: DataFrame, products: DataFrame, k: int, *, tables: int, bits: int, seed: int = 7, probes: int = 1,
+            within: str | None = None, exclude_self: bool = False, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """Approximate ``knn_join``: of each of ``tables`` hash tables a query sees the ``probes`` cells nearest to it.
 
-    A signature has ``bits`` bits: more bits mean less work and lower recall, more tables the opposite. Scores are
-    exact; a product whose signature differs in every table is missed.
+    A cell is a signature of ``bits`` bits: more bits mean less work and lower recall; more tables the opposite, at the
+    cost of more copies of the products, and more probes the opposite at the cost of more copies of the queries only.
+    Scores are exact; a product whose cell is probed in no table is missed.
     """
     asked, offered, prices = _sides(queries, products, within)
     depth = k + 1 if exclude_self else k
-    rule = _signatures(tables, bits, seed)
 
-    def signed(df: DataFrame) -> DataFrame:
+    def signed(df: DataFrame, rule: CellRule) -> DataFrame:
         schema = T.StructType([*df.schema.fields, T.StructField("cell", T.IntegerType())])
         return df.mapInArrow(_assigner(rule), schema).withColumn(
             "within", F.concat_ws("/", F.col("cell").cast("string"), "within")).drop("cell")
 
-    hits = _scored(signed(asked), signed(offered), depth, blocks, prices)
+    own, near = _signatures(tables, bits, seed), _signatures(tables, bits, seed, probes)
+    hits = _scored(signed(asked, near), signed(offered, own), depth, cell_rows, prices)
     # A pair found in several tables is one hit.
     distinct = hits.groupBy("query_id", "product_id").agg(
         F.max("score").alias("score"), F.max("rank_score").alias("rank_score"))
