@@ -16,6 +16,8 @@ from vitrine.functions.fuzzy import sorted_tokens, token_similarity
 from vitrine.operators import duplicates as D
 from vitrine.operators import evaluate as V
 from vitrine.operators import explain as X
+from vitrine.operators.blocked import duplicate_pairs
+from vitrine.operators.fuzzy_join import similar_values
 from vitrine.operators import filters as L
 from vitrine.operators import pricing as P
 from vitrine.operators import recommend as R
@@ -467,6 +469,53 @@ def fuzzy_pairs(spark, sf):
         N.rounded(token_similarity(F.col("a"), F.col("b")), 6).alias("similarity"))
 
 
+@query(f"""WITH {S.fuzzy_table('fz', NAME_VALUES)}, n AS (SELECT {S.tokens('p_name')} AS t, count(*) AS n FROM part GROUP BY 1)
+  SELECT a, b, {S.r('sim', 6)} AS similarity, l.n AS left_products, r.n AS right_products FROM fz
+  JOIN n l ON l.t = a JOIN n r ON r.t = b WHERE a < b AND sim >= 0.7""")
+def fuzzy_matches(spark, sf):
+    """All pairs of different product names that are alike, with the products that have them."""
+    names = T.table(spark, sf, "part").select(sorted_tokens(F.col("p_name")).alias("value"))
+    counts = names.groupBy("value").agg(F.count("*").alias("n"))
+    return similar_values(names, 0.7).join(
+        counts.selectExpr("value as a", "n as left_products"), "a").join(
+        counts.selectExpr("value as b", "n as right_products"), "b").withColumn(
+        "similarity", N.rounded(F.col("similarity"), 6))
+
+
+def titles(spark, sf):
+    """Name, brand and category of every product as one text of sorted tokens."""
+    return T.catalog(spark, sf).select(sorted_tokens(F.concat_ws(" ", "name", "brand", "category")).alias("value"))
+
+
+@query()
+def fuzzy_title_matches(spark, sf):
+    """All pairs of different product titles with a ratio of 0.85 or more: too many pairs for SQL without the bounds."""
+    return round_columns(similar_values(titles(spark, sf), 0.85), "similarity")
+
+
+PAIRS = DuplicateConfig(threshold=0.52)
+PAIRS_SQL = f"""{S.CATALOG}, {S.vectors('vi', 1, 32)}, {S.vectors('vt', 33, 64)}, {', '.join(_short_fuzzy(c) for c in FUZZY_COLUMNS)},
+ap AS (SELECT i.product_id AS query_id, j.product_id, list_inner_product(i.v, j.v) / (i.norm * j.norm) AS image_score,
+  list_inner_product(t.v, u.v) / (t.norm * u.norm) AS text_score FROM vi i JOIN vi j ON i.product_id < j.product_id
+  JOIN vt t ON t.product_id = i.product_id JOIN vt u ON u.product_id = j.product_id),
+sg AS (SELECT s.query_id, s.product_id, {S.clamp('s.image_score')} AS image_signal, {S.clamp('s.text_score')} AS text_signal,
+  list_avg(list_filter([z_name.sim, z_brand.sim, z_category.sim], lambda x: x IS NOT NULL)) AS metadata_signal,
+  list_avg(list_filter([z_brand.sim, z_category.sim, z_color.sim, z_material.sim, z_style.sim], lambda x: x IS NOT NULL)) AS attribute_signal
+  FROM ap s JOIN catalog t ON t.product_id = s.query_id JOIN catalog c ON c.product_id = s.product_id
+  {' '.join(_sim_of(c)[1] for c in FUZZY_COLUMNS)}),
+dup AS (SELECT *, {S.clamp('0.35::DOUBLE * image_signal + 0.25::DOUBLE * text_signal + 0.2::DOUBLE * metadata_signal + 0.2::DOUBLE * attribute_signal')}
+  AS overall FROM sg)"""
+
+
+@query(f"""WITH {PAIRS_SQL} SELECT query_id, product_id, {S.r('image_signal', 6)} AS image_signal, {S.r('text_signal', 6)} AS text_signal,
+  {S.r('metadata_signal', 6)} AS metadata_signal, {S.r('attribute_signal', 6)} AS attribute_signal,
+  {S.r('overall', 6)} AS overall_similarity FROM dup WHERE round(overall, 9) >= {PAIRS.threshold}""")
+def duplicate_pairs_blocked(spark, sf):
+    """All pairs of products at or above the threshold, by bounds that lose none."""
+    pairs = duplicate_pairs(T.image_vectors(spark, sf), T.text_vectors(spark, sf), T.indexed(spark, sf), PAIRS)
+    return round_columns(pairs, "image_signal", "text_signal", "metadata_signal", "attribute_signal", "overall_similarity")
+
+
 @query(f"""WITH {DUP_SCORED} SELECT query_id, product_id, {S.r('image_signal', 6)} AS image_signal, {S.r('text_signal', 6)} AS text_signal,
   {S.r('metadata_signal', 6)} AS metadata_signal, {S.r('attribute_signal', 6)} AS attribute_signal,
   {S.r('overall', 6)} AS overall_similarity FROM dup""")

@@ -72,3 +72,27 @@ def token_similarity(a: Column, b: Column) -> Column:
 def fuzzy_ratio(a: Column, b: Column) -> Column:
     """``2 * common subsequence / total length`` over sorted tokens; null when either is blank."""
     return token_similarity(sorted_tokens(a), sorted_tokens(b))
+
+
+def numbered(parts: Column) -> Column:
+    """The entries of an array with a number each, so that the n-th equal entry differs from the first."""
+    def each(ordered: Column) -> Column:  # bound by the outer lambda, so that it is sorted once
+        return F.transform(ordered, lambda c, i: F.concat(c, F.lit("\x01"), (i + 2 - F.array_position(ordered, c)).cast("string")))
+
+    return F.transform(F.array(F.sort_array(parts)), each)[0]
+
+
+def pieces(value: Column, size: int) -> Column:
+    """All stretches of ``size`` characters, numbered; empty where the value is shorter."""
+    last = F.length(value) - (size - 1)
+    places = F.when(last >= 1, F.sequence(F.lit(1), F.greatest(last, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    return numbered(F.transform(places, lambda i: F.substring(value, i, F.lit(size))))
+
+
+def ratio_bound(a: Column, b: Column, letters_a: Column, letters_b: Column) -> Column:
+    """What the ratio of two ``sorted_tokens`` values cannot exceed: a common subsequence uses common letters only.
+
+    ``letters_*`` are ``pieces(value, 1)``, computed once for each value.
+    """
+    common = F.size(F.array_intersect(letters_a, letters_b))
+    return F.when(a == b, F.lit(1.0)).otherwise(2.0 * common / (F.length(a) + F.length(b)))

@@ -8,10 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vitrine.config import DEFAULTS, DuplicateConfig, VerifyConfig
-from vitrine.functions.fuzzy import token_similarities
+from vitrine.functions.fuzzy import ratio_bound, token_similarities
 from vitrine.functions.scalars import (
     blank_to_null, clamp01, fixed, fold, mean_of_present, percent, rank_value)
-from vitrine.operators.pairs import pair_up, with_tokens
+from vitrine.operators.pairs import pair_up, with_letters, with_tokens
 
 METADATA_FIELDS = ("name", "brand", "category")
 ATTRIBUTE_FIELDS = ("brand", "category", "color", "material", "style", "gender")
@@ -20,27 +20,49 @@ OVERLAP_FIELDS = ("color", "material", "gender", "style")
 
 
 def _fuzzy_pairs(hits: DataFrame, targets: DataFrame, candidates: DataFrame, fields: list[str],
-                 extra: list[str]) -> DataFrame:
-    """Hits with ``sim_<field>`` for each field (null when missing on either side)."""
+                 extra: list[str], likely: Column | None = None) -> DataFrame:
+    """Hits with ``sim_<field>`` for each field (null when missing on either side).
+
+    ``likely`` is a condition on the ``tok_`` and ``abc_`` columns that pairs worth comparing meet.
+    """
     columns = [f"tok_{f}" for f in fields] + extra
     same = targets is candidates
-    targets = with_tokens(targets, fields)
-    candidates = targets if same else with_tokens(candidates, fields)
+    prepare = with_tokens if likely is None else lambda df, names: with_letters(with_tokens(df, names), names)
+    columns += [] if likely is None else [f"abc_{f}" for f in fields]
+    targets = prepare(targets, fields)
+    candidates = targets if same else prepare(candidates, fields)
     paired = pair_up(hits, targets, candidates, columns)
+    if likely is not None:
+        paired = paired.filter(likely)
     found = token_similarities({f: (F.col(f"t_tok_{f}"), F.col(f"c_tok_{f}")) for f in fields})
     paired = paired.withColumn("_sim", found)
     return paired.withColumns({f"sim_{f}": F.col("_sim")[f] for f in fields}).drop("_sim")
 
 
+def _total(image: Column, text: Column, metadata: Column, attributes: Column, cfg: DuplicateConfig) -> Column:
+    return clamp01(cfg.image_weight * image + cfg.text_weight * text + cfg.metadata_weight * metadata
+                   + cfg.attribute_weight * attributes)
+
+
+def _may_reach(limit: float, cfg: DuplicateConfig) -> Column:
+    """Whether the letters that a pair's fields share leave room for ``limit``."""
+    bound = {f: ratio_bound(*(F.col(f"{side}_{kind}_{f}") for kind in ("tok", "abc") for side in "tc")) for f in FUZZY_FIELDS}
+    most = _total(clamp01(F.col("image_score")), clamp01(F.col("text_score")),
+                  mean_of_present(*[bound[f] for f in METADATA_FIELDS]),
+                  mean_of_present(*[bound[f] for f in ATTRIBUTE_FIELDS]), cfg)
+    return most >= limit - 1e-9
+
+
 def score_pairs(hits: DataFrame, targets: DataFrame, candidates: DataFrame,
-                cfg: DuplicateConfig = DEFAULTS.duplicate) -> DataFrame:
+                cfg: DuplicateConfig = DEFAULTS.duplicate, at_least: float | None = None) -> DataFrame:
     """Four weighted signals and their clamped sum per hit.
 
-    ``targets`` describes the checked products by ``product_id`` = query id.
+    ``targets`` describes the checked products by ``product_id`` = query id. With ``at_least`` only pairs that reach it
+    are returned, and fields are compared only where their letters leave room for it.
     """
     scored = _fuzzy_pairs(
         hits.select("query_id", "product_id", "image_score", "text_score"),
-        targets, candidates, FUZZY_FIELDS, [])
+        targets, candidates, FUZZY_FIELDS, [], None if at_least is None else _may_reach(at_least, cfg))
     scored = scored.select(
         "query_id", "product_id",
         clamp01(F.col("image_score")).alias("image_signal"),
@@ -48,10 +70,9 @@ def score_pairs(hits: DataFrame, targets: DataFrame, candidates: DataFrame,
         mean_of_present(*[F.col(f"sim_{f}") for f in METADATA_FIELDS]).alias("metadata_signal"),
         mean_of_present(*[F.col(f"sim_{f}") for f in ATTRIBUTE_FIELDS]).alias("attribute_signal"),
     )
-    total = (cfg.image_weight * F.col("image_signal") + cfg.text_weight * F.col("text_signal")
-             + cfg.metadata_weight * F.col("metadata_signal")
-             + cfg.attribute_weight * F.col("attribute_signal"))
-    return scored.withColumn("overall_similarity", clamp01(total))
+    scored = scored.withColumn("overall_similarity", _total(
+        *(F.col(f"{s}_signal") for s in ("image", "text", "metadata", "attribute")), cfg))
+    return scored if at_least is None else scored.filter(rank_value(F.col("overall_similarity")) >= at_least)
 
 
 def decide(subjects: DataFrame, scored: DataFrame,

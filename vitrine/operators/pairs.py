@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.functions.fuzzy import sorted_tokens
+from vitrine.functions.fuzzy import pieces, sorted_tokens
 
 
 def pair_up(hits: DataFrame, targets: DataFrame, candidates: DataFrame, columns: list[str]) -> DataFrame:
@@ -21,6 +21,11 @@ def with_tokens(products: DataFrame, columns: list[str]) -> DataFrame:
     return products.withColumns({f"tok_{c}": sorted_tokens(F.col(c)) for c in columns})
 
 
+def with_letters(products: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``abc_<column>``, the numbered letters of ``tok_<column>``, once per product."""
+    return products.withColumns({f"abc_{c}": pieces(F.col(f"tok_{c}"), 1) for c in columns})
+
+
 def hydrate(hits: DataFrame, products: DataFrame, columns: list[str]) -> DataFrame:
     """Attach payload columns to hits."""
     return hits.join(products.select("product_id", *columns), "product_id")
