@@ -18,6 +18,7 @@ from vitrine.operators import evaluate as V
 from vitrine.operators import explain as X
 from vitrine.operators.blocked import duplicate_pairs
 from vitrine.operators.fuzzy_join import similar_values
+from vitrine.operators.maintain import refresh_neighbors, refresh_recommendations
 from vitrine.operators import filters as L
 from vitrine.operators import pricing as P
 from vitrine.operators import recommend as R
@@ -356,6 +357,62 @@ def recommend_stored(spark, sf):
         "query_id", "product_id", "rank", F.lit("computed").alias("origin")))
 
 
+# An upsert: every twentieth product is altered (before it, its two vectors were the other way round), the next is put
+# in, the one after taken out.
+CHANGE = "CASE product_id % 20 WHEN 0 THEN 'altered' WHEN 1 THEN 'put in' WHEN 2 THEN 'taken out' END"
+
+
+def _before(vectors, others):
+    """Vectors before the change."""
+    change = F.expr(CHANGE)
+    rows = vectors.join(others.select("product_id", F.col("vector").alias("other")), "product_id")
+    return rows.where(change.isNull() | (change != "put in")).select(
+        "product_id", F.when(change == "altered", F.col("other")).otherwise(F.col("vector")).alias("vector"))
+
+
+def _after(rows):
+    return rows.where(~F.coalesce(F.expr(CHANGE) == "taken out", F.lit(False)))
+
+
+def _changed(spark, sf):
+    return T.indexed(spark, sf).where(F.expr(CHANGE).isNotNull()).select("product_id")
+
+
+def _after_sql(text):
+    return text.replace("FROM embeddings JOIN part ON p_partkey = vec_id)",
+                        "FROM embeddings JOIN part ON p_partkey = vec_id WHERE vec_id % 20 <> 2)")
+
+
+@query(f"""WITH {S.vectors('vi', 1, 32)}, {S.vectors('vt', 33, 64)},
+  vo AS (SELECT vi.product_id, CASE WHEN vi.product_id % 20 = 0 THEN vt.v ELSE vi.v END AS v, CASE WHEN vi.product_id % 20 = 0
+    THEN vt.norm ELSE vi.norm END AS norm FROM vi JOIN vt USING (product_id) WHERE product_id % 20 <> 1),
+  vn AS (SELECT * FROM vi WHERE product_id % 20 <> 2), {S.neighbors('o', 'vo', 11)}, {S.neighbors('n', 'vn', 11)},
+  redo AS (SELECT DISTINCT query_id FROM o WHERE product_id % 20 < 3 UNION SELECT product_id FROM vn WHERE product_id % 20 < 3),
+  came AS (SELECT DISTINCT query_id FROM n WHERE product_id % 20 < 3)
+  SELECT query_id, product_id, {S.r('score', 6)} AS score, CAST(rk AS INTEGER) AS rank, CASE WHEN query_id IN (SELECT query_id FROM redo)
+  THEN 'redone' WHEN query_id IN (SELECT query_id FROM came) THEN 'merged' ELSE 'kept' END AS how FROM n""")
+def neighbors_after_upsert(spark, sf):
+    """Neighbor lists kept up to date, and which of them were kept, merged or redone."""
+    image, text = T.image_vectors(spark, sf), T.text_vectors(spark, sf)
+    stored = materialize(self_neighbors(_before(image, text), 10), "lists")
+    out = refresh_neighbors(stored, _after(image).select("product_id", "vector"), _changed(spark, sf), 11)
+    return round_columns(out, "score")
+
+
+@query(f"WITH {_rec_sql(_after_sql(S.similar(30)))} SELECT {REC_COLUMNS} FROM recs")
+def recommend_after_upsert(spark, sf):
+    """Recommendations kept up to date after an upsert and a delete, equal to recommending everything anew."""
+    image, text = T.image_vectors(spark, sf), T.text_vectors(spark, sf)
+    catalog = T.indexed(spark, sf)
+    change = F.expr(CHANGE)
+    lists = [materialize(self_neighbors(v, 30), "lists") for v in (_before(image, text), _before(text, image))]
+    old = catalog.where(change.isNull() | (change != "put in")).withColumn(
+        "brand", F.when(change == "altered", F.lit("Old brand")).otherwise(F.col("brand")))
+    stored = materialize(J.recommend(*lists, old), "recommendations")
+    recs, _ = refresh_recommendations(stored, *lists, _after(image), _after(text), _after(catalog), _changed(spark, sf), 30)
+    return _rec_columns(recs)
+
+
 @query(f"WITH {_rec_sql(S.related(30))} SELECT {REC_COLUMNS} FROM recs")
 def recommend_related(spark, sf):
     return _rec_columns(J.recommend(None, self_neighbors(T.text_vectors(spark, sf), 30),
