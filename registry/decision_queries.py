@@ -27,8 +27,9 @@ from vitrine.operators.pairs import compare_fields, hydrate
 from vitrine.operators.rerank import rerank
 from vitrine.plans import catalog_jobs as J
 from vitrine.plans.search import search, search_reranked, self_neighbors, similar_products
-from vitrine.session import materialize
+from vitrine.session import materialize, working_dir
 from vitrine.sources import sinks as W
+from vitrine.streaming import gate as G
 
 # The supplied vectors are far apart and prices vary little, so some limits are set where both
 # outcomes occur.
@@ -981,3 +982,65 @@ def explain_products(spark, sf):
     decisions = J.detect_duplicates(similar_products(image, text, 10), catalog, catalog, cfg=CFG)
     traces = J.explain_products(decisions, J.recommend(image, text, catalog))
     return traces.select("query_id", "decision_type", "subject_id", "summary")
+
+
+# ---------------------------------------------------------------- ingest behind the duplicate gate
+
+GATE = DuplicateConfig(threshold=0.46)
+
+
+def _submissions(spark, sf):
+    """Products with both vectors, and the delivery each comes with; null for those that are stored already."""
+    size = T.table(spark, sf, "part").select(F.col("p_partkey").alias("product_id"), "p_size")
+    image = T.image_vectors(spark, sf).select("product_id", F.col("vector").alias("image_vector"))
+    text = T.text_vectors(spark, sf).select("product_id", F.col("vector").alias("text_vector"))
+    rows = T.indexed(spark, sf).select("product_id", *D.FUZZY_FIELDS).join(image, "product_id").join(
+        text, "product_id").join(size, "product_id")
+    return rows.withColumn("delivery", F.when(F.col("p_size") % 3 == 0, F.col("product_id") % 4)).drop("p_size")
+
+
+GATE_SQL = f"""{PAIRS_SQL}, link AS MATERIALIZED (SELECT query_id AS a, product_id AS b, overall FROM dup WHERE round(overall, 9) >= {GATE.threshold}),
+pair2 AS (SELECT a, b, overall FROM link UNION ALL SELECT b, a, overall FROM link),
+item AS MATERIALIZED (SELECT c.product_id, row_number() OVER (ORDER BY c.product_id % 4, c.product_id) AS i FROM catalog c
+  JOIN embeddings ON vec_id = c.product_id WHERE c.p_size % 3 = 0)"""
+
+
+def _verdict_sql(accepted: str) -> str:
+    """Verdicts of the delivered products; a partner counts if it is stored or earlier and ``accepted``."""
+    return f"""part_of AS (SELECT x.product_id, b.b AS other, overall FROM item x JOIN pair2 b ON b.a = x.product_id
+  LEFT JOIN item y ON y.product_id = b.b WHERE y.i IS NULL OR (y.i < x.i AND {accepted})),
+best AS (SELECT * FROM part_of QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY round(overall, 9) DESC, other) = 1)
+SELECT x.product_id, b.other IS NOT NULL AS is_duplicate, b.other AS matched_product, {S.r('coalesce(b.overall, 0)', 6)} AS confidence"""
+
+
+@query(f"""WITH RECURSIVE {GATE_SQL},
+near AS MATERIALIZED (SELECT x.i, coalesce(list(y.i) FILTER (y.i < x.i), []) AS js, coalesce(bool_or(b.b IS NOT NULL AND y.i IS NULL), false) AS hit
+  FROM item x LEFT JOIN pair2 b ON b.a = x.product_id LEFT JOIN item y ON y.product_id = b.b GROUP BY x.i),
+walk(i, acc) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT n.i, CASE WHEN hit OR list_has_any(acc, js) THEN acc ELSE list_append(acc, n.i) END
+  FROM walk JOIN near n ON n.i = walk.i + 1),
+let_in AS MATERIALIZED (SELECT unnest(acc) AS i FROM (SELECT acc FROM walk ORDER BY i DESC LIMIT 1)),
+{_verdict_sql('y.i IN (SELECT i FROM let_in)')}, x.i IN (SELECT i FROM let_in) AS accepted
+  FROM item x LEFT JOIN best b USING (product_id)""")
+def stream_gated_ingest(spark, sf):
+    """Four deliveries, one after the other, through the gate: against the catalog, earlier deliveries and their own."""
+    rows = materialize(_submissions(spark, sf), "submissions")
+    stored = rows.where("delivery is null").drop("delivery")
+    base = working_dir(spark, "gate")
+    for delivery in range(4):
+        new = rows.where(F.col("delivery") == delivery).drop("delivery").withColumn("place", F.col("product_id"))
+        new.write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(new.schema).parquet(f"{base}/in")
+        G.start_gate(stream, stored, f"{base}/out", f"{base}/checkpoint", cfg=GATE).awaitTermination()
+    return round_columns(G.decisions(spark, f"{base}/out"), "confidence").drop("batch_id")
+
+
+@query(f"""WITH {GATE_SQL}, {_verdict_sql('true')}, CASE WHEN b.other IS NULL THEN 'new' ELSE 'duplicate' END AS outcome
+  FROM item x LEFT JOIN best b USING (product_id)""")
+def duplicate_new_products(spark, sf):
+    """Products that are not indexed yet, held against the catalog and those submitted before them."""
+    rows = materialize(_submissions(spark, sf), "submissions")
+    new = rows.where("delivery is not null").withColumn("place", F.struct("delivery", "product_id")).drop("delivery")
+    found = G.judge_batch(new, rows.where("delivery is null").drop("delivery"), "warn", GATE)
+    return round_columns(found, "confidence").select(
+        "product_id", "is_duplicate", "matched_product", "confidence",
+        F.when(F.col("is_duplicate"), "duplicate").otherwise("new").alias("outcome"))

@@ -81,10 +81,12 @@ def _pairs(dtype: str, width: int, cfg: DuplicateConfig):
 
 
 def likely_pairs(image_vectors: DataFrame, text_vectors: DataFrame, products: DataFrame,
-                 cfg: DuplicateConfig = DEFAULTS.duplicate, cell_rows: int = CELL_ROWS) -> DataFrame:
+                 cfg: DuplicateConfig = DEFAULTS.duplicate, cell_rows: int = CELL_ROWS,
+                 fresh: DataFrame | None = None) -> DataFrame:
     """(query_id, product_id, image_score, text_score), query_id < product_id: a superset of all duplicate pairs.
 
-    The vector tables have ``product_id`` and ``vector``; only products with both vectors take part, each once.
+    The vector tables have ``product_id`` and ``vector``; only products with both vectors take part, each once. With
+    ``fresh`` (product_id) only pairs with one of these products are wanted: packs of others never meet each other.
     """
     tokens = with_tokens(products, ["brand", "category"])
     least = _least_ratio(cfg)
@@ -94,8 +96,11 @@ def likely_pairs(image_vectors: DataFrame, text_vectors: DataFrame, products: Da
     both = image_vectors.select("product_id", F.col("vector").alias("image")).join(
         text_vectors.select("product_id", F.col("vector").alias("text")), "product_id")
     rows = both.join(keyed, "product_id").select(
-        "product_id", F.concat("image", "text").alias("vector"), F.size("image").alias("width"), "facet", "tok_brand",
-        "tok_category")
+        "product_id", F.concat("image", "text").alias("vector"), "facet", "tok_brand", "tok_category")
+    is_fresh = F.lit(True)
+    if fresh is not None:
+        rows = rows.join(fresh.select("product_id", F.lit(True).alias("_fresh")), "product_id", "left")
+        is_fresh = F.coalesce("_fresh", F.lit(False))
     counts = rows.groupBy("facet").agg(F.count("*").alias("n"), F.min("tok_brand").alias("brand"),
                                        F.min("tok_category").alias("category"))
     counts = counts.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int"))
@@ -116,19 +121,19 @@ def likely_pairs(image_vectors: DataFrame, text_vectors: DataFrame, products: Da
         T.StructField("within", T.StringType()), T.StructField("matrix", T.BinaryType()),
         T.StructField("product_id", T.ArrayType(kind))])
     dealt = rows.join(sizes, "facet").select(
-        "product_id", "vector", F.col("facet").alias("within"), F.lit(1).alias("others"),
-        F.expr("cast(pmod(hash(product_id), blocks) as int)").alias("block"))
+        "product_id", "vector", F.concat(F.when(is_fresh, "+").otherwise("-"), "facet").alias("within"),
+        F.lit(1).alias("others"), F.expr("cast(pmod(hash(product_id), blocks) as int)").alias("block"))
     packs = dealt.hint("rebalance", "within", "block").mapInArrow(_packer(["product_id"]), schema)
 
     def side(own: str, other: str, prefix: str, own_block: str, other_block: str) -> DataFrame:
-        met = packs.join(needs, packs["within"] == needs[own])
-        return met.select("f", "g", "need", F.col("block").alias(own_block), F.explode(
+        met = packs.withColumn(own, F.substr("within", F.lit(2))).join(needs, own)
+        return met.select("f", "g", "need", F.startswith("within", F.lit("+")).alias(f"{prefix}_fresh"), F.col("block").alias(own_block), F.explode(
             F.sequence(F.lit(0), F.col(f"{other}_blocks") - 1)).alias(other_block),
             F.col("matrix").alias(f"{prefix}_matrix"), F.col("product_id").alias(f"{prefix}_ids"))
 
     width = image_vectors.select(F.max(F.size("vector"))).first()[0] or 0
     met = side("f", "g", "l", "x", "y").join(side("g", "f", "r", "y", "x").drop("need"), ["f", "g", "x", "y"])
-    hits = met.select("need", "l_matrix", "l_ids", "r_matrix", "r_ids").mapInArrow(_pairs(dtype, width, cfg), T.StructType([
+    hits = met.where("l_fresh or r_fresh").select("need", "l_matrix", "l_ids", "r_matrix", "r_ids").mapInArrow(_pairs(dtype, width, cfg), T.StructType([
         T.StructField("query_id", kind), T.StructField("product_id", kind), T.StructField("image_score", T.DoubleType()),
         T.StructField("text_score", T.DoubleType())]))
     # Within one facet, both orders of a pair are met; across facets one.
@@ -139,7 +144,11 @@ def likely_pairs(image_vectors: DataFrame, text_vectors: DataFrame, products: Da
 
 
 def duplicate_pairs(image_vectors: DataFrame, text_vectors: DataFrame, products: DataFrame,
-                    cfg: DuplicateConfig = DEFAULTS.duplicate, cell_rows: int = CELL_ROWS) -> DataFrame:
-    """All pairs of products (query_id < product_id) whose weighted similarity is the threshold or more, with its parts."""
-    likely = likely_pairs(image_vectors, text_vectors, products, cfg, cell_rows)
+                    cfg: DuplicateConfig = DEFAULTS.duplicate, cell_rows: int = CELL_ROWS,
+                    fresh: DataFrame | None = None) -> DataFrame:
+    """All pairs of products (query_id < product_id) whose weighted similarity is the threshold or more, with its parts.
+
+    With ``fresh`` (product_id) those pairs that one of these products is in.
+    """
+    likely = likely_pairs(image_vectors, text_vectors, products, cfg, cell_rows, fresh)
     return score_pairs(likely, products, products, cfg, at_least=cfg.threshold)
