@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry import frames as T
 from registry import sql as S
-from registry.core import query
+from registry.core import SQL, query
 from vitrine.config import UsageConfig
 from vitrine.functions import scalars as N
 from vitrine.operators import filters as L
@@ -16,6 +16,7 @@ from vitrine.operators import usage as U
 from vitrine.plans import catalog_jobs as J
 from vitrine.session import working_dir
 from vitrine.sources.catalog import PAYLOAD
+from vitrine.streaming import quota as SQ
 from vitrine.streaming import upsert as SU
 from vitrine.streaming import usage as ST
 
@@ -172,6 +173,16 @@ def ops_quantiles(spark, sf):
         "position", F.col("position") + 1)
 
 
+@query("""WITH w AS (SELECT event_type AS label, value, ts::DATE + unnest(generate_series(0, 6))::INTEGER AS day FROM events WHERE value IS NOT NULL)
+  SELECT label, CAST(day AS DATE) AS day, count(*) AS n, quantile_disc(value, 0.5)::DOUBLE AS p50, quantile_disc(value, 0.9)::DOUBLE AS p90,
+  quantile_disc(value, 0.99)::DOUBLE AS p99 FROM w WHERE day <= (SELECT max(ts::DATE) FROM events WHERE value IS NOT NULL) GROUP BY 1, 2""")
+def ops_quantiles_trailing(spark, sf):
+    """Quantiles of the last seven days for each label and day, from daily sketches."""
+    ops = T.table(spark, sf, "events").select(F.col("event_type").alias("label"), "ts", "value")
+    out = U.trailing_quantiles(U.daily_sketches(ops), 7, [0.5, 0.9, 0.99])
+    return out.select("label", "day", "n", *(F.col("quantiles")[i].alias(c) for i, c in enumerate(("p50", "p90", "p99"))))
+
+
 # ---------------------------------------------------------------- jobs
 
 STATES = """a AS (SELECT user_id AS job_id, ts, event_id, event_type <> 'error' AS ok, props,
@@ -328,6 +339,15 @@ def stream_trailing_counts(spark, sf):
     return ST.run_updates(ST.trailing_counters(ST.read_events(spark, sf)), "trailing", "day", "event_type")
 
 
+@query(SQL["quota_hits"])
+def stream_quota_hits(spark, sf):
+    """A verdict for every request as it arrives; counters are state that expires."""
+    T.prepare(spark)
+    requests = ST.read_events(spark, sf).select(
+        F.col("event_id").alias("request_id"), F.col("user_id").alias("tenant_id"), "ts")
+    return SQ.run(requests, working_dir(spark, "quota"), CFG)
+
+
 @query("SELECT event_id, event_type FROM events")
 def stream_dedup(spark, sf):
     """Every event delivered twice comes out once."""
