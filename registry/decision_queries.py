@@ -26,8 +26,10 @@ from vitrine.operators.neighbors import hyperplanes, knn_join, knn_lsh
 from vitrine.operators.pairs import compare_fields, hydrate
 from vitrine.operators.rerank import rerank
 from vitrine.plans import catalog_jobs as J
+from vitrine.plans.evaluation import evaluate_dataset as evaluate_by_task
 from vitrine.plans.search import search, search_reranked, self_neighbors, similar_products
 from vitrine.session import materialize, working_dir
+from vitrine.sources.evaluation import parse_dataset
 from vitrine.sources import sinks as W
 from vitrine.streaming import gate as G
 
@@ -916,6 +918,99 @@ def report_markdown(spark, sf):
     return V.report_markdown(V.task_metrics(_per_query(spark, sf, ranked)))
 
 
+def _dataset(spark, sf):
+    """Every benchmark item as an entry of a JSON dataset: its task by turns, and now and then a malformed one."""
+    item = F.col("item_id")
+    task = F.when(item % 3 == 0, "retrieval").when(item % 3 == 1, "recommendation").otherwise("duplicate")
+    expected = _expected(spark, sf).groupBy(F.col("query_id").alias("pid")).agg(
+        F.sort_array(F.collect_list(F.col("product_id").cast("string"))).alias("expected"))  # five each
+    rows = T.table(spark, sf, "benchmark").withColumn("pid", F.when(item % 3 == 0, item).otherwise(item * 14)).join(
+        expected, "pid", "left")
+    entry = F.struct(
+        F.concat(F.lit("item-"), item.cast("string")).alias("query_id"), task.alias("task_type"), "text",
+        F.when(item % 3 != 0, F.col("pid").cast("string")).alias("product_id"), F.col("expected").alias("expected_products"),
+        F.when(item % 10 == 9, F.lit(0)).alias("top_k"))
+    return parse_dataset(rows.select(F.to_json(F.array(entry)).alias("value"), "item_id"), "item_id").withColumn(
+        "position", F.col("item_id"))
+
+
+def _routes(spark, sf):
+    """Ranked lists by task, the routes sharing two neighbor tables."""
+    image, text = _both(spark, sf, 30)
+    catalog = T.indexed(spark, sf)
+
+    def item(entries):
+        return entries.select("query_id", F.substring_index("query_id", "-", -1).cast("long").alias("item"))
+
+    def retrieval(entries):
+        vectors = T.text_vectors(spark, sf)
+        asked = item(entries).join(vectors.select(F.col("product_id").alias("item"), "vector"), "item").select(
+            "query_id", F.lit(None).cast("array<float>").alias("image_vector"), F.col("vector").alias("text_vector"))
+        return search(asked, T.image_vectors(spark, sf), vectors, 10)
+
+    def of_product(entries, lists):
+        wanted = entries.select(F.col("query_id").alias("entry"), F.col("product_id").cast("long").alias("query_id"))
+        return lists.join(wanted, "query_id").select(F.col("entry").alias("query_id"), "product_id", "rank")
+
+    def recommendation(entries):
+        return of_product(entries, J.recommend(image, text, catalog))
+
+    def duplicate(entries):
+        from vitrine.operators.neighbors import top_k
+
+        scored = D.score_pairs(similar_products(image, text, 10), catalog, catalog, DUPLICATE)
+        return of_product(entries, top_k(scored.withColumn("by", N.rank_value(F.col("overall_similarity"))), 10, by="by"))
+
+    return {"retrieval": retrieval, "recommendation": recommendation, "duplicate": duplicate}
+
+
+def _dataset_sql(where: str = "true") -> str:
+    """s: the report over the benchmark items that ``where`` leaves."""
+    return f"""rec AS (WITH {_rec_sql(S.similar(30))} SELECT query_id, product_id, rank AS rk FROM recs),
+dd AS (WITH {DUP_SCORED} SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY round(overall, 9) DESC, product_id) AS rk FROM dup),
+ret AS (WITH {S.vectors('vt', 33, 64)}, {S.neighbors('nt', 'vt', 10)} SELECT query_id, product_id, rk FROM nt),
+truth AS (WITH {S.vectors('vf', 1, 64)}, {S.neighbors('nf', 'vf', 6)} SELECT query_id, product_id FROM nf WHERE query_id <> product_id
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, product_id) <= 5),
+items AS (SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'retrieval' WHEN 1 THEN 'recommendation' ELSE 'duplicate' END AS task_type,
+  CASE WHEN item_id % 3 = 0 THEN item_id ELSE item_id * 14 END AS pid FROM benchmark WHERE {where}),
+ranked AS (SELECT item_id AS query_id, product_id, rk FROM items JOIN rec ON pid = query_id WHERE item_id % 3 = 1
+  UNION ALL SELECT item_id, product_id, rk FROM items JOIN dd ON pid = query_id WHERE item_id % 3 = 2
+  UNION ALL SELECT item_id, product_id, rk FROM items JOIN ret ON pid = query_id WHERE item_id % 3 = 0),
+expected AS (SELECT item_id AS query_id, product_id FROM items JOIN truth ON pid = query_id), {_metric_sql('m', 'ranked')},
+state AS (SELECT item_id AS query_id, task_type, item_id % 10 = 9 OR (item_id % 3 <> 0 AND pid NOT IN (SELECT product_id FROM catalog JOIN
+  embeddings ON vec_id = product_id)) AS failed FROM items),
+s AS (SELECT task_type, {', '.join(f"coalesce(avg(coalesce({m}, 0)) FILTER (NOT failed), 0) AS {m}" for m in V.metric_names())},
+  coalesce(avg(coalesce(reciprocal_rank, 0)) FILTER (NOT failed), 0) AS mrr, 0.0::DOUBLE AS average_latency_seconds,
+  count(*) FILTER (NOT failed) AS query_count, count(*) FILTER (failed) AS failure_count FROM state LEFT JOIN m USING (query_id) GROUP BY 1)"""
+
+
+NAMED = [f"item-{i}" for i in (2, 3, 4, 7, 9, 19, 30, 31, 37)]
+
+
+def _by_task(spark, sf, **which):
+    return evaluate_by_task(_dataset(spark, sf), T.indexed(spark, sf), _routes(spark, sf), **which)
+
+
+@query(f"""WITH {S.CATALOG}, {_dataset_sql()} SELECT task_type, {', '.join(S.r(c, 6) + ' AS ' + c for c in SUMMARY)}, query_count, failure_count FROM s""")
+def evaluate_dataset(spark, sf):
+    """Every entry by its task's route; malformed entries and those of unknown products fail alone."""
+    return round_columns(_by_task(spark, sf), *SUMMARY)
+
+
+@query(f"""WITH {S.CATALOG}, {_dataset_sql("item_id IN (SELECT item_id FROM benchmark WHERE item_id IN (2, 3, 4, 7, 9, 19, 30, 31, 37) ORDER BY item_id LIMIT 7)")}
+  SELECT task_type, {', '.join(S.r(c, 6) + ' AS ' + c for c in SUMMARY)}, query_count, failure_count FROM s""")
+def evaluate_named_entries(spark, sf):
+    """The named entries, then the first seven of them."""
+    return round_columns(_by_task(spark, sf, ids=NAMED, limit=7), *SUMMARY)
+
+
+@query(f"""WITH {S.CATALOG}, {_dataset_sql()} SELECT array_to_string(['# Benchmark Report', '', '- Generated at: 2024-01-30', '- Dataset size: ' ||
+  sum(query_count + failure_count)::BIGINT, '- Total duration: 8.0000s', '- Failures: ' || sum(failure_count)::BIGINT, '- Throughput: ' ||
+  {S.fixed('sum(query_count + failure_count) / 8.0', 2)} || ' queries/second', ''], chr(10)) AS markdown FROM s""")
+def evaluation_header(spark, sf):
+    return V.report_header(_by_task(spark, sf), 8.0, "2024-01-30")
+
+
 # ---------------------------------------------------------------- explanations
 
 
