@@ -15,9 +15,11 @@ from vitrine.operators import enrich as E
 from vitrine.operators import filters as L
 from vitrine.operators import images as I
 from vitrine.operators import lookup as K
-from vitrine.operators.embed import fit_text_weights, hashed_text_vectors
+from vitrine.operators.embed import IMAGE_BATCH, fit_text_weights, hashed_text_vectors, model_embedder
+from vitrine.operators.models import letter_model, quarter_model
 from vitrine.operators.neighbors import knn_join
 from vitrine.plans import catalog_jobs as J
+from vitrine.session import working_dir
 from vitrine.sources import catalog as C
 from vitrine.sources import sinks as W
 from vitrine.sources.evaluation import parse_dataset
@@ -408,6 +410,63 @@ def text_embeddings(spark, sf):
         "product_id", "bucket", N.rounded(F.col("value"), 5).alias("value"))
 
 
+LETTERS = "[" + ", ".join(f"list_sum(list_transform(string_split(t, ''), lambda c: ((ord(c) * {d}) % 7 - 3)::DOUBLE))" for d in range(1, 9)) + "]"
+
+
+def _entries(vectors, key="product_id"):
+    return vectors.select(key, F.posexplode("vector").alias("i", "value")).select(
+        key, F.col("i").cast("long").alias("i"), N.rounded(F.col("value"), 5).alias("value"))
+
+
+@query(f"""WITH e AS (SELECT product_id, {LETTERS} AS v FROM (SELECT p_partkey AS product_id, concat_ws('. ', p_name, p_brand, p_type) AS t FROM part)),
+  n AS (SELECT product_id, v, sqrt(list_inner_product(v, v)) AS norm FROM e)
+  SELECT product_id, i - 1 AS i, {S.r('(v[i] / CASE WHEN norm = 0 THEN 1 ELSE norm END)::FLOAT', 5)} AS value FROM n, range(1, 9) t(i)""")
+def embed_model(spark, sf):
+    """Text vectors from a model that is loaded once a worker."""
+    embed = model_embedder(letter_model(8))
+    return _entries(J.product_texts(T.catalog(spark, sf)).select("product_id", embed(F.col("text")).alias("vector")))
+
+
+@query(f"""WITH {PIXELS}, q AS (SELECT image_id, (y // 4) * 2 + x // 4 AS k, [avg(r), avg(g), avg(b)] AS m FROM px GROUP BY 1, 2),
+  v AS (SELECT image_id, flatten(list(m ORDER BY k)) AS v FROM q GROUP BY 1)
+  SELECT image_id, i - 1 AS i, {S.r('(v[i] / CASE WHEN list_inner_product(v, v) = 0 THEN 1 ELSE sqrt(list_inner_product(v, v)) END)::FLOAT', 5)} AS value
+  FROM v, range(1, 13) t(i)""")
+def image_model(spark, sf):
+    """Image vectors from a model over pixel arrays, loaded once a worker."""
+    embed = model_embedder(quarter_model(T.PIXEL_SIDE), IMAGE_BATCH, [T.PIXEL_SIDE * T.PIXEL_SIDE * 3])
+    arrays = I.pixel_arrays(T.pixels(spark, sf), T.PIXEL_SIDE)
+    return _entries(arrays.select("image_id", embed(F.col("pixels")).alias("vector")), "image_id")
+
+
+def _old_payloads(spark, sf):
+    """Parts as payloads of an older make: blanks, a price as text, no keys, tags or scores."""
+    size = F.col("p_size")
+    return T.table(spark, sf, "part").select(
+        F.col("p_partkey").cast("string").alias("product_id"), "p_name", F.when(size % 4 == 0, "  ").otherwise(
+            F.col("p_brand")).alias("brand"), F.when(size % 5 != 0, F.col("p_type")).alias("category"),
+        F.when(size % 6 == 0, "n/a").otherwise(F.col("p_retailprice").cast("string")).alias("price")).withColumnRenamed("p_name", "name")
+
+
+@query(f"""WITH o AS (SELECT p_partkey::VARCHAR AS product_id, p_name AS name, CASE WHEN p_size % 4 <> 0 THEN p_brand END AS brand,
+  CASE WHEN p_size % 5 <> 0 THEN p_type END AS category, CASE WHEN p_size % 6 <> 0 THEN p_retailprice::DOUBLE END AS price FROM part)
+  SELECT product_id, name, brand, category, {S.r('price', 4)} AS price, {S.facet('brand')} AS brand_key, {S.facet('category')} AS category_key,
+  0 AS n_tags FROM o""")
+def read_products(spark, sf):
+    """Stored products of an older make, written as JSON and read with coercion."""
+    path = working_dir(spark, "payloads")
+    _old_payloads(spark, sf).write.json(path)
+    out = C.read_products(spark, path, "json")
+    return out.select("product_id", "name", "brand", "category", N.rounded(F.col("price"), 4).alias("price"), "brand_key",
+                      "category_key", F.size("tags").alias("n_tags"))
+
+
+@query(f"""WITH {S.CATALOG} SELECT DISTINCT l_partkey AS product_id, name, brand, category, price FROM lineitem JOIN catalog ON product_id = l_partkey""")
+def retrieve(spark, sf):
+    """The payload of every ordered product."""
+    asked = T.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("product_id")).distinct()
+    return K.retrieve(asked, T.catalog(spark, sf)).select("product_id", "name", "brand", "category", "price")
+
+
 @query()
 def price_described(spark, sf):
     """Text embedding, text search and pricing of every catalog product by its description."""

@@ -24,7 +24,8 @@ from vitrine.operators import pricing as P
 from vitrine.operators import recommend as R
 from vitrine.operators.neighbors import hyperplanes, knn_join, knn_lsh
 from vitrine.operators.pairs import compare_fields, hydrate
-from vitrine.operators.rerank import rerank
+from vitrine.operators.models import word_overlap_model
+from vitrine.operators.rerank import model_scorer, rerank
 from vitrine.plans import catalog_jobs as J
 from vitrine.plans.evaluation import evaluate_dataset as evaluate_by_task
 from vitrine.plans.search import search, search_reranked, self_neighbors, similar_products
@@ -275,6 +276,17 @@ def rerank_topk(spark, sf):
         "explanation")
 
 
+@query(f"""WITH {RERANKED} SELECT query_id, product_id, {S.r('rerank_score', 6)} AS rerank_score,
+  CAST(rk AS INTEGER) AS original_rank, CAST(fk AS INTEGER) AS final_rank FROM rr WHERE fk <= 10""")
+def rerank_model(spark, sf):
+    """Reranking by a model that is loaded once a worker and scores batches of pairs."""
+    catalog = T.indexed(spark, sf)
+    hits = rerank(_similar(spark, sf, 50), J.query_texts(catalog), J.product_texts(catalog), k=10,
+                  scorer=model_scorer(word_overlap_model))
+    return round_columns(hits, "rerank_score").select(
+        "query_id", "product_id", "rerank_score", "original_rank", "final_rank")
+
+
 @query(f"""WITH {S.similar(10)} SELECT query_id, product_id, CAST(row_number() OVER (PARTITION BY query_id
   ORDER BY price, s.product_id) AS INTEGER) AS by_price, CAST(row_number() OVER (PARTITION BY query_id
   ORDER BY price DESC, s.product_id) AS INTEGER) AS by_price_desc, CAST(row_number() OVER (PARTITION BY query_id

@@ -13,10 +13,12 @@ from pyspark.sql import types as T
 TEXT_BATCH, IMAGE_BATCH = 32, 8
 
 
-def model_embedder(make_predict: Callable, batch_size: int = TEXT_BATCH) -> Callable[[Column], Column]:
+def model_embedder(make_predict: Callable, batch_size: int = TEXT_BATCH,
+                   input_shape: list[int] | None = None) -> Callable[[Column], Column]:
     """``make_predict`` loads a model and returns a function from a batch to a matrix.
 
-    The vectors come out with unit length.
+    The vectors come out with unit length. ``input_shape`` is the shape of one input that is an array, such as the
+    pixels of an image.
     """
     def make_unit():
         predict = make_predict()
@@ -28,7 +30,8 @@ def model_embedder(make_predict: Callable, batch_size: int = TEXT_BATCH) -> Call
 
         return run
 
-    return predict_batch_udf(make_unit, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size)
+    return predict_batch_udf(make_unit, return_type=T.ArrayType(T.FloatType()), batch_size=batch_size,
+                             input_tensor_shapes=[input_shape] if input_shape else None)
 
 
 def _word_counts(products: DataFrame, key: str, text: str, dim: int) -> DataFrame:

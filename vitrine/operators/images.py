@@ -185,3 +185,10 @@ def color_histogram(pixels: DataFrame, bins: int = 8) -> DataFrame:
     vector = F.transform(F.sequence(F.lit(0), F.lit(bins ** 3 - 1)), lambda i: (
         F.coalesce(F.try_element_at("h", i), F.lit(0.0)) / F.col("norm")))
     return packed.select("image_id", vector.alias("vector"))
+
+
+def pixel_arrays(pixels: DataFrame, side: int) -> DataFrame:
+    """(image_id, pixels): the channels of the ``side`` x ``side`` pixels of each whole image in rows, for a model."""
+    rows = pixels.groupBy("image_id").agg(F.sort_array(F.collect_list(F.struct("y", "x", "r", "g", "b"))).alias("p"))
+    return rows.where(F.size("p") == side * side).select("image_id", F.flatten(F.transform("p", lambda p: F.array(
+        p["r"].cast("double"), p["g"].cast("double"), p["b"].cast("double")))).alias("pixels"))

@@ -45,9 +45,12 @@ def coerce_payload(df: DataFrame) -> DataFrame:
 
 
 def read_products(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """Stored products; numbers of other formats than Parquet are read as text, so that "12.5" is a price, too."""
     reader = spark.read.format(fmt)
     if fmt != "parquet":
-        reader = reader.schema(PAYLOAD)
+        reader = reader.schema(T.StructType([
+            T.StructField(f.name, T.StringType() if isinstance(f.dataType, T.DoubleType) else f.dataType)
+            for f in PAYLOAD.fields]))
     return coerce_payload(reader.load(path))
 
 
