@@ -20,6 +20,7 @@ from vitrine.operators.blocked import duplicate_pairs
 from vitrine.operators.fuzzy_join import similar_values
 from vitrine.operators.maintain import refresh_neighbors, refresh_recommendations
 from vitrine.operators import filters as L
+from vitrine.operators import images as I
 from vitrine.operators import pricing as P
 from vitrine.operators import recommend as R
 from vitrine.operators.neighbors import hyperplanes, knn_join, knn_lsh
@@ -1151,3 +1152,47 @@ def duplicate_new_products(spark, sf):
     return round_columns(found, "confidence").select(
         "product_id", "is_duplicate", "matched_product", "confidence",
         F.when(F.col("is_duplicate"), "duplicate").otherwise("new").alias("outcome"))
+
+
+@query(f"""WITH {GATE_SQL}, v AS (WITH {_verdict_sql('true')} FROM item x LEFT JOIN best b USING (product_id)),
+  modes AS (SELECT unnest(['off', 'warn', 'block']) AS mode),
+  sub AS (SELECT p_partkey AS product_id, p_name AS name, p_retailprice AS price, length(concat_ws(' ', ({S.sql_list(T.PHRASES)})[p_size % {len(T.PHRASES)} + 1],
+    text)) AS n FROM part LEFT JOIN documents ON doc_id = p_partkey)
+  SELECT mode, product_id, 'stored' AS state FROM catalog JOIN embeddings ON vec_id = product_id, modes WHERE p_size % 3 <> 0
+  UNION ALL SELECT mode, product_id, CASE WHEN NOT (price >= 0 AND n <= 2000) THEN 'rejected' WHEN mode = 'block' AND is_duplicate THEN 'turned away'
+    ELSE 'ingested' END FROM v JOIN sub USING (product_id), modes
+  UNION ALL SELECT mode, c.product_id, 'stale recommendation' FROM catalog c JOIN embeddings ON vec_id = c.product_id, modes
+    WHERE p_size % 3 <> 0 AND c.product_id % 7 = 0 AND EXISTS (SELECT 1 FROM v JOIN sub USING (product_id) WHERE v.product_id = c.product_id + 1
+      AND price >= 0 AND n <= 2000 AND NOT (mode = 'block' AND is_duplicate))""")
+def ingest_gated(spark, sf):
+    """Submitted products through checks, enrichment with image predictions, the duplicate gate in each of its modes
+    and the upsert; cached recommendations of what came in are given up."""
+    rows = materialize(_submissions(spark, sf), "submissions")
+    delivered = rows.where("delivery is not null").select("product_id")
+    new = rows.where("delivery is not null").withColumn("place", F.struct("delivery", "product_id")).drop("delivery")
+    known = rows.where("delivery is null")
+    verdicts = materialize(G.judge_batch(new, known.drop("delivery"), "warn", GATE).withColumnRenamed(
+        "product_id", "query_id"), "verdicts")
+    raw = T.submitted(spark, sf).join(delivered, "product_id", "left_semi").withColumn("version", F.lit(1))
+    raw = materialize(raw, "raw")
+    stats = I.image_statistics(T.pixels(spark, sf), T.image_sizes(spark, sf), T.PIXEL_SIDE).join(
+        delivered.withColumnRenamed("product_id", "image_id"), "image_id", "left_semi")
+    stats = materialize(stats, "images")
+    catalog = T.indexed(spark, sf).join(known.select("product_id"), "product_id", "left_semi").withColumn("version", F.lit(0))
+    cache = known.where("product_id % 7 = 0").select(
+        F.col("product_id").alias("for_product_id"), (F.col("product_id") + 1).alias("product_id"))
+    out = None
+    for mode in G.MODES:
+        after, rejected = J.ingest(raw, catalog, verdicts, mode=mode, image_predictions=I.image_predictions(stats),
+                                   image_tags=I.image_tags(stats))
+        after = materialize(after.select("product_id", "version"), "ingested")
+        came = after.where("version = 1").select("product_id")
+        fresh = W.invalidate(cache, came)
+        lost = cache.join(fresh.select("for_product_id"), "for_product_id", "left_anti")
+        turned = delivered.join(came, "product_id", "left_anti").join(rejected.select("product_id"), "product_id", "left_anti")
+        parts = {"stored": after.where("version = 0"), "ingested": came, "turned away": turned,
+                 "rejected": rejected, "stale recommendation": lost.select(F.col("for_product_id").alias("product_id"))}
+        for state, part in parts.items():
+            part = part.select(F.lit(mode).alias("mode"), "product_id", F.lit(state).alias("state"))
+            out = part if out is None else out.unionByName(part)
+    return out

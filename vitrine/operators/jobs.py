@@ -19,17 +19,23 @@ def job_state(attempts: DataFrame, cfg: JobConfig = DEFAULTS.jobs) -> DataFrame:
     ``attempts`` is (job_id, attempt, success, error, completed_at). The first success, or the first failure beyond
     ``max_retries``, ends a job: later attempts change nothing. A completed job has no error.
     """
+    # Both kinds of end are found without bringing a job's attempts together: the first success is a minimum, and of the
+    # failures only the first max_retries + 1 can count, which Spark picks before the shuffle.
+    last = F.struct("attempt", "completed_at", "error")
+    done = attempts.where("success").groupBy("job_id").agg(F.min_by(last, "attempt").alias("_success"))
     order = Window.partitionBy("job_id").orderBy("attempt")
-    ended = attempts.withColumn("_failures", F.count_if(~F.col("success")).over(order)).withColumn(
-        "_terminal", F.col("success") | (F.col("_failures") > cfg.max_retries))
-    earlier = F.count_if("_terminal").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    state = ended.withColumn("_ended_before", earlier).where("_ended_before = 0").groupBy("job_id").agg(
-        F.max("attempt").alias("attempts"),
-        F.count_if(~F.col("success")).alias("retry_count"),
-        F.bool_or("success").alias("_done"),
-        F.max_by("error", F.when(~F.col("success"), F.col("attempt"))).alias("_error"),
-        F.max_by("completed_at", "attempt").alias("updated_at"),
-    )
+    failures = attempts.where(~F.col("success")).withColumn("_nth", F.row_number().over(order)).where(
+        F.col("_nth") <= cfg.max_retries + 1)
+    before = failures.join(done, "job_id", "left").where(
+        F.col("_success").isNull() | (F.col("attempt") < F.col("_success.attempt"))).groupBy("job_id").agg(
+        F.count("*").alias("retry_count"), F.max_by(last, "attempt").alias("_failure"))
+    both = done.join(before, "job_id", "full").withColumns({
+        "retry_count": F.coalesce("retry_count", F.lit(0).cast("bigint")),
+        "_done": F.col("_success").isNotNull() & (F.coalesce("retry_count", F.lit(0)) <= cfg.max_retries)})
+    end = F.when(F.col("_done"), F.col("_success")).otherwise(F.col("_failure"))
+    state = both.withColumn("_end", end).select(
+        "job_id", F.col("_end.attempt").alias("attempts"), "retry_count", "_done", F.col("_failure.error").alias("_error"),
+        F.col("_end.completed_at").alias("updated_at"))
     status = (F.when(F.col("_done"), "completed")
               .when(F.col("retry_count") > cfg.max_retries, "failed").otherwise("retrying"))
     return state.withColumn("status", status).withColumns({

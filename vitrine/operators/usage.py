@@ -114,21 +114,24 @@ def trailing_usage(daily: DataFrame, days: int) -> DataFrame:
 def quota_hits(requests: DataFrame, cfg: UsageConfig = DEFAULTS.usage) -> DataFrame:
     """Each request's running number in its tenant's minute and day, and whether it is over a limit.
 
-    Only minutes are windowed row by row; the day number adds the totals of earlier minutes, of
-    which a day has at most 1440, so a tenant with most of the traffic is still split.
+    Only seconds are windowed row by row; the numbers add the totals of earlier seconds, of which a day has at most
+    86,400, so a tenant with most of the traffic is still split.
     """
     keyed = requests.withColumns({
-        "minute": F.date_trunc("minute", F.col("ts")), "day": F.to_date("ts")})
-    per_minute = keyed.groupBy("tenant_id", "day", "minute").agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy("tenant_id", "day").orderBy("minute").rowsBetween(
-        Window.unboundedPreceding, -1)
-    before = per_minute.select(
-        "tenant_id", "minute", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("tenant_id", "minute").orderBy("ts", "request_id")
-    numbered = keyed.withColumn("minute_count", F.row_number().over(inside).cast("long"))
-    joined = numbered.join(before, ["tenant_id", "minute"]).withColumn(
-        "daily_count", F.col("_before") + F.col("minute_count"))
-    return joined.withColumn("verdict", over_limit(cfg)).drop("_before")
+        "second": F.date_trunc("second", F.col("ts")), "minute": F.date_trunc("minute", F.col("ts")),
+        "day": F.to_date("ts")})
+    per_second = keyed.groupBy("tenant_id", "day", "minute", "second").agg(F.count("*").alias("_n"))
+
+    def earlier(unit: str) -> Column:
+        window = Window.partitionBy("tenant_id", unit).orderBy("second").rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_n").over(window), F.lit(0))
+
+    before = per_second.select("tenant_id", "second", earlier("day").alias("_day"), earlier("minute").alias("_minute"))
+    inside = Window.partitionBy("tenant_id", "second").orderBy("ts", "request_id")
+    numbered = keyed.withColumn("_place", F.row_number().over(inside).cast("long"))
+    joined = numbered.join(before, ["tenant_id", "second"]).withColumns({
+        "minute_count": F.col("_minute") + F.col("_place"), "daily_count": F.col("_day") + F.col("_place")})
+    return joined.withColumn("verdict", over_limit(cfg)).drop("_place", "_day", "_minute", "second")
 
 
 def over_limit(cfg: UsageConfig) -> Column:

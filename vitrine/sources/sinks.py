@@ -40,5 +40,27 @@ def to_recompute(wanted: DataFrame, cache: DataFrame, now: Column,
     return wanted.join(fresh, key, "left_anti")
 
 
-def append_log(rows: DataFrame, path: str, partition: str = "tenant_id") -> None:
-    rows.write.mode("append").partitionBy(partition).parquet(path)
+def invalidate(cache: DataFrame, changed: DataFrame, key: str = "for_product_id") -> DataFrame:
+    """Cache rows of products that did not change and that recommend none that did."""
+    ids = changed.select("product_id").distinct()
+    stale = cache.join(ids, "product_id", "left_semi").select(key).unionByName(ids.withColumnRenamed("product_id", key))
+    return cache.join(stale.distinct(), key, "left_anti")
+
+
+#: Folders that the tenants of one day share in an appended log.
+TENANT_BUCKETS = 16
+
+
+def append_log(rows: DataFrame, path: str, at: str = "created_at", tenant: str = "tenant_id",
+               buckets: int = TENANT_BUCKETS) -> None:
+    """Appends to a log by day (where rows have ``at``) and tenant bucket: a reader of one tenant and day opens one folder, and a write makes
+    ``buckets`` files a day at most, however many tenants there are."""
+    dealt, folders = rows.withColumn("tenant_bucket", tenant_bucket(F.col(tenant), buckets)), ["tenant_bucket"]
+    if at in rows.columns:
+        dealt, folders = dealt.withColumn("day", F.to_date(at)), ["day", "tenant_bucket"]
+    dealt.repartition(*folders).write.mode("append").partitionBy(*folders).parquet(path)
+
+
+def tenant_bucket(tenant: Column, buckets: int = TENANT_BUCKETS) -> Column:
+    """The bucket to ask for beside a tenant when a log is read."""
+    return F.pmod(F.xxhash64(tenant.cast("string")), F.lit(buckets)).cast("int")
