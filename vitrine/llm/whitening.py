@@ -125,7 +125,7 @@ def _whole(batches: Iterator[pa.RecordBatch], only: int | None = None) -> Iterat
             part = batch.slice(start, ROWS)
             part = part.filter(pc.is_valid(part.column("vector")))
             sizes = pc.list_value_length(part.column("vector")).to_numpy(zero_copy_only=False)
-            for size in np.unique(sizes) if only is None else [only]:
+            for size in np.unique(sizes[sizes > 0]) if only is None else [only]:
                 same = part.filter(pa.array(sizes == size))
                 flat = pc.fill_null(same.column("vector").flatten(), float("nan"))
                 m = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, size)
