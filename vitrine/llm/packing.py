@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from vitrine.llm.common import slices, words
+from vitrine.llm.common import kept_in_worker, slices, words
 
 MAX_TOKENS = 4096
 MAX_SEGMENTS = 512
 LOOKAHEAD = 512
-#: Words whose ids a task remembers.
+#: Words whose ids a worker remembers.
 REMEMBERED = 400_000
 #: New words tokenized at a time, joined by spaces.
 TOGETHER = 10_000
@@ -37,21 +37,33 @@ _SCHEMA = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", p
 
 
 class WordIds:
-    """Token ids of words, each distinct word tokenized once while it is remembered."""
+    """Token ids of words, each distinct word tokenized once while the worker remembers it."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.forget()
-
-    def forget(self) -> None:
         self.known: dict[str, int] = {}  # four times the place in `places`, plus the mark that follows
+        self.often: set[str] = set()  # of them, those met again in a later slice
         self.places: dict[str, int] = {}
         self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.uint32)
         self.tokenize(["", ".", ","])
 
+    def forget(self) -> None:
+        """Of too many words those stay that were met in two slices, if they are no more than half."""
+        stay = {w: self.known[w] for w in self.often} if len(self.often) <= REMEMBERED // 2 else {}
+        used = np.zeros(len(self.size), bool)
+        used[:3] = True
+        used[np.fromiter((p >> 2 for p in stay.values()), np.int64, len(stay))] = True
+        number = np.cumsum(used) - 1
+        self.known = {w: int(number[p >> 2]) * 4 + (p & 3) for w, p in stay.items()}
+        self.places = {w: int(number[i]) for w, i in self.places.items() if used[i]}
+        self.ids = self.ids[np.repeat(used, self.size)]
+        self.size = self.size[used]
+        self.first = np.cumsum(self.size) - self.size
+        self.often = set()
+
     def tokenize(self, new: list[str]) -> None:
         ids, size = [self.ids], [self.size]
         for start in range(0, len(new), TOGETHER):
@@ -80,6 +92,7 @@ class WordIds:
         codes, offsets, distinct = words(column)
         if len(self.known) > REMEMBERED:
             self.forget()
+        self.often |= self.known.keys() & set(distinct)
         if new := [w for w in distinct if w not in self.known]:
             self.add(new)
         packed = np.fromiter(map(self.known.__getitem__, distinct), np.int64, len(distinct))
@@ -223,7 +236,7 @@ def pack_documents(docs: DataFrame, tokenizer_file: str, end_id: int = 2, max_to
     """
 
     def read(batches):
-        known = WordIds(tokenizer_file)
+        known = kept_in_worker("words", tokenizer_file, lambda: WordIds(tokenizer_file))
         for part in slices(batches, AT_A_TIME):
             for doc_id, ids in zip(part.column("doc_id").to_pylist(), known.texts(part.column("text")), strict=True):
                 yield doc_id, np.append(ids, np.uint32(end_id)), 0
