@@ -1,12 +1,12 @@
 """Byte-level BPE encoding and decoding by DuckDB queries inside each task.
 
-Encoding: a text is cut by the tokenizer's pattern; the distinct matches a task has not met yet become rows (word,
+Encoding: a text is cut by the tokenizer's pattern; the distinct matches a worker has not met yet become rows (word,
 position, token), one for each byte. A recursive query joins neighbouring tokens with the merge table and contracts
 the leftmost pair of minimum rank of every word, with its equals further right that do not overlap it, until no
 pair of a word is in the table. (A contraction never makes a pair of lower rank: each token of the vocabulary has
 one last merge, of two tokens of lower rank.) The ids of a text are those of its matches, in order.
 
-Decoding: ids are cut before each token that begins with a space; for the stretches a task has not met yet (stretch,
+Decoding: ids are cut before each token that begins with a space; for the stretches a worker has not met yet (stretch,
 position, token) rows join the vocabulary, and an ordered aggregation puts their bytes together. A text is its
 stretches in order.
 """
@@ -14,6 +14,7 @@ stretches in order.
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,21 +22,21 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from vitrine.llm.common import Runs, mixed, passed_on, slices
+from vitrine.llm.common import Runs, kept_in_worker, mixed, passed_on, slices
 
-#: Stretches of text whose ids a task remembers.
-REMEMBERED = 300_000
-#: Words contracted by one query, tokens decoded by one query.
-WORDS_AT_A_TIME, TOKENS_AT_A_TIME = 20_000, 1 << 19
+#: Stretches of text, and matches of the pattern, whose ids a worker remembers.
+REMEMBERED, MATCHES = 300_000, 500_000
+#: Words, and bytes of them, contracted by one query; tokens decoded by one query.
+WORDS_AT_A_TIME, BYTES_AT_A_TIME, TOKENS_AT_A_TIME = 20_000, 1 << 18, 1 << 19
+#: Bytes from which a word is contracted a round at a time.
+LONG = 1024
 AT_A_TIME = 2 << 20
 
 #: Everything that any regular expression engine takes for white space.
 SPACE = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
-CONTRACT = """
-WITH RECURSIVE step(round, word, pos, stop, id) AS (
-  SELECT 0, word, pos, pos + 1, id FROM symbols
-  UNION ALL (
+#: One contraction in every word of ``step``: the leftmost pair of minimum rank and its equals further right.
+PAIRS = """
     WITH pairs AS (
       SELECT a.word, a.pos, b.stop, b.pos AS gone, m.merged
       FROM step a JOIN step b ON b.word = a.word AND b.pos = a.stop
@@ -47,12 +48,24 @@ WITH RECURSIVE step(round, word, pos, stop, id) AS (
     chosen AS (
       SELECT * FROM same QUALIFY (place - max(CASE WHEN reached IS DISTINCT FROM pos THEN place END)
         OVER (PARTITION BY word ORDER BY pos)) % 2 = 0)
+"""
+CONTRACT = f"""
+WITH RECURSIVE step(round, word, pos, stop, id) AS (
+  SELECT 0, word, pos, pos + 1, id FROM symbols
+  UNION ALL ({PAIRS}
     SELECT s.round + 1, s.word, s.pos, coalesce(c.stop, s.stop), coalesce(c.merged, s.id)
     FROM step s SEMI JOIN least USING (word)
     LEFT JOIN chosen c ON c.word = s.word AND c.pos = s.pos
     ANTI JOIN chosen g ON g.word = s.word AND g.gone = s.pos))
 SELECT word, pos, id FROM step QUALIFY round = max(round) OVER (PARTITION BY word) ORDER BY word, pos
 """
+#: The same for a word whose rounds together would not fit into memory: the table of one round replaces the last.
+ROUND = f"""
+CREATE OR REPLACE TABLE step AS {PAIRS}
+SELECT s.word, s.pos, coalesce(c.stop, s.stop) AS stop, coalesce(c.merged, s.id) AS id
+FROM step s LEFT JOIN chosen c ON c.word = s.word AND c.pos = s.pos
+ANTI JOIN chosen g ON g.word = s.word AND g.gone = s.pos
+"""
 DECODE = """
 SELECT stretch, from_hex(array_to_string(list(hex ORDER BY pos), '')) AS bytes
 FROM tokens JOIN vocabulary USING (id) GROUP BY stretch ORDER BY stretch
@@ -64,6 +77,14 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def fingerprint(ranks: dict[bytes, int]) -> str:
+    """What workers know the vocabulary by that they keep from one task to the next."""
+    digest = hashlib.sha256()
+    for token, rank in ranks.items():
+        digest.update(b"%d %d " % (rank, len(token)) + token)
+    return digest.hexdigest()
+
+
 def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
     """(first, second, merged) for every token of several bytes: the two tokens its last merge joins."""
     out = []
@@ -82,7 +103,8 @@ def merge_table(ranks: dict[bytes, int]) -> np.ndarray:
 def _database():
     import duckdb
 
-    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB"})
+    # Without a folder to spill to: nothing is written on the machine.
+    return duckdb.connect(config={"threads": 1, "memory_limit": "300MB", "temp_directory": ""})
 
 
 class Encoder:
@@ -95,19 +117,45 @@ class Encoder:
         self.base.register("given", pa.table(dict(zip(("first", "second", "merged"), merges.T.copy(), strict=True))))
         self.base.execute("CREATE TABLE merges AS SELECT * FROM given").fetchall()
         self.forget()
+        self.forget_matches()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.first, self.size, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def forget_matches(self) -> None:
         self.place: dict[str, int] = {}  # of matches, whose ids come first in their own arrays
         self.match_size, self.match_ids = np.empty(0, np.int64), np.empty(0, np.int32)
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """Ids of one long word."""
+        ids = self.byte[np.frombuffer(word, np.uint8)]
+        self.base.register("symbols", pa.table({"pos": np.arange(len(ids), dtype=np.int32), "id": ids}))
+        self.base.execute("CREATE OR REPLACE TABLE step AS SELECT 0 AS word, pos, pos + 1 AS stop, id FROM symbols").fetchall()
+        before, left = len(ids) + 1, len(ids)
+        while left < before:
+            before, left = left, self.base.execute(ROUND).fetchone()[0]
+        out = self.base.execute("SELECT id FROM step ORDER BY pos").fetchnumpy()["id"].astype(np.int32)
+        self.base.execute("DROP TABLE step").fetchall()
+        return out
+
     def contract(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Number of ids of each word, and all ids."""
-        sizes, ids = [], []
-        for start in range(0, len(words), WORDS_AT_A_TIME):
-            raw = [w.encode() for w in words[start:start + WORDS_AT_A_TIME]]
-            size = np.fromiter(map(len, raw), np.int64, len(raw))
+        raws = [w.encode() for w in words]
+        lengths = np.fromiter(map(len, raws), np.int64, len(raws))
+        ends = np.cumsum(np.where(lengths >= LONG, 0, lengths))
+        sizes, ids, start = [], [], 0
+        while start < len(raws):
+            if lengths[start] >= LONG:
+                ids.append(self._long(raws[start]))
+                sizes.append(np.array([len(ids[-1])]))
+                start += 1
+                continue
+            stop = min(start + WORDS_AT_A_TIME, len(raws),
+                       max(start + 1, int(np.searchsorted(ends, ends[start] + BYTES_AT_A_TIME, side="right"))))
+            long = np.flatnonzero(lengths[start:stop] >= LONG)
+            stop = start + int(long[0]) if len(long) else stop
+            raw, size = raws[start:stop], lengths[start:stop]
             word = np.repeat(np.arange(len(raw), dtype=np.int32), size)
             pos = (np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)).astype(np.int32)
             self.base.register("symbols", pa.table({
@@ -115,10 +163,13 @@ class Encoder:
             found = self.base.execute(CONTRACT).fetchnumpy()
             sizes.append(np.bincount(found["word"], minlength=len(raw)))
             ids.append(found["id"].astype(np.int32))
+            start = stop
         return np.concatenate(sizes), np.concatenate(ids)
 
     def add(self, stretches: list[str]) -> None:
         matches = [self.find(s) for s in stretches]
+        if len(self.place) > MATCHES:
+            self.forget_matches()
         place = self.place
         if new := list(dict.fromkeys(m for found in matches for m in found if m not in place)):
             size, ids = self.contract(new)
@@ -218,9 +269,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, *keep: str) -
     Special tokens are ordinary text. The vocabulary and merge table that go to the tasks are those of the file.
     """
     sent = docs.sparkSession.sparkContext.broadcast((ranks, merge_table(ranks)))
+    key = f"{fingerprint(ranks)}/{pattern}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(*sent.value, pattern)
+        encoder = kept_in_worker("encoder", key, lambda: Encoder(*sent.value, pattern))
         for part in slices(batches, AT_A_TIME):
             bounds, ids = encoder.encode(part.column("text"))
             arrays = pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids, pa.int32()))
@@ -236,9 +288,10 @@ def decode(encoded: DataFrame, ranks: dict[bytes, int], *keep: str) -> DataFrame
     An id that the vocabulary does not have is an error.
     """
     sent = encoded.sparkSession.sparkContext.broadcast(ranks)
+    key = fingerprint(ranks)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(sent.value)
+        decoder = kept_in_worker("decoder", key, lambda: Decoder(sent.value))
         for batch in batches:
             sizes = pc.fill_null(pc.list_value_length(batch.column("ids")), 0).to_numpy(zero_copy_only=False)
             ends, start = np.cumsum(sizes, dtype=np.int64), 0
