@@ -70,8 +70,6 @@ def test_a_batch_run_again_gives_the_same_rows(spark):
     assert state() == want
     gate.run_batch(second, 1, catalog, path, "block", cfg)  # retried
     assert state() == want
-    warned = {r.product_id: (r.is_duplicate, r.accepted) for r in gate.judge_batch(first, catalog, "warn", cfg).collect()}
-    assert warned == {2: (False, True), 10: (True, True), 11: (False, True), 12: (True, True), 13: (False, True)}
     assert {tuple(r)[1:] for r in gate.judge_batch(first, catalog, "off", cfg).collect()} == {(False, None, 0.0, True)}
     with pytest.raises(ValueError):
         gate.judge_batch(first, catalog, "other", cfg)

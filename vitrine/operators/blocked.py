@@ -26,6 +26,7 @@ from vitrine.operators.duplicates import ATTRIBUTE_FIELDS, METADATA_FIELDS, scor
 from vitrine.operators.fuzzy_join import similar_values
 from vitrine.operators.neighbors import CELL_ROWS, _packer, _unit
 from vitrine.operators.pairs import with_tokens
+from vitrine.session import materialize
 
 SLACK = 1e-9
 
@@ -103,15 +104,16 @@ def likely_pairs(image_vectors: DataFrame, text_vectors: DataFrame, products: Da
         is_fresh = F.coalesce("_fresh", F.lit(False))
     counts = rows.groupBy("facet").agg(F.count("*").alias("n"), F.min("tok_brand").alias("brand"),
                                        F.min("tok_category").alias("category"))
-    counts = counts.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int"))
+    # Facets and the pairs of them that meet are small beside the products, and read several times.
+    counts = materialize(counts.withColumn("blocks", F.ceil(F.col("n") / cell_rows).cast("int")), "facets")
     anything = counts.where("facet = '*'").select(F.col("facet").alias("f"))
     needs = anything.join(counts.select(F.lit("*").alias("f"), F.col("facet").alias("g")), "f")
     if least > 0:
         needs = needs.unionByName(_meeting(counts.where("facet <> '*'").select("facet", "brand", "category"), least))
     needs = needs.withColumn("need", F.lit(cfg.image_weight + cfg.text_weight - _spare(cfg)))
     sizes = counts.select("facet", "blocks")
-    needs = needs.join(sizes.selectExpr("facet as f", "blocks as f_blocks"), "f").join(
-        sizes.selectExpr("facet as g", "blocks as g_blocks"), "g")
+    needs = materialize(needs.join(sizes.selectExpr("facet as f", "blocks as f_blocks"), "f").join(
+        sizes.selectExpr("facet as g", "blocks as g_blocks"), "g"), "meeting")
 
     element = image_vectors.schema["vector"].dataType.elementType
     dtype = "<f4" if isinstance(element, T.FloatType) else "<f8"

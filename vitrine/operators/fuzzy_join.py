@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vitrine.functions.fuzzy import pieces, token_similarity
+from vitrine.session import materialize
 
 SLACK = 1e-9
 
@@ -55,8 +56,9 @@ def _prefixes(values: DataFrame, t: float) -> DataFrame:
 
 def candidates(values: DataFrame, threshold: float) -> DataFrame:
     """(a, b), a < b: the pairs of different values that pass all bounds; ``values`` has ``value``, see below."""
-    distinct = values.select("value").where("value is not null").distinct().withColumn("n", F.length("value"))
-    rare = _prefixes(distinct, threshold)
+    distinct = materialize(values.select("value").where("value is not null").distinct().withColumn(
+        "n", F.length("value")), "values")
+    rare = materialize(_prefixes(distinct, threshold), "prefixes")
     left = rare.select("entry", F.col("value").alias("a"), F.col("n").alias("m"))
     right = rare.select("entry", F.col("value").alias("b"), "n")
     near = F.least("m", "n") >= _least_letters(F.greatest("m", "n"), threshold) - SLACK
