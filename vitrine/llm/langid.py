@@ -53,7 +53,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
         for lang, counts in totals.items():
             at = np.flatnonzero(counts)
-            yield pa.record_batch([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])],
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at])],
                                   names=["lang", "bucket", "n"])
         totals.clear()
 
