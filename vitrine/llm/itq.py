@@ -29,8 +29,17 @@ BLOCK = 1024
 COSINE = 0.98
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two that brings its largest component near 1, so that no norm over- or underflows.
+
+    The cosines of vectors whose norms did neither are the same to the last bit.
+    """
+    return np.ldexp(vectors, -np.frexp(np.abs(vectors).max(1, initial=0, keepdims=True))[1])
+
+
 def learn(sample: np.ndarray, rotations: int = ROTATIONS) -> tuple[np.ndarray, list[np.ndarray]]:
     """Mean of the unit vectors and, by rotation, the matrix whose products' signs are the bits."""
+    sample = scaled(sample)
     unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     mean = unit.mean(0)
     centred = unit - mean
@@ -48,6 +57,7 @@ def learn(sample: np.ndarray, rotations: int = ROTATIONS) -> tuple[np.ndarray, l
 
 def chunks(vectors: np.ndarray, mean: np.ndarray, rotations: list[np.ndarray]) -> np.ndarray:
     """The bits of each chunk of each rotation as one integer: a row per vector, a column per table."""
+    vectors = scaled(vectors)
     unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True) - mean
     keys = []
     for rotation in rotations:
@@ -81,7 +91,7 @@ def _compare(cosine: float):
         group = group.sort_by("node")
         table, i, j = (group[c][0].as_py() for c in ("table", "i", "j"))
         node, size, block = (group[c].to_numpy() for c in ("node", "n", "block"))
-        x, keys = _matrix(group["vector"]), group["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        x, keys = scaled(_matrix(group["vector"])), group["keys"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
         norm = np.linalg.norm(x, axis=1)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         found = (x[left] @ x[right].T) / norm[left][:, None] / norm[right] >= cosine
