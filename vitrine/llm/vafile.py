@@ -65,7 +65,7 @@ def top_inner_products(vectors: DataFrame, queries, k: int, scale: int = 64) ->
     on vec_id. Vectors that are null, empty or hold null or non-finite components and rows with a null vec_id take
     no part. Only vectors of one dimension are compared; a repeated vec_id is one row for each different vector.
     Returns query_id, rank (from 1), vec_id and score; ties go to the smaller vec_id, and a query with fewer than
-    ``k`` candidates gets them all. Components are expected below 2**20 in size, so that sums are exact.
+    ``k`` candidates gets them all. Scores are exact; floor(scale * x) and the scores must be longs, others are an error.
     """
     sound = ("vec_id is not null and vector is not null and size(vector) > 0 and "
              "forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
@@ -127,6 +127,10 @@ def _one_dimension(rows: DataFrame, queries, k: int) -> DataFrame:
 
     def scored(pairs: DataFrame) -> DataFrame:
         product = "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"
+        if len(low) * max(np.abs(low).max(), np.abs(high).max()) ** 2 >= 2.0 ** 53:  # doubles would round
+            x, y = (f"cast(cast({v} as long) as decimal(19,0))" for v in "xy")
+            product = (f"aggregate(zip_with(a, b, (x, y) -> cast({x} * {y} as decimal(38,0))), cast(0 as decimal(38,0)), "
+                       "(s, x) -> cast(s + x as decimal(38,0)))")
         return pairs.join(nodes.selectExpr("node", "vector as b"), "node").join(
             asking.selectExpr("query", "vector as a"), "query").selectExpr("query", "node", f"cast({product} as long) as score")
 
