@@ -7,10 +7,11 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocks, bytepair, mincut, packing, stripes, whitening
+from vitrine.llm import blocks, bytepair, itq, langid, mincut, packing, stripes, toxicity, vafile, whitening
 
 # ---------------------------------------------------------------- 11 main text
 
@@ -96,7 +97,6 @@ def test_a_long_unbroken_word_is_encoded_within_memory(tmp_path, monkeypatch):
 
 def test_words_met_twice_stay_when_a_worker_forgets(monkeypatch):
     import public_tokenizers
-    import pyarrow as pa
 
     monkeypatch.setattr(packing, "REMEMBERED", 60)
     file = public_tokenizers.path("word_bpe_49k.json")
@@ -108,6 +108,34 @@ def test_words_met_twice_stay_when_a_worker_forgets(monkeypatch):
     assert "often" in known.known
 
 
+# ---------------------------------------------------------------- 8 and 9 with very small and very large components
+
+
+def test_links_of_vectors_whose_norms_leave_the_doubles(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, 0, rng.normal(size=3).tolist()) for i in range(40)]
+    tiny = {100: 1e-200, 101: 1e200, 102: 5e-324, 103: 1.0}
+    rows += [(i, 0, [s, s, 0.0]) for i, s in tiny.items()]
+    got = {r.vec_id: r for r in itq.linked_vectors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")).collect()}
+    unit = np.array([np.array(v) / abs(max(v, key=abs)) for _, _, v in rows])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    cosine = unit @ unit.T >= 0.98
+    assert all(got[i].component_id == 100 for i in tiny if not cosine[40:, :40].any())
+    assert [got[i].n_links for i in tiny] == [int(cosine[40 + n].sum()) - 1 for n in range(4)]
+
+
+def test_scores_of_large_components_are_exact(spark):
+    vectors = {20: [3e7 + 1 / 64, 1.0], 1: [3e7 + 3 / 64, 2.0], 2: [-3e7, 5.0], 3: [2.5, 7.0], 40: [3e7 + 5 / 64, 0.0]}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    whole = {i: [int(np.floor(64 * x)) for x in v] for i, v in vectors.items()}
+    want = []
+    for q in (20, 40):
+        scores = sorted((-sum(a * b for a, b in zip(whole[q], whole[i])), i) for i in whole if i != q)
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    got = vafile.top_inner_products(df, F.col("vec_id") % 20 == 0, k=20).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == want
+
+
 # ---------------------------------------------------------------- 12 whitening
 
 
@@ -241,3 +269,78 @@ def test_scores_are_exact_beyond_64_bits(spark):
     a, l, r = 3_000_000_017, 3_000_000_019, 999_999_999_989
     row = spark.createDataFrame([(a, l, r)], "a long, l long, r long").select(stripes._score("l", "r").alias("s")).first()
     assert row.s == 1_000_000 * a * a // (l * r)
+
+
+# ---------------------------------------------------------------- 2 and 5 against plain versions
+
+
+def plain_logit(net, text):
+    """The network one window, direction and word at a time."""
+    t = toxicity.Texts(pa.array([text]))
+    inputs = net.inputs(t.distinct)[0].astype(np.float64) if t.distinct else np.zeros((0, 16))
+    w = {k: v.astype(np.float64) for k, v in net.w.items()}
+    logits = []
+    for first, size in zip(t.first, t.size):
+        words_ = t.codes[first:first + size]
+        states = []
+        for way in "fb":
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for code in words_ if way == "f" else words_[::-1]:
+                x, past = inputs[code] @ w["in_" + way] + w["bias_" + way], h @ w["rec_" + way]
+                z, r = (1 / (1 + np.exp(-(x[s] + past[s]))) for s in (slice(0, 8), slice(8, 16)))
+                h = (1 - z) * np.tanh(x[16:] + r * past[16:]) + z * h
+                out.append(h)
+            states.append(out if way == "f" else out[::-1])
+        if not len(words_):
+            logits.append(w["bias"][0])
+            continue
+        both = np.concatenate(states, 1)
+        share = np.exp(both @ w["attend"])
+        logits.append(share / share.sum() @ both @ w["out"] + w["bias"][0])
+    return np.log(np.exp(logits).sum())
+
+
+def test_toxicity_scores_equal_a_plain_forward_pass():
+    rng = random.Random(7)
+    net = toxicity.Network(np.sort(toxicity.fingerprints(["w1", "w2", "w3"])), seed=3)
+    for k in net.w:
+        net.w[k] = (net.w[k] * 3).astype(np.float32)
+    texts = ["", " \n", "w1", "w1, W2! unknown"] + [" ".join(f"w{rng.randint(0, 30)}" for _ in range(n)) for n in (5, 31, 32, 33, 56, 57, 200)]
+    got = net.logits(toxicity.Texts(pa.array(texts)))
+    assert np.allclose(got, [plain_logit(net, t) for t in texts], atol=1e-3)
+
+
+def test_language_id_equals_a_plain_naive_bayes(spark):
+    rng = random.Random(4)
+    letters = {"aa": "abcde fg", "bb": "abxyz éü", "cc": "mnop qrs"}
+    def text(lang, n):
+        return "".join(rng.choice(letters[lang]) for _ in range(n))
+
+    rows = [(text(lang, rng.randint(1, 60)), lang) for lang in letters for _ in range(25)] + [(None, "aa"), ("abc", None), ("", "bb")]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string"))
+    asked = [text(lang, n) for lang in letters for n in (1, 4, 9)] + ["", None, "123 !", "Abc É", "aXm"]
+    got = {r.i: (r.lang_pred, r.score) for r in langid.predict(spark.createDataFrame(
+        list(enumerate(asked)), "i long, text string"), model, "i").collect()}
+
+    def grams(value):
+        return [int(b) for g in langid.hashed_grams(pa.array([value]))[0] for b in g if b >= 0]
+
+    seen = {lang: collections.Counter() for lang in letters}
+    for value, lang in rows:
+        if value is not None and lang is not None:
+            seen[lang].update(grams(value))
+    for i, value in enumerate(asked):
+        if value is None or not any(c.isalpha() for c in value):
+            assert got[i] == ("und", 0.0)
+            continue
+        logs = {lang: sum(np.log((n[b] + langid.SMOOTHING) / (sum(n.values()) + langid.SMOOTHING * langid.BUCKETS)) for b in grams(value))
+                for lang, n in seen.items()}
+        best = max(sorted(logs), key=logs.get)
+        chance = 1 / sum(np.exp(x - logs[best]) for x in logs.values())
+        assert got[i][0] == best and abs(got[i][1] - chance) < 1e-3
+
+
+def test_ties_between_languages_go_to_the_first(spark):
+    model = langid.fit(spark.createDataFrame([("abc", "zz"), ("abc", "mm")], "text string, lang string"))
+    row = langid.predict(spark.createDataFrame([("cab",)], "text string"), model).first()
+    assert (row.lang_pred, row.score) == ("mm", 0.5)
