@@ -8,7 +8,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "benchmark labels conversations").split()
 SAMPLE = ("facet_keys", "knn_filtered", "similar_by_product", "recommend", "duplicate_decisions",
           "price_trimmed", "merged_tags", "quota_hits", "trend_weekly", "rerank_diff", "job_state", "queue_stats", "knn_lsh_topk",
-          "stream_daily_counts", "stream_rate_minute", "stream_trailing_counts", "zero_result_filters")
+          "stream_daily_counts", "stream_rate_minute", "stream_trailing_counts", "zero_result_filters", "recommend_after_upsert",
+          "duplicate_pairs_blocked", "fuzzy_matches", "ops_quantiles_trailing", "stream_quota_hits", "embed_model", "image_model",
+          "read_products", "retrieve", "knn_lsh_recall")
 
 
 def test_every_sql_has_a_query():
