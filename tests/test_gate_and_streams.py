@@ -142,7 +142,7 @@ def test_refreshed_neighbors_equal_recomputed_ones(spark, seed):
     rng = np.random.default_rng(seed)
     m = {i: rng.integers(-2, 3, 4).astype(float).tolist() for i in range(90)}  # many ties
     after = {i: v for i, v in m.items() if i % 11}
-    after |= {5: [1.0, 0, 0, 0], 6: [0.0, 1, 0, 0], 200: [1.0, 1, 1, 1], 201: m[7]}
+    after |= {5: [1.0, 0.0, 0.0, 0.0], 6: [0.0, 1.0, 0.0, 0.0], 200: [1.0, 1.0, 1.0, 1.0], 201: m[7]}
     changed = [i for i in {*m, *after} if m.get(i) != after.get(i)]
     shape = "product_id long, vector array<double>"
     stored = materialize(self_neighbors(spark.createDataFrame(list(m.items()), shape), 6), "lists")
