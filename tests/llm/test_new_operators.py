@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from vitrine.llm import blocks, bytepair, itq, langid, mincut, packing, stripes, toxicity, vafile, whitening
+from vitrine.llm import blocks, bytepair, itq, langid, mincut, stripes, toxicity, vafile, whitening
 
 # ---------------------------------------------------------------- 11 main text
 
@@ -95,19 +95,6 @@ def test_a_long_unbroken_word_is_encoded_within_memory(tmp_path, monkeypatch):
     assert not list(tmp_path.iterdir())
 
 
-def test_words_met_twice_stay_when_a_worker_forgets(monkeypatch):
-    import public_tokenizers
-
-    monkeypatch.setattr(packing, "REMEMBERED", 60)
-    file = public_tokenizers.path("word_bpe_49k.json")
-    known, rng = packing.WordIds(file), random.Random(5)
-    for _ in range(12):
-        texts = [" ".join(rng.choice(["often", "Again,", "twice.", f"w{rng.randint(0, 400)}x", "."]) for _ in range(40)) for _ in range(3)]
-        want = [known.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
-        assert [x.tolist() for x in known.texts(pa.array(texts))] == want
-    assert "often" in known.known
-
-
 # ---------------------------------------------------------------- 8 and 9 with very small and very large components
 
 
