@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import sys
-import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,17 +49,6 @@ def slices(batches: Iterator[pa.RecordBatch], size: int = SLICE_BYTES) -> Iterat
             start = stop
 
 
-def kept_in_worker(name: str, key, make):
-    """What ``make`` gives, made once in each Python worker and kept for its later tasks.
-
-    Functions come to a worker by value, with globals of their own for each task, so the place is a module of its own.
-    """
-    place = sys.modules.setdefault("_vitrine_worker", types.ModuleType("_vitrine_worker")).__dict__
-    if place.get(name, (None,))[0] != key:
-        place[name] = (key, make())
-    return place[name][1]
-
-
 def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """ASCII-space separated words: code of each word, first word of each text (one more at the end), distinct words."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
